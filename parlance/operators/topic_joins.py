@@ -1,0 +1,87 @@
+"""Topic fit for vocabularies too large for one machine, as joins and sums over tables.
+
+Expectation-maximisation for LDA: each (message, word) cell shares its count among the topics by
+what the word and the message have received so far; sums by word and by message give the next
+round. State is one row of k numbers per word and per message; only the k topic totals are global.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from parlance.operators.joins import attach
+from parlance.operators.ranks import checkpointed
+
+
+def fit_by_joins(
+    counts: DataFrame,
+    k: int = 13,
+    seed: int = 1234,
+    max_iter: int = 20,
+    alpha: float | None = None,
+    eta: float = 1.1,
+) -> tuple[DataFrame, DataFrame]:
+    """Fit to counts per message and word; returns (term, weights) and (Message_ID_int, Group_Name, weights).
+
+    ``alpha`` (50/k + 1) and ``eta`` are the priors of messages and words and must exceed 1.
+    """
+    alpha = 50 / k + 1 if alpha is None else alpha
+    topics = range(1, k + 1)
+    cells = checkpointed(
+        counts.where(F.col("word").isNotNull()).select("Message_ID_int", "Group_Name", "word", "n")
+    )
+    draws = [
+        F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "Message_ID_int", "word"), F.lit(1_000_003)) + F.lit(1.0)
+        for i in topics
+    ]
+    shared = cells.select("*", *_shares(draws))
+    words, messages = _sums(shared, k)
+    size = words.count()
+    for _ in range(max_iter):
+        totals = words.agg(*[F.sum(f"t{i}").alias(f"a{i}") for i in topics])
+        by_message = messages.select("Message_ID_int", *[F.col(f"t{i}").alias(f"m{i}") for i in topics])
+        by_word = words.select("word", "_rows", *[F.col(f"t{i}").alias(f"w{i}") for i in topics])
+        joined = attach(cells.join(by_message, "Message_ID_int"), by_word, "word", "_rows")
+        likely = [
+            (F.col(f"w{i}") + F.lit(eta - 1))
+            * (F.col(f"m{i}") + F.lit(alpha - 1))
+            / (F.col(f"a{i}") + F.lit(size * (eta - 1)))
+            for i in topics
+        ]
+        shared = joined.crossJoin(F.broadcast(totals)).select(*cells.columns, *_shares(likely))
+        words, messages = _sums(shared, k)
+    totals = words.agg(*[F.sum(f"t{i}").alias(f"a{i}") for i in topics])
+    in_topic = [
+        (F.col(f"t{i}") + F.lit(eta - 1)) / (F.col(f"a{i}") + F.lit(size * (eta - 1))) for i in topics
+    ]
+    terms = words.crossJoin(F.broadcast(totals)).select(
+        F.col("word").alias("term"), F.array(*in_topic).alias("weights")
+    )
+    received = [F.col(f"t{i}") + F.lit(alpha - 1) for i in topics]
+    whole = reduce(add, received)
+    mixed = messages.select(
+        "Message_ID_int", "Group_Name", F.array(*[column / whole for column in received]).alias("weights")
+    )
+    return terms, mixed
+
+
+def _shares(likely: list[Column]) -> list[Column]:
+    """The cell's count dealt out in proportion to ``likely``, as t1 to tk."""
+    whole = reduce(add, likely)
+    return [(F.col("n") * column / whole).alias(f"t{i}") for i, column in enumerate(likely, 1)]
+
+
+def _sums(shared: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Sums by word (with its number of cells) and by message, made in one pass and written down to end the lineage."""
+    both = checkpointed(
+        shared.groupingSets([["word"], ["Message_ID_int", "Group_Name"]], "word", "Message_ID_int", "Group_Name").agg(
+            F.count("*").alias("_rows"), *[F.sum(f"t{i}").alias(f"t{i}") for i in range(1, k + 1)]
+        )
+    )
+    words = both.where(F.col("word").isNotNull()).drop("Message_ID_int", "Group_Name")
+    messages = both.where(F.col("word").isNull()).drop("word", "_rows")
+    return words, messages
