@@ -1,6 +1,6 @@
 from parlance.operators.counts import count, frequent_words, spread, word_cloud
-from parlance.operators.joins import anti_lookup, attach, attach_few, fits_broadcast, inner_lookup
-from parlance.operators.ranks import checkpointed, set_checkpoint_folder, top_n, with_position
+from parlance.operators.joins import anti_lookup, attach, attach_split, fits_broadcast, inner_lookup
+from parlance.operators.ranks import top_n, with_position
 from parlance.operators.sentiment import (
     label_counts,
     lexicon_use,

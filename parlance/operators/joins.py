@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A lookup is broadcast only when it is counted and measured to be below both bounds.
+# A table is broadcast only when it is counted and measured to be below both bounds.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 
@@ -17,15 +17,15 @@ HOT_KEYS = 100_000
 DEALS = 100_000
 
 
-def fits_broadcast(lookup: DataFrame, rows: int | None = None, size: int | None = None) -> bool:
-    """Count and measure ``lookup`` in one small job."""
+def fits_broadcast(table: DataFrame, rows: int | None = None, size: int | None = None) -> bool:
+    """Count and measure ``table``, in one job, against the bounds (or those given)."""
     width = F.lit(0)
-    for field in lookup.schema:
+    for field in table.schema:
         if isinstance(field.dataType, T.StringType):
             width = width + F.coalesce(F.octet_length(field.name), F.lit(0)) + F.lit(16)
         else:
             width = width + F.lit(8)
-    found = lookup.agg(F.count("*").alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    found = table.agg(F.count("*").alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
     return found["rows"] <= (BROADCAST_ROWS if rows is None else rows) and found["bytes"] <= (
         BROADCAST_BYTES if size is None else size
     )
@@ -61,22 +61,31 @@ def _attach_lookup(rows: DataFrame, listed: DataFrame, column: str) -> DataFrame
     """Left join to a large lookup with unique ``_listed`` words."""
     counted = rows.groupBy(column).agg(F.count("*").alias("_rows"))
     keyed = counted.join(listed, F.col(column).eqNullSafe(F.col("_listed")), "left").drop("_listed")
-    return attach(rows, keyed, column, "_rows")
+    return attach_split(rows, keyed, column, "_rows")
 
 
 def attach(rows: DataFrame, keyed: DataFrame, key: str, weight: str) -> DataFrame:
     """Add the columns of ``keyed`` to ``rows``, whatever share of the rows one key holds.
 
     ``keyed`` has one row for each string key of ``rows`` (null counts as a key), and ``weight``
-    says how many rows have that key; it is not added. Hot keys, of which there are at most
-    ``HOT_KEYS`` because each holds more than its share of all rows, are broadcast; so is null.
-    The other keys meet in an ordinary shuffle join, into which rows of hot keys are dealt
-    evenly, as they need nothing from it.
+    says how many rows have that key; it is not added. If ``keyed`` is of checked size, it is
+    broadcast, else see :func:`attach_split`. As it is measured first, pass a written table.
+    """
+    if not fits_broadcast(keyed):
+        return attach_split(rows, keyed, key, weight)
+    added = keyed.drop(weight).withColumnRenamed(key, "_key")
+    return rows.join(F.broadcast(added), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+
+
+def attach_split(rows: DataFrame, keyed: DataFrame, key: str, weight: str) -> DataFrame:
+    """:func:`attach` for a ``keyed`` of any size.
+
+    Hot keys, of which there are at most ``HOT_KEYS`` because each holds more than that share of
+    all rows, are broadcast; so is null. The other keys meet in an ordinary shuffle join, into
+    which rows of hot keys are dealt evenly, as they need nothing from it.
     """
     added = [name for name in keyed.columns if name not in (key, weight)]
-    hot = hot_keys(keyed, key, weight).select(
-        F.col(key).alias("_hot_key"), F.struct(*added).alias("_hot")
-    )
+    hot = hot_keys(keyed, key, weight).select(F.col(key).alias("_hot_key"), F.struct(*added).alias("_hot"))
     cold = keyed.select(F.col(key).alias("_cold_key"), F.struct(*added).alias("_cold"))
     dealt = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*rows.columns), F.lit(DEALS)).cast("string"))
     meeting = F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(dealt)
@@ -89,26 +98,8 @@ def attach(rows: DataFrame, keyed: DataFrame, key: str, weight: str) -> DataFram
     )
 
 
-def attach_few(rows: DataFrame, keyed: DataFrame, key: str, weight: str) -> DataFrame:
-    """Same result as :func:`attach`, for keys that mostly are hot, such as groups.
-
-    Rows of hot keys are not shuffled at all; the others, if any, take a second pass over ``rows``.
-    """
-    added = [name for name in keyed.columns if name not in (key, weight)]
-    hot = F.broadcast(hot_keys(keyed, key, weight).select(F.col(key).alias("_key"), *added))
-    near = rows.join(hot, _same(key), "inner").drop("_key")
-    far = rows.join(hot.select("_key"), _same(key), "left_anti").join(
-        keyed.select(F.col(key).alias("_key"), *added), F.col(key) == F.col("_key"), "inner"
-    )
-    return near.unionByName(far.drop("_key"))
-
-
 def hot_keys(keyed: DataFrame, key: str, weight: str) -> DataFrame:
     """Keys holding more than 1/HOT_KEYS of the rows, and null: at most HOT_KEYS + 1 rows."""
     total = keyed.agg(F.sum(weight).alias("_total"))
     hot = F.col(key).isNull() | (F.col(weight) * F.lit(HOT_KEYS) > F.col("_total"))
     return keyed.crossJoin(F.broadcast(total)).where(hot).drop("_total")
-
-
-def _same(key: str) -> Column:
-    return F.col(key).eqNullSafe(F.col("_key"))

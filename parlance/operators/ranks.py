@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.storage import written
+
 
 def top_n(rows: DataFrame, by: str, values: Sequence, weight: str, n: int) -> DataFrame:
     """Rows with ``rank() <= n`` by descending ``weight`` within each of ``values`` of ``by``, ties kept.
@@ -35,11 +36,10 @@ def with_position(rows: DataFrame, *order: Column | str, name: str = "ord", star
     """Add the position of each row in a total ``order``, counted from ``start``.
 
     A range-partitioned sort numbers the rows of each partition; a table of partition sizes
-    shifts them. The sorted rows are written to the checkpoint folder first, so both steps see
-    the same partitions.
+    shifts them. The numbered rows are written down first, so both steps see the same partitions.
     """
     local = F.monotonically_increasing_id()
-    placed = checkpointed(
+    placed = written(
         rows.orderBy(*order)
         .withColumn("_part", F.shiftright(local, 33))
         .withColumn("_place", local.bitwiseAND(F.lit((1 << 33) - 1)))
@@ -49,22 +49,3 @@ def with_position(rows: DataFrame, *order: Column | str, name: str = "ord", star
     shifts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
     position = F.col("_place") + F.col("_shift") + F.lit(start)
     return placed.join(F.broadcast(shifts), "_part").select(*rows.columns, position.alias(name))
-
-
-def checkpointed(rows: DataFrame) -> DataFrame:
-    """Write ``rows`` to the checkpoint folder now and read them from there ever after."""
-    set_checkpoint_folder(rows.sparkSession)
-    return rows.checkpoint()
-
-
-def set_checkpoint_folder(spark: SparkSession) -> None:
-    """Use the shared folder named in ``spark.checkpoint.dir``; only a one-machine session gets a temporary one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="parlance-checkpoint-")
-    context.setCheckpointDir(folder)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from parlance.operators.counts import count
 from parlance.operators.joins import inner_lookup
 from parlance.operators.ranks import top_n, with_position
+from parlance.storage import written
 
 LABELS = ("negative", "positive")
 
@@ -49,7 +50,7 @@ def sentiment_top_terms(word_counts: DataFrame, n: int = 15, labels: Sequence[st
 
     ``ord`` places the words from the lowest mean count up, over all labels.
     """
-    top = top_n(word_counts, "sentiment", labels, "n", n)
+    top = written(top_n(written(word_counts), "sentiment", labels, "n", n))
     order = with_position(top.groupBy("word").agg(F.avg("n").alias("_mean")), "_mean", "word")
     return top.join(order.drop("_mean"), "word").select("word", "sentiment", "n", "rank", "ord")
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.operators.joins import anti_lookup, attach, attach_few
+from parlance.operators.joins import anti_lookup, attach
+from parlance.storage import written
 
 
 def group_totals(counts: DataFrame) -> DataFrame:
@@ -14,9 +15,13 @@ def group_totals(counts: DataFrame) -> DataFrame:
 
 
 def group_words(counts: DataFrame, stop_words: DataFrame) -> DataFrame:
-    """Counts per group and word without stop words, with the group's ``total`` from before they went."""
+    """Counts per group and word without stop words, with the group's ``total`` from before they went.
+
+    The counts are needed twice and are written down once, so texts are read and split once.
+    """
+    counts = written(counts)
     totals = counts.groupBy("Group_Name").agg(F.sum("n").alias("total"), F.count("*").alias("_rows"))
-    return attach_few(anti_lookup(counts, stop_words, "word"), totals, "Group_Name", "_rows")
+    return attach(anti_lookup(counts, stop_words, "word"), written(totals), "Group_Name", "_rows")
 
 
 def bind_tf_idf(
@@ -25,16 +30,17 @@ def bind_tf_idf(
     """Add tf, idf and their product to one row per document and term.
 
     tf is the share of the term in the document's count, idf the natural logarithm of all
-    documents over those with the term. Totals and document frequencies are aggregates attached
-    by key, never windows, so neither a large document nor a word of all documents ends up in
-    one task.
+    documents over those with the term. Totals and document frequencies are aggregates of the
+    written counts, attached by key and never windows, so neither a large document nor a word of
+    all documents ends up in one task.
     """
-    documents = counts.groupBy(document).agg(F.sum(n).alias("_all"), F.count("*").alias("_rows"))
-    terms = counts.groupBy(term).agg(F.count("*").alias("_df")).withColumn("_rows", F.col("_df"))
+    counts = written(counts)
+    documents = written(counts.groupBy(document).agg(F.sum(n).alias("_all"), F.count("*").alias("_rows")))
+    terms = written(counts.groupBy(term).agg(F.count("*").alias("_df"), F.count("*").alias("_rows")))
     number = documents.agg(F.count("*").alias("_documents"))
     tf = F.col(n) / F.col("_all")
     idf = F.log(F.col("_documents") / F.col("_df"))
-    scored = attach(attach_few(counts, documents, document, "_rows"), terms, term, "_rows")
+    scored = attach(attach(counts, documents, document, "_rows"), terms, term, "_rows")
     scored = scored.crossJoin(F.broadcast(number)).select(
         *counts.columns, tf.alias("tf"), idf.alias("idf"), (tf * idf).alias("tf_idf")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.operators.joins import attach
-from parlance.operators.ranks import checkpointed
+from parlance.storage import written
 
 
 def fit_by_joins(
@@ -31,7 +31,7 @@ def fit_by_joins(
     """
     alpha = 50 / k + 1 if alpha is None else alpha
     topics = range(1, k + 1)
-    cells = checkpointed(
+    cells = written(
         counts.where(F.col("word").isNotNull()).select("Message_ID_int", "Group_Name", "word", "n")
     )
     draws = [
@@ -77,7 +77,7 @@ def _shares(likely: list[Column]) -> list[Column]:
 
 def _sums(shared: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """Sums by word (with its number of cells) and by message, made in one pass and written down to end the lineage."""
-    both = checkpointed(
+    both = written(
         shared.groupingSets([["word"], ["Message_ID_int", "Group_Name"]], "word", "Message_ID_int", "Group_Name").agg(
             F.count("*").alias("_rows"), *[F.sum(f"t{i}").alias(f"t{i}") for i in range(1, k + 1)]
         )

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from parlance.functions.text import words
 from parlance.operators.counts import count
 from parlance.operators.joins import attach, fits_broadcast
-from parlance.operators.ranks import checkpointed, top_n, with_position
+from parlance.operators.ranks import top_n, with_position
 from parlance.operators.tokens import tokens, without_stop_words
 from parlance.operators.topic_joins import fit_by_joins
+from parlance.storage import checkpointed, written
 
 # The in-memory fit keeps a terms x topics matrix on the driver and sends it to every task.
 MODEL_BYTES = 64 * 1024 * 1024
@@ -51,6 +52,7 @@ def document_term_matrix(counts: DataFrame) -> DataFrame:
 
     ``counts`` is :func:`message_word_counts`; messages without words have no cell.
     """
+    counts = written(counts)
     cells = counts.where(F.col("word").isNotNull()).select("Message_ID_int", "word", "n")
     return attach(cells, vocabulary(counts), "word", "messages").select("Message_ID_int", "term_index", "n")
 
@@ -84,7 +86,7 @@ def fit_topics(
     prior. Beyond, :func:`fit_by_joins` takes over, which holds no table in one place.
     """
     clean = without_stop_words(tokens(messages), stop_words)
-    known = checkpointed(clean.where(F.col("word").isNotNull()).select("word").distinct())
+    known = written(clean.where(F.col("word").isNotNull()).select("word").distinct())
     rows = MODEL_BYTES // (8 * k)
     if not (fits_broadcast(known, rows, MODEL_BYTES) and fits_broadcast(stop_words)):
         return TopicModel(k, *fit_by_joins(message_word_counts(clean), k, seed, max_iter))
@@ -107,7 +109,7 @@ def fit_topics(
         mixed = model.transform(vectors).select(
             "Message_ID_int", "Group_Name", vector_to_array("topicDistribution").alias("weights")
         )
-        return TopicModel(k, messages.sparkSession.createDataFrame(table), checkpointed(mixed))
+        return TopicModel(k, written(messages.sparkSession.createDataFrame(table)), written(mixed))
     finally:
         vectors.unpersist()
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.sources import as_messages, spread_out
+from parlance.sources import LEXICONS, as_messages, lookup_table, spread_out
 
 FOCUS_GROUP = "src0"
 
@@ -34,12 +34,12 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bing(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(BING, "word string, sentiment string")
+    return lookup_table(spark, LEXICONS["bing"], BING)
 
 
 def afinn(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(AFINN, "word string, value int")
+    return lookup_table(spark, LEXICONS["afinn"], AFINN)
 
 
 def nrc(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(NRC, "word string, sentiment string")
+    return lookup_table(spark, LEXICONS["nrc"], NRC)

@@ -1,7 +1,9 @@
 from parlance.sources.lexicons import (
     CUSTOM_WORDS,
+    LEXICONS,
     bind_rows,
     custom_stop_words,
+    lookup_table,
     read_lexicon,
     stop_words,
 )
@@ -9,10 +11,12 @@ from parlance.sources.messages import MESSAGES, as_messages, read_messages, spre
 
 __all__ = [
     "CUSTOM_WORDS",
+    "LEXICONS",
     "MESSAGES",
     "as_messages",
     "bind_rows",
     "custom_stop_words",
+    "lookup_table",
     "read_lexicon",
     "read_messages",
     "spread_out",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ CUSTOM_WORDS = [
     "user", "cloud", "nice", "ha", "tag", None, "www.yammer.com", "cognizant.com", "https", "3", "6", "101",
 ]
 
-STOP_WORDS = "word string, lexicon string"
+STOP_WORDS = {"word": "string", "lexicon": "string"}
 
 
 def read_lexicon(spark: SparkSession, path: str, name: str, format: str = "parquet") -> DataFrame:
@@ -36,17 +37,17 @@ def stop_words(spark: SparkSession, path: str | None = None, format: str = "parq
     """The stop-word list at ``path``, or the short English list that comes with Spark."""
     if path is None:
         words = StopWordsRemover.loadDefaultStopWords("english")
-        return spark.createDataFrame([(word, "spark") for word in words], STOP_WORDS)
+        return lookup_table(spark, STOP_WORDS, [(word, "spark") for word in words])
     reader = spark.read.format(format)
     df = (reader.option("header", True) if format == "csv" else reader).load(path)
-    return _select(df, {"word": "string", "lexicon": "string"}, "stop words")
+    return _select(df, STOP_WORDS, "stop words")
 
 
 def custom_stop_words(
     spark: SparkSession, base: DataFrame, words: Iterable[str | None] = tuple(CUSTOM_WORDS), lexicon: str = "custom"
 ) -> DataFrame:
     """``words`` put in front of the ``base`` stop words."""
-    return bind_rows(spark.createDataFrame([(word, lexicon) for word in words], STOP_WORDS), base)
+    return bind_rows(lookup_table(spark, STOP_WORDS, [(word, lexicon) for word in words]), base)
 
 
 def bind_rows(first: DataFrame, *others: DataFrame) -> DataFrame:
@@ -56,6 +57,13 @@ def bind_rows(first: DataFrame, *others: DataFrame) -> DataFrame:
     return first
 
 
+def lookup_table(spark: SparkSession, columns: dict[str, str], rows: Iterable[tuple]) -> DataFrame:
+    """A small table given in the program, kept in the plan itself."""
+    kinds = {"string": pa.string(), "int": pa.int32()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in columns.items()])
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(columns, row)) for row in rows], schema=schema))
+
+
 def _select(df: DataFrame, columns: dict[str, str], what: str) -> DataFrame:
     missing = [name for name in columns if name not in df.columns]
     if missing:
