@@ -41,5 +41,5 @@ def ngrams(tokens: Column, n: int, short: str = "drop") -> Column:
         return runs
     if short != "null":
         raise ValueError(f"short is 'drop' or 'null', not {short!r}")
-    nothing = F.array(F.struct(*[F.lit(None).cast("string") for _ in range(n)]))
+    nothing = F.arrays_zip(*[F.array(F.lit(None).cast("string"))] * n)
     return F.when(F.size(tokens) >= n, runs).otherwise(nothing)

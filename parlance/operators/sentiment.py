@@ -56,11 +56,14 @@ def sentiment_top_terms(word_counts: DataFrame, n: int = 15, labels: Sequence[st
 
 
 def lexicon_use(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Lexicon rows whose word occurs, each with the number of its uses as ``n``.
+    """All rows of ``lexicon``, each with the number of uses of its word as ``n``.
 
-    The words are counted first, so the lexicon meets one row per word and may repeat words freely.
+    Only listed words are counted, so no more rows than the lexicon has words meet it again.
     """
-    return count(tokens, "word").join(lexicon, "word")
+    used = count(inner_lookup(tokens.select("word"), lexicon.select("word").distinct()), "word")
+    used = used.withColumnRenamed("word", "_used")
+    matched = lexicon.join(used, F.col("word").eqNullSafe(F.col("_used")), "left")
+    return matched.select(*lexicon.columns, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _wide(tokens: DataFrame, lexicon: DataFrame, labels: Sequence[str]) -> DataFrame:

@@ -41,11 +41,16 @@ def fit_by_joins(
     shared = cells.select("*", *_shares(draws))
     words, messages = _sums(shared, k)
     size = words.count()
+    same_message = (F.col("Message_ID_int") == F.col("_id")) & F.col("Group_Name").eqNullSafe(F.col("_group"))
     for _ in range(max_iter):
         totals = words.agg(*[F.sum(f"t{i}").alias(f"a{i}") for i in topics])
-        by_message = messages.select("Message_ID_int", *[F.col(f"t{i}").alias(f"m{i}") for i in topics])
+        by_message = messages.select(
+            F.col("Message_ID_int").alias("_id"),
+            F.col("Group_Name").alias("_group"),
+            *[F.col(f"t{i}").alias(f"m{i}") for i in topics],
+        )
         by_word = words.select("word", "_rows", *[F.col(f"t{i}").alias(f"w{i}") for i in topics])
-        joined = attach(cells.join(by_message, "Message_ID_int"), by_word, "word", "_rows")
+        joined = attach(cells.join(by_message, same_message).drop("_id", "_group"), by_word, "word", "_rows")
         likely = [
             (F.col(f"w{i}") + F.lit(eta - 1))
             * (F.col(f"m{i}") + F.lit(alpha - 1))
@@ -76,7 +81,10 @@ def _shares(likely: list[Column]) -> list[Column]:
 
 
 def _sums(shared: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Sums by word (with its number of cells) and by message, made in one pass and written down to end the lineage."""
+    """Sums by word (with its number of cells) and by message.
+
+    Made in one pass, and written down to end the lineage.
+    """
     both = written(
         shared.groupingSets([["word"], ["Message_ID_int", "Group_Name"]], "word", "Message_ID_int", "Group_Name").agg(
             F.count("*").alias("_rows"), *[F.sum(f"t{i}").alias(f"t{i}") for i in range(1, k + 1)]

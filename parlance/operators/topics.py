@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizerModel, StopWordsRemover
+from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from parlance.functions.text import words
 from parlance.operators.counts import count
-from parlance.operators.joins import attach, fits_broadcast
+from parlance.operators.joins import attach
 from parlance.operators.ranks import top_n, with_position
-from parlance.operators.tokens import tokens, without_stop_words
 from parlance.operators.topic_joins import fit_by_joins
-from parlance.storage import checkpointed, written
+from parlance.sources.messages import spread_out
+from parlance.storage import written
 
 # The in-memory fit keeps a terms x topics matrix on the driver and sends it to every task.
 MODEL_BYTES = 64 * 1024 * 1024
@@ -53,46 +54,44 @@ def document_term_matrix(counts: DataFrame) -> DataFrame:
     ``counts`` is :func:`message_word_counts`; messages without words have no cell.
     """
     counts = written(counts)
-    cells = counts.where(F.col("word").isNotNull()).select("Message_ID_int", "word", "n")
-    return attach(cells, vocabulary(counts), "word", "messages").select("Message_ID_int", "term_index", "n")
+    return _cells(counts, vocabulary(counts)).select("Message_ID_int", "term_index", "n")
 
 
-def term_vectors(messages: DataFrame, stop_words: list[str], terms: list[str]) -> DataFrame:
-    """The same matrix as one sparse vector per message, made inside the row: no shuffle.
+def term_vectors(cells: DataFrame, terms: int) -> DataFrame:
+    """The same matrix as one sparse vector of length ``terms`` per message.
 
-    Both lists must be of checked size: they travel with the tasks.
+    Built by Spark functions in the form vectors are stored in, and read back as vectors. The
+    words of one message come together, which they already were in its body.
     """
-    found = messages.select(
-        "Message_ID_int", "Group_Name", F.filter(words("Message_Body"), lambda word: word.isNotNull()).alias("_all")
+    cell = F.struct((F.col("term_index") - F.lit(1)).cast("int").alias("at"), F.col("n").cast("double").alias("n"))
+    messages = cells.groupBy("Message_ID_int", "Group_Name").agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
+    stored = F.struct(
+        F.lit(0).cast("byte").alias("type"),
+        F.lit(terms).alias("size"),
+        F.col("_cells.at").alias("indices"),
+        F.col("_cells.n").alias("values"),
     )
-    kept = StopWordsRemover(inputCol="_all", outputCol="_words", stopWords=stop_words, caseSensitive=True)
-    index = CountVectorizerModel.from_vocabulary(terms, inputCol="_words", outputCol="features")
-    kept_words = kept.transform(found).where(F.size("_words") > 0)
-    return index.transform(kept_words).select("Message_ID_int", "Group_Name", "features")
+    rows = messages.select("Message_ID_int", "Group_Name", stored.alias("features"))
+    vectors = T.StructType([*rows.schema.fields[:2], T.StructField("features", VectorUDT())])
+    return written(rows, vectors)
 
 
 def fit_topics(
-    messages: DataFrame,
-    stop_words: DataFrame,
-    k: int = 13,
-    seed: int = 1234,
-    max_iter: int = 20,
-    alpha: float | None = None,
+    counts: DataFrame, k: int = 13, seed: int = 1234, max_iter: int = 20, alpha: float | None = None
 ) -> TopicModel:
-    """Fit ``k`` topics to the messages, every word counting.
+    """Fit ``k`` topics to :func:`message_word_counts`, every word counting.
 
     While vocabulary times topics stays below ``MODEL_BYTES``, this is Spark's online variational
     Bayes over all messages in each iteration, ``alpha`` (50/k) being the start of an estimated
     prior. Beyond, :func:`fit_by_joins` takes over, which holds no table in one place.
     """
-    clean = without_stop_words(tokens(messages), stop_words)
-    known = written(clean.where(F.col("word").isNotNull()).select("word").distinct())
-    rows = MODEL_BYTES // (8 * k)
-    if not (fits_broadcast(known, rows, MODEL_BYTES) and fits_broadcast(stop_words)):
-        return TopicModel(k, *fit_by_joins(message_word_counts(clean), k, seed, max_iter))
-    terms = sorted(row["word"] for row in known.collect())
-    stops = [row["word"] for row in stop_words.where("word IS NOT NULL").select("word").distinct().collect()]
-    vectors = checkpointed(term_vectors(messages, stops, terms)).persist()
+    counts = written(counts)
+    words = vocabulary(counts)
+    terms = words.count()
+    if terms * k * 8 > MODEL_BYTES:
+        return TopicModel(k, *fit_by_joins(counts, k, seed, max_iter))
+    vectors = spread_out(term_vectors(_cells(counts, words), terms))
+    vectors = vectors.sortWithinPartitions("Message_ID_int").persist()
     try:
         model = LDA(
             k=k,
@@ -103,17 +102,33 @@ def fit_topics(
             optimizeDocConcentration=True,
             subsamplingRate=1.0,
         ).fit(vectors)
-        matrix = model.topicsMatrix().toArray()
-        shares = pa.array((matrix / matrix.sum(axis=0)).tolist(), pa.list_(pa.float64()))
-        table = pa.table({"term": pa.array(terms, pa.string()), "weights": shares})
         mixed = model.transform(vectors).select(
             "Message_ID_int", "Group_Name", vector_to_array("topicDistribution").alias("weights")
         )
-        return TopicModel(k, written(messages.sparkSession.createDataFrame(table)), written(mixed))
+        return TopicModel(k, _term_shares(model, words), written(mixed))
     finally:
         vectors.unpersist()
 
 
+def _cells(counts: DataFrame, words: DataFrame) -> DataFrame:
+    """Counts of words proper, with the place of the word."""
+    return attach(counts.where(F.col("word").isNotNull()), words, "word", "messages")
+
+
+def _term_shares(model: LDAModel, words: DataFrame) -> DataFrame:
+    """The model's matrix, which is of checked size, as shares per topic that sum to 1, with its words."""
+    matrix = model.topicsMatrix().toArray()
+    shares = np.ascontiguousarray(matrix / matrix.sum(axis=0))
+    table = pa.table(
+        {
+            "term_index": pa.array(np.arange(1, len(shares) + 1)),
+            "weights": pa.FixedSizeListArray.from_arrays(shares.ravel(), shares.shape[1]).cast(pa.list_(pa.float64())),
+        }
+    )
+    weights = words.sparkSession.createDataFrame(table)
+    return written(words.join(weights, "term_index").select(F.col("word").alias("term"), "weights"))
+
+
 def beta(model: TopicModel) -> DataFrame:
     """Share of each term in each topic: topic, term, beta."""
     return _by_topic(model.terms, "term", share="beta").select("topic", "term", "beta")

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance import operators as op
+from parlance import sources
 from parlance.plans import inputs
-from parlance.sources import bind_rows, custom_stop_words, stop_words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -20,12 +20,12 @@ def query(analysis):
 
 
 def _custom(spark):
-    return custom_stop_words(spark, stop_words(spark))
+    return sources.custom_stop_words(spark, sources.stop_words(spark))
 
 
 def _clean(messages):
     """Words without stop words; a group filter on ``messages`` reaches the scan through all of it."""
-    return op.without_stop_words(op.tokens(messages), stop_words(messages.sparkSession))
+    return op.without_stop_words(op.tokens(messages), sources.stop_words(messages.sparkSession))
 
 
 def _focus(messages):
@@ -93,24 +93,22 @@ def sentiment_top_terms(spark, sf_dir):
 
 @query
 def lexicons(spark, sf_dir):
-    """Entries of the three lexicons that occur in the messages, with their uses."""
+    """Entries of the three lexicons, with their uses in the messages."""
     no_value, no_label = F.lit(None).cast("int"), F.lit(None).cast("string")
-    entries = bind_rows(
+    entries = sources.bind_rows(
         inputs.afinn(spark).select(F.lit("afinn").alias("lexicon"), "word", no_label.alias("label"), "value"),
         *[
             table.select(F.lit(name).alias("lexicon"), "word", F.col("sentiment").alias("label"), no_value.alias("value"))
             for name, table in (("bing", inputs.bing(spark)), ("nrc", inputs.nrc(spark)))
         ],
     )
-    used = op.lexicon_use(op.tokens(inputs.messages(spark, sf_dir)), entries)
-    return used.select("lexicon", "word", "label", "value", "n")
+    return op.lexicon_use(op.tokens(inputs.messages(spark, sf_dir)), entries)
 
 
 @query
-def custom_stop_word_use(spark, sf_dir):
-    """Entries of the custom and base stop lists that occur in the messages, with their uses."""
-    used = op.lexicon_use(op.tokens(inputs.messages(spark, sf_dir)), _custom(spark))
-    return used.select("word", "lexicon", "n")
+def custom_stop_words(spark, sf_dir):
+    """Custom and base stop words in one list, with their uses in the messages."""
+    return op.lexicon_use(op.tokens(inputs.messages(spark, sf_dir)), _custom(spark))
 
 
 @query
@@ -154,7 +152,7 @@ def bigrams_separated(spark, sf_dir):
 @query
 def bigrams_filtered(spark, sf_dir):
     pairs = op.ngrams(inputs.messages(spark, sf_dir), 2).select("Group_Name", "word1", "word2")
-    return op.ngrams_without(pairs, stop_words(spark), 2)
+    return op.ngrams_without(pairs, sources.stop_words(spark), 2)
 
 
 @query
@@ -190,7 +188,7 @@ def _model(spark, sf_dir):
     """One fit per application and data folder, shared by the topic queries."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _models:
-        _models[key] = op.fit_topics(inputs.messages(spark, sf_dir), stop_words(spark))
+        _models[key] = op.fit_topics(message_word_counts(spark, sf_dir))
     return _models[key]
 
 

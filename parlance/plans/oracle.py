@@ -118,15 +118,15 @@ SELECTS = {
               FROM (SELECT *, rank() OVER (PARTITION BY sentiment ORDER BY n DESC) AS "rank" FROM group_word_sentiment)
               WHERE "rank" <= 15)""",
     "lexicons": """
-        SELECT lexicon, word, label, value, count(*) AS n
-        FROM tokens JOIN (
+        SELECT lexicon, word, label, value, coalesce(n, 0) AS n
+        FROM (
           SELECT 'afinn' AS lexicon, word, NULL AS label, value FROM afinn
           UNION ALL SELECT 'bing', word, sentiment, NULL FROM bing
-          UNION ALL SELECT 'nrc', word, sentiment, NULL FROM nrc) USING (word)
-        GROUP BY ALL""",
-    "custom_stop_word_use": """
-        SELECT word, lexicon, n FROM custom_stop_words JOIN (SELECT word, count(*) AS n FROM tokens GROUP BY word)
-        USING (word)""",
+          UNION ALL SELECT 'nrc', word, sentiment, NULL FROM nrc)
+        LEFT JOIN (SELECT word, count(*) AS n FROM tokens GROUP BY word) USING (word)""",
+    "custom_stop_words": """
+        SELECT c.word, lexicon, coalesce(n, 0) AS n FROM custom_stop_words c
+        LEFT JOIN (SELECT word, count(*) AS n FROM tokens GROUP BY word) t ON t.word IS NOT DISTINCT FROM c.word""",
     "group_word_counts": "SELECT * FROM group_word_counts ORDER BY n DESC, Group_Name, word",
     "group_totals": "SELECT * FROM group_totals",
     "group_words": "SELECT Group_Name, word, n, total FROM group_words JOIN group_totals USING (Group_Name)",

@@ -6,23 +6,19 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
-def written(rows: DataFrame) -> DataFrame:
+def written(rows: DataFrame, schema: StructType | None = None) -> DataFrame:
     """Compute ``rows`` once into a table in the checkpoint folder, and read it from there ever after.
 
     Later steps read only the columns they need, and a lost executor costs no recomputation.
+    ``schema`` reads the table back under other types of the same storage form.
     """
     spark = rows.sparkSession
     path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
-
-
-def checkpointed(rows: DataFrame) -> DataFrame:
-    """Like :func:`written`, for rows whose division into partitions must stay as it is."""
-    checkpoint_folder(rows.sparkSession)
-    return rows.checkpoint()
+    return spark.read.schema(schema or rows.schema).parquet(path)
 
 
 def checkpoint_folder(spark: SparkSession) -> str:

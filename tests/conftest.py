@@ -1,0 +1,70 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+from parlance.session import local_session  # noqa: E402
+from parlance.sources import LEXICONS, as_messages, custom_stop_words, lookup_table  # noqa: E402
+
+BODIES = [
+    (1, 1, "A", "I work here. I can't work!"),
+    (2, 1, "A", "Good good bad"),
+    (3, 2, "A", "See https://www.yammer.com good"),
+    (4, 1, "B", "work"),
+    (5, 2, "B", "the envious work"),
+    (6, 2, "B", None),
+    (7, 2, "B", ""),
+]
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = local_session(4, memory="6g", app="parlance-tests")
+    yield session
+    session.stop()
+
+
+@pytest.fixture(scope="session")
+def messages(spark):
+    schema = "Message_ID_int long, Month_Index int, Group_Name string, Message_Body string"
+    return as_messages(spark.createDataFrame(BODIES, schema))
+
+
+@pytest.fixture(scope="session")
+def stops(spark):
+    return lookup_table(spark, {"word": "string", "lexicon": "string"}, [(w, "test") for w in ("i", "the", "see")])
+
+
+@pytest.fixture(scope="session")
+def custom(spark, stops):
+    return custom_stop_words(spark, stops)
+
+
+@pytest.fixture(scope="session")
+def bing(spark):
+    rows = [("good", "positive"), ("bad", "negative"), ("envious", "positive"), ("envious", "negative")]
+    return lookup_table(spark, LEXICONS["bing"], rows)
+
+
+@pytest.fixture
+def no_broadcast(monkeypatch):
+    """Treat every lookup as too large to broadcast, and only keys with a fifth of all rows as hot."""
+    from parlance.operators import joins
+
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(joins, "HOT_KEYS", 5)
+
+
+@pytest.fixture(params=["broadcast", "split"])
+def either_join(request):
+    """Run the test with the lookups broadcast, and again with the joins for large lookups."""
+    if request.param == "split":
+        request.getfixturevalue("no_broadcast")
+    return request.param
+
+
+def rows(df):
+    """Rows as a sorted list of tuples, nulls first."""
+    return sorted((tuple(row) for row in df.collect()), key=lambda row: [(v is not None, v) for v in row])

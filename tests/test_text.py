@@ -1,0 +1,113 @@
+import re
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from parlance.functions import ngrams, words
+from parlance.operators import ngrams as ngram_rows
+from parlance.operators import separate, tokens, unite
+
+
+def split(spark, text, mode="plain"):
+    return spark.createDataFrame([(text,)], "t string").select(words("t", mode)).first()[0]
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("I can't", ["i", "can't"]),
+        ("www.yammer.com https://x", ["www.yammer.com", "https", "x"]),
+        ("don’t L'ÉTÉ a_b e.g.", ["don’t", "l'été", "a_b", "e.g"]),
+        ("x-y 12:30", ["x", "y", "12", "30"]),
+        ("3,000.50 a.1", ["3", "000.50", "a.1"]),
+        ("'quoted' ...", ["quoted"]),
+        ("line\nbreak\ttab", ["line", "break", "tab"]),
+        ("", []),
+        (" !? ", []),
+        (None, [None]),
+    ],
+)
+def test_plain_words(spark, text, expected):
+    assert split(spark, text) == expected
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("3,000.50", ["3,000.50"]),
+        ("a.1", ["a", "1"]),
+        ("a1b 4x4", ["a1b", "4x4"]),
+        ("can't www.yammer.com", ["can't", "www.yammer.com"]),
+        ("__ _a a_b", ["_a", "a_b"]),
+        ("one,two", ["one", "two"]),
+        (None, [None]),
+    ],
+)
+def test_words_by_unicode_boundaries(spark, text, expected):
+    assert split(spark, text, "uax") == expected
+
+
+def test_long_dotted_run_is_one_word(spark):
+    text = "a." * 200_000
+    assert split(spark, text) == [text[:-1]]
+    assert split(spark, text, "uax") == [text[:-1]]
+
+
+def test_whole_text_is_read(spark):
+    assert len(split(spark, "word " * 300_000)) == 300_000
+
+
+def test_tokens(spark, messages):
+    found = tokens(messages)
+    assert found.columns == ["Message_ID_int", "Month_Index", "Group_Name", "word"]
+    per_message = {row["Message_ID_int"]: row["count"] for row in found.groupBy("Message_ID_int").count().collect()}
+    assert per_message == {1: 6, 2: 3, 3: 4, 4: 1, 5: 3, 6: 1}
+    assert rows(found.where("Message_ID_int = 6")) == [(6, 2, "B", None)]
+
+
+def test_bigrams_overlap_and_stay_inside_a_message(messages):
+    found = ngram_rows(messages, 2)
+    assert found.where("Message_ID_int = 1").select("word1", "word2").collect() == [
+        ("i", "work"),
+        ("work", "here"),
+        ("here", "i"),
+        ("i", "can't"),
+        ("can't", "work"),
+    ]
+    assert found.count() == 12
+    assert ngram_rows(messages, 3).count() == 8
+
+
+def test_short_messages_may_give_a_null_ngram(messages):
+    found = ngram_rows(messages, 2, short="null")
+    assert rows(found.where("word1 IS NULL").select("Message_ID_int", "word2")) == [(4, None), (6, None), (7, None)]
+    assert found.count() == 15
+    with pytest.raises(ValueError):
+        ngrams(F.col("x"), 2, short="other")
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5])
+def test_ngrams_match_brute_force(spark, n):
+    texts = ["a b c d e f", "a a a a", "x", "", "p. q! r's"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, Message_Body string")
+    expected = []
+    for i, text in enumerate(texts):
+        ws = re.findall(r"\w+(?:'\w+)*", text)
+        expected += [(i, *ws[j : j + n]) for j in range(len(ws) - n + 1)]
+    assert rows(ngram_rows(df, n)) == sorted(expected)
+
+
+def test_unite_and_separate(spark):
+    df = spark.createDataFrame([("g", "a", "b", 1), ("g", None, None, 2)], "k string, w1 string, w2 string, n int")
+    united = unite(df, "pair", ["w1", "w2"])
+    assert united.columns == ["k", "pair", "n"]
+    assert rows(united) == [("g", "NA NA", 2), ("g", "a b", 1)]
+    back = separate(united.where("n = 1"), "pair", ["w1", "w2"])
+    assert back.columns == ["k", "w1", "w2", "n"]
+    assert rows(back) == [("g", "a", "b", 1)]
+
+
+def test_separate_fills_and_drops(spark):
+    df = spark.createDataFrame([("a b c",), ("a",), (None,)], "t string")
+    assert rows(separate(df, "t", ["x", "y"])) == [(None, None), ("a", None), ("a", "b")]
