@@ -13,21 +13,18 @@ from parlance.storage import written
 def top_n(rows: DataFrame, by: str, values: Sequence, weight: str, n: int) -> DataFrame:
     """Rows with ``rank() <= n`` by descending ``weight`` within each of ``values`` of ``by``, ties kept.
 
-    The cut is made on how many rows each distinct weight has: at most ``n`` weights for each of
-    the given ``values`` can pass, so the broadcast cut has at most ``n * len(values)`` rows, and
-    the windows see no more than the best ``n`` weights of each partition.
+    Each partition passes on its ``n`` largest weights per value, however many rows tie with them;
+    the best ``n`` of those are ranked, at most ``n * len(values)`` rows, and broadcast to pick
+    every row that has one of their weights.
     """
     rows = rows.where(F.col(by).isin(list(values)))
     best = Window.partitionBy(by).orderBy(F.desc(weight))
     cut = (
-        rows.groupBy(by, weight)
-        .agg(F.count("*").alias("_rows"))
-        .withColumn("_place", F.row_number().over(best))
+        rows.select(by, weight, F.row_number().over(best).alias("_place"))
         .where(F.col("_place") <= n)
-        .withColumn("_before", F.sum("_rows").over(best.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("rank", F.coalesce(F.col("_before"), F.lit(0)) + F.lit(1))
-        .where(F.col("rank") <= n)
+        .withColumn("rank", F.rank().over(best).cast("long"))
         .select(by, weight, "rank")
+        .distinct()
     )
     return rows.join(F.broadcast(cut), [by, weight]).select(*rows.columns, "rank")
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.operators.joins import attach
-from parlance.storage import written
+from parlance.storage import table_path, written
 
 
 def fit_by_joins(
@@ -39,10 +39,11 @@ def fit_by_joins(
         for i in topics
     ]
     shared = cells.select("*", *_shares(draws))
-    words, messages = _sums(shared, k)
+    places = [table_path(cells.sparkSession) for _ in range(2)]
+    words, messages = _sums(shared, k, places[0])
     size = words.count()
     same_message = (F.col("Message_ID_int") == F.col("_id")) & F.col("Group_Name").eqNullSafe(F.col("_group"))
-    for _ in range(max_iter):
+    for turn in range(1, max_iter + 1):
         totals = words.agg(*[F.sum(f"t{i}").alias(f"a{i}") for i in topics])
         by_message = messages.select(
             F.col("Message_ID_int").alias("_id"),
@@ -58,7 +59,7 @@ def fit_by_joins(
             for i in topics
         ]
         shared = joined.crossJoin(F.broadcast(totals)).select(*cells.columns, *_shares(likely))
-        words, messages = _sums(shared, k)
+        words, messages = _sums(shared, k, places[turn % 2])
     totals = words.agg(*[F.sum(f"t{i}").alias(f"a{i}") for i in topics])
     in_topic = [
         (F.col(f"t{i}") + F.lit(eta - 1)) / (F.col(f"a{i}") + F.lit(size * (eta - 1))) for i in topics
@@ -71,7 +72,7 @@ def fit_by_joins(
     mixed = messages.select(
         "Message_ID_int", "Group_Name", F.array(*[column / whole for column in received]).alias("weights")
     )
-    return terms, mixed
+    return written(terms), written(mixed)
 
 
 def _shares(likely: list[Column]) -> list[Column]:
@@ -80,15 +81,16 @@ def _shares(likely: list[Column]) -> list[Column]:
     return [(F.col("n") * column / whole).alias(f"t{i}") for i, column in enumerate(likely, 1)]
 
 
-def _sums(shared: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+def _sums(shared: DataFrame, k: int, place: str) -> tuple[DataFrame, DataFrame]:
     """Sums by word (with its number of cells) and by message.
 
-    Made in one pass, and written down to end the lineage.
+    Made in one pass, and written down to end the lineage, over the round before last.
     """
     both = written(
         shared.groupingSets([["word"], ["Message_ID_int", "Group_Name"]], "word", "Message_ID_int", "Group_Name").agg(
             F.count("*").alias("_rows"), *[F.sum(f"t{i}").alias(f"t{i}") for i in range(1, k + 1)]
-        )
+        ),
+        path=place,
     )
     words = both.where(F.col("word").isNotNull()).drop("Message_ID_int", "Group_Name")
     messages = both.where(F.col("word").isNull()).drop("word", "_rows")

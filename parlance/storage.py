@@ -9,18 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
-def written(rows: DataFrame, schema: StructType | None = None) -> DataFrame:
+def written(rows: DataFrame, schema: StructType | None = None, path: str | None = None) -> DataFrame:
     """Compute ``rows`` once into a table in the checkpoint folder, and read it from there ever after.
 
     Later steps read only the columns they need, and a lost executor costs no recomputation.
-    ``schema`` reads the table back under other types of the same storage form.
+    ``schema`` reads the table back under other types of the same storage form. A ``path`` from
+    :func:`table_path` is written over, which an iteration does with tables it no longer reads.
     """
     spark = rows.sparkSession
-    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
+    path = path or table_path(spark)
+    rows.write.mode("overwrite").parquet(path)
     return spark.read.schema(schema or rows.schema).parquet(path)
 
 
+def table_path(spark: SparkSession) -> str:
+    return f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; only a one-machine session may do with a temporary one."""
     context = spark.sparkContext
