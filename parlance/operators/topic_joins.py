@@ -31,27 +31,20 @@ def fit_by_joins(
     """
     alpha = 50 / k + 1 if alpha is None else alpha
     topics = range(1, k + 1)
-    cells = written(
-        counts.where(F.col("word").isNotNull()).select("Message_ID_int", "Group_Name", "word", "n")
-    )
+    message = F.concat_ws("\u0000", F.col("Message_ID_int").cast("string"), "Group_Name")
+    cells = written(counts.where(F.col("word").isNotNull()).select(message.alias("message"), "word", "n"))
     draws = [
-        F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "Message_ID_int", "word"), F.lit(1_000_003)) + F.lit(1.0)
-        for i in topics
+        F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "message", "word"), F.lit(1_000_003)) + F.lit(1.0) for i in topics
     ]
     shared = cells.select("*", *_shares(draws))
     places = [table_path(cells.sparkSession) for _ in range(2)]
     words, messages = _sums(shared, k, places[0])
     size = words.count()
-    same_message = (F.col("Message_ID_int") == F.col("_id")) & F.col("Group_Name").eqNullSafe(F.col("_group"))
     for turn in range(1, max_iter + 1):
         totals = words.agg(*[F.sum(f"t{i}").alias(f"a{i}") for i in topics])
-        by_message = messages.select(
-            F.col("Message_ID_int").alias("_id"),
-            F.col("Group_Name").alias("_group"),
-            *[F.col(f"t{i}").alias(f"m{i}") for i in topics],
-        )
+        by_message = messages.select("message", "_rows", *[F.col(f"t{i}").alias(f"m{i}") for i in topics])
         by_word = words.select("word", "_rows", *[F.col(f"t{i}").alias(f"w{i}") for i in topics])
-        joined = attach(cells.join(by_message, same_message).drop("_id", "_group"), by_word, "word", "_rows")
+        joined = attach(attach(cells, by_message, "message", "_rows"), by_word, "word", "_rows")
         likely = [
             (F.col(f"w{i}") + F.lit(eta - 1))
             * (F.col(f"m{i}") + F.lit(alpha - 1))
@@ -69,8 +62,11 @@ def fit_by_joins(
     )
     received = [F.col(f"t{i}") + F.lit(alpha - 1) for i in topics]
     whole = reduce(add, received)
+    key = F.split("message", "\u0000", 2)
     mixed = messages.select(
-        "Message_ID_int", "Group_Name", F.array(*[column / whole for column in received]).alias("weights")
+        F.get(key, F.lit(0)).cast("long").alias("Message_ID_int"),
+        F.get(key, F.lit(1)).alias("Group_Name"),
+        F.array(*[column / whole for column in received]).alias("weights"),
     )
     return written(terms), written(mixed)
 
@@ -82,16 +78,13 @@ def _shares(likely: list[Column]) -> list[Column]:
 
 
 def _sums(shared: DataFrame, k: int, place: str) -> tuple[DataFrame, DataFrame]:
-    """Sums by word (with its number of cells) and by message.
+    """Sums by word and by message, each with its number of cells.
 
     Made in one pass, and written down to end the lineage, over the round before last.
     """
+    sums = [F.sum(f"t{i}").alias(f"t{i}") for i in range(1, k + 1)]
     both = written(
-        shared.groupingSets([["word"], ["Message_ID_int", "Group_Name"]], "word", "Message_ID_int", "Group_Name").agg(
-            F.count("*").alias("_rows"), *[F.sum(f"t{i}").alias(f"t{i}") for i in range(1, k + 1)]
-        ),
+        shared.groupingSets([["word"], ["message"]], "word", "message").agg(F.count("*").alias("_rows"), *sums),
         path=place,
     )
-    words = both.where(F.col("word").isNotNull()).drop("Message_ID_int", "Group_Name")
-    messages = both.where(F.col("word").isNull()).drop("word", "_rows")
-    return words, messages
+    return both.where(F.col("word").isNotNull()).drop("message"), both.where(F.col("word").isNull()).drop("word")

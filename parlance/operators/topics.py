@@ -61,7 +61,7 @@ def term_vectors(cells: DataFrame, terms: int) -> DataFrame:
     """The same matrix as one sparse vector of length ``terms`` per message.
 
     Built by Spark functions in the form vectors are stored in, and read back as vectors. The
-    words of one message come together, which they already were in its body.
+    cells of one message come together, at most ``terms`` of them.
     """
     cell = F.struct((F.col("term_index") - F.lit(1)).cast("int").alias("at"), F.col("n").cast("double").alias("n"))
     messages = cells.groupBy("Message_ID_int", "Group_Name").agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
