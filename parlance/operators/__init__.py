@@ -1,4 +1,4 @@
-from parlance.operators.counts import count, frequent_words, spread, word_cloud
+from parlance.operators.counts import count, frequent_words, in_group, spread, word_cloud
 from parlance.operators.joins import anti_lookup, attach, attach_split, fits_broadcast, inner_lookup
 from parlance.operators.ranks import top_n, with_position
 from parlance.operators.sentiment import (
@@ -26,4 +26,44 @@ from parlance.operators.topics import (
     vocabulary,
 )
 
-__all__ = [name for name in dir() if not name.startswith("_")]
+__all__ = [
+    "TopicModel",
+    "anti_lookup",
+    "attach",
+    "attach_split",
+    "beta",
+    "bind_tf_idf",
+    "count",
+    "document_term_matrix",
+    "fit_topics",
+    "fits_broadcast",
+    "frequent_words",
+    "gamma",
+    "group_totals",
+    "group_words",
+    "in_group",
+    "inner_lookup",
+    "label_counts",
+    "lexicon_use",
+    "message_word_counts",
+    "net_sentiment",
+    "ngrams",
+    "ngrams_without",
+    "sentiment_counts",
+    "sentiment_top_terms",
+    "separate",
+    "spread",
+    "term_vectors",
+    "tokens",
+    "top_n",
+    "topic_assignment",
+    "topic_group_check",
+    "topic_purity",
+    "topic_top_terms",
+    "unite",
+    "vocabulary",
+    "with_position",
+    "without_stop_words",
+    "word_cloud",
+    "word_sentiment",
+]

@@ -19,6 +19,11 @@ def count(rows: DataFrame, *columns: str, sort: bool = False) -> DataFrame:
     return counts.orderBy(F.desc("n"), *columns) if sort else counts
 
 
+def in_group(rows: DataFrame, group: str = "Book_Review") -> DataFrame:
+    """Rows of one group; on messages or their words alike, the filter reaches the scan."""
+    return rows.where(F.col("Group_Name") == group)
+
+
 def frequent_words(counts: DataFrame, min_count: int = 1500) -> DataFrame:
     """Words counted more than ``min_count`` times, ``ord`` giving their place from the least count up."""
     return with_position(counts.where(F.col("n") > min_count), "n", "word")

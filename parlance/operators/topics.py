@@ -90,6 +90,8 @@ def fit_topics(
     counts = written(counts)
     words = vocabulary(counts)
     terms = words.count()
+    if not terms:
+        raise ValueError("no message has a word to fit topics to")
     if terms * k * 8 > MODEL_BYTES:
         return TopicModel(k, *fit_by_joins(counts, k, seed, max_iter))
     vectors = spread_out(term_vectors(_cells(counts, words), terms))

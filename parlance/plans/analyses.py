@@ -28,8 +28,8 @@ def _clean(messages):
     return op.without_stop_words(op.tokens(messages), sources.stop_words(messages.sparkSession))
 
 
-def _focus(messages):
-    return messages.where(F.col("Group_Name") == inputs.FOCUS_GROUP)
+def _focus(spark, sf_dir):
+    return op.in_group(inputs.messages(spark, sf_dir), inputs.FOCUS_GROUP)
 
 
 @query
@@ -77,17 +77,17 @@ def sentiment_spread(spark, sf_dir):
 
 @query
 def group_sentiment(spark, sf_dir):
-    return op.net_sentiment(_clean(_focus(inputs.messages(spark, sf_dir))), inputs.bing(spark))
+    return op.net_sentiment(_clean(_focus(spark, sf_dir)), inputs.bing(spark))
 
 
 @query
 def group_word_sentiment(spark, sf_dir):
-    return op.word_sentiment(_clean(_focus(inputs.messages(spark, sf_dir))), inputs.bing(spark))
+    return op.word_sentiment(_clean(_focus(spark, sf_dir)), inputs.bing(spark))
 
 
 @query
 def sentiment_top_terms(spark, sf_dir):
-    clean = _clean(_focus(inputs.messages(spark, sf_dir)))
+    clean = _clean(_focus(spark, sf_dir))
     return op.sentiment_top_terms(op.word_sentiment(clean, inputs.bing(spark), sort=False))
 
 

@@ -1,12 +1,15 @@
+import random
 import re
 
 import pytest
+import regex
 from conftest import rows
 from pyspark.sql import functions as F
 
 from parlance.functions import ngrams, words
 from parlance.operators import ngrams as ngram_rows
 from parlance.operators import separate, tokens, unite
+from parlance.plans.oracle import TOKEN as SQL_TOKEN
 
 
 def split(spark, text, mode="plain"):
@@ -48,6 +51,18 @@ def test_words_by_unicode_boundaries(spark, text, expected):
     assert split(spark, text, "uax") == expected
 
 
+def test_random_texts_split_like_the_plain_pattern(spark):
+    """The pattern the SQL uses, without possessive quantifiers, run by another regex engine."""
+    draw = random.Random(11)
+    letters = "aB9_é\u0301ß中'’.-,;: \n"
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randrange(60))) for _ in range(3000)]
+    found = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", words("t").alias("ws"))
+    pattern = regex.compile(SQL_TOKEN)
+    assert {r["id"]: r["ws"] for r in found.collect()} == {
+        i: pattern.findall(text.lower()) for i, text in enumerate(texts)
+    }
+
+
 def test_long_dotted_run_is_one_word(spark):
     text = "a." * 200_000
     assert split(spark, text) == [text[:-1]]

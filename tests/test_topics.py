@@ -122,6 +122,19 @@ def fit_with_joins(counts, monkeypatch):
     return fit_topics(counts, k=3, max_iter=3)
 
 
+def test_message_keys_survive_the_joins(spark, monkeypatch):
+    table = [("A", 7, "x", 2), (None, 8, "x", 1), ("", 9, "y", 1), ("a\u0000b", 10, "y", 3), (None, 11, None, 1)]
+    counts = spark.createDataFrame(table, "Group_Name string, Message_ID_int long, word string, n long")
+    found = fit_with_joins(counts, monkeypatch).messages.select("Message_ID_int", "Group_Name").collect()
+    assert {(r["Group_Name"], r["Message_ID_int"]) for r in found} == {("A", 7), (None, 8), ("", 9), ("a\u0000b", 10)}
+
+
+def test_no_words_no_topics(spark):
+    empty = spark.createDataFrame([("A", 1, None, 1)], "Group_Name string, Message_ID_int long, word string, n long")
+    with pytest.raises(ValueError, match="no message has a word"):
+        fit_topics(empty)
+
+
 def test_same_seed_same_fit(two_subjects):
     first, second = (fit_topics(two_subjects, k=3, max_iter=5) for _ in range(2))
     a = {(r["term"], r["topic"]): r["beta"] for r in beta(first).collect()}

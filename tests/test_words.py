@@ -4,6 +4,7 @@ from conftest import rows
 from parlance.operators import (
     count,
     frequent_words,
+    in_group,
     inner_lookup,
     label_counts,
     lexicon_use,
@@ -78,9 +79,10 @@ def test_spread_of_counts_is_the_net_sentiment(clean, bing):
 
 
 def test_group_word_sentiment(clean, bing, either_join):
-    one = word_sentiment(clean.where("Group_Name = 'A'"), bing)
+    one = word_sentiment(in_group(clean, "A"), bing)
     assert [tuple(row) for row in one.collect()] == [("good", "positive", 3), ("bad", "negative", 1)]
-    other = word_sentiment(clean.where("Group_Name = 'B'"), bing)
+    other = word_sentiment(in_group(clean, "B"), bing)
+    assert in_group(clean).count() == 0
     assert rows(other) == [("envious", "negative", 1), ("envious", "positive", 1)]
 
 
