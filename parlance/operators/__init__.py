@@ -10,7 +10,15 @@ from parlance.operators.sentiment import (
     word_sentiment,
 )
 from parlance.operators.tfidf import bind_tf_idf, group_totals, group_words
-from parlance.operators.tokens import ngrams, ngrams_without, separate, tokens, unite, without_stop_words
+from parlance.operators.tokens import (
+    by_message,
+    ngrams,
+    ngrams_without,
+    separate,
+    tokens,
+    unite,
+    without_stop_words,
+)
 from parlance.operators.topics import (
     TopicModel,
     beta,
@@ -33,6 +41,7 @@ __all__ = [
     "attach_split",
     "beta",
     "bind_tf_idf",
+    "by_message",
     "count",
     "document_term_matrix",
     "fit_topics",

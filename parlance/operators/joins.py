@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parlance.storage import written
+
 # A table is broadcast only when it is counted and measured to be below both bounds.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -58,10 +60,10 @@ def inner_lookup(rows: DataFrame, lookup: DataFrame, word: str = "word") -> Data
 
 
 def _attach_lookup(rows: DataFrame, listed: DataFrame, column: str) -> DataFrame:
-    """Left join to a large lookup with unique ``_listed`` words."""
+    """Left join to a large lookup with unique ``_listed`` words; makes a second pass over ``rows``."""
     counted = rows.groupBy(column).agg(F.count("*").alias("_rows"))
     keyed = counted.join(listed, F.col(column).eqNullSafe(F.col("_listed")), "left").drop("_listed")
-    return attach_split(rows, keyed, column, "_rows")
+    return attach_split(rows, written(keyed), column, "_rows")
 
 
 def attach(rows: DataFrame, keyed: DataFrame, key: str, weight: str) -> DataFrame:
@@ -82,7 +84,9 @@ def attach_split(rows: DataFrame, keyed: DataFrame, key: str, weight: str) -> Da
 
     Hot keys, of which there are at most ``HOT_KEYS`` because each holds more than that share of
     all rows, are broadcast; so is null. The other keys meet in an ordinary shuffle join, into
-    which rows of hot keys are dealt evenly, as they need nothing from it.
+    which rows of hot keys are dealt evenly, as they need nothing from it. They are dealt by all
+    their columns, not at random, so that a repeated task deals the same; rows should therefore
+    still have a column that tells them apart, such as the message id.
     """
     added = [name for name in keyed.columns if name not in (key, weight)]
     hot = hot_keys(keyed, key, weight).select(F.col(key).alias("_hot_key"), F.struct(*added).alias("_hot"))

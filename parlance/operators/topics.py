@@ -38,7 +38,10 @@ class TopicModel:
 
 
 def message_word_counts(clean_tokens: DataFrame) -> DataFrame:
-    """Uses of each word in each message: Group_Name, Message_ID_int, word, n."""
+    """Uses of each word in each message: Group_Name, Message_ID_int, word, n.
+
+    Takes no shuffle if the words come from messages put :func:`by_message`.
+    """
     return count(clean_tokens, "Group_Name", "Message_ID_int", "word")
 
 

@@ -151,8 +151,8 @@ def bigrams_separated(spark, sf_dir):
 
 @query
 def bigrams_filtered(spark, sf_dir):
-    pairs = op.ngrams(inputs.messages(spark, sf_dir), 2).select("Group_Name", "word1", "word2")
-    return op.ngrams_without(pairs, sources.stop_words(spark), 2)
+    kept = op.ngrams_without(op.ngrams(inputs.messages(spark, sf_dir), 2), sources.stop_words(spark), 2)
+    return kept.select("Group_Name", "word1", "word2")
 
 
 @query
@@ -173,7 +173,7 @@ def trigram_counts(spark, sf_dir):
 
 @query
 def message_word_counts(spark, sf_dir):
-    return op.message_word_counts(tokens_clean(spark, sf_dir))
+    return op.message_word_counts(_clean(op.by_message(inputs.messages(spark, sf_dir))))
 
 
 @query

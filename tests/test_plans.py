@@ -46,6 +46,11 @@ def test_net_sentiment_takes_one_shuffle_after_the_spreading(spark):
     assert "partial_sum" in plan
 
 
+def test_counts_per_message_shuffle_the_texts_only(spark):
+    plan = plan_of(QUERIES["message_word_counts"](spark, SF))
+    assert re.findall(r"Exchange hashpartitioning\((\w+)", plan) == ["Message_ID_int"]
+
+
 def test_group_filter_and_columns_reach_the_scan(spark):
     plan = plan_of(QUERIES["group_sentiment"](spark, SF))
     assert "EqualTo(source,src0)" in plan
