@@ -24,6 +24,7 @@ from parlance.operators.topics import (
     beta,
     document_term_matrix,
     fit_topics,
+    fit_topics_by_joins,
     gamma,
     message_word_counts,
     term_vectors,
@@ -45,6 +46,7 @@ __all__ = [
     "count",
     "document_term_matrix",
     "fit_topics",
+    "fit_topics_by_joins",
     "fits_broadcast",
     "frequent_words",
     "gamma",

@@ -33,10 +33,9 @@ def fit_by_joins(
     topics = range(1, k + 1)
     message = F.concat_ws("\u0000", F.col("Message_ID_int").cast("string"), "Group_Name")
     cells = written(counts.where(F.col("word").isNotNull()).select(message.alias("message"), "word", "n"))
-    draws = [
-        F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "message", "word"), F.lit(1_000_003)) + F.lit(1.0) for i in topics
-    ]
-    shared = cells.select("*", *_shares(draws))
+    drawn = cells.withColumn("_draw", F.xxhash64(F.lit(seed), "message", "word"))
+    draws = [F.pmod(F.xxhash64("_draw", F.lit(i)), F.lit(1_000_003)) + F.lit(1.0) for i in topics]
+    shared = drawn.select(*cells.columns, *_shares(draws))
     places = [table_path(cells.sparkSession) for _ in range(2)]
     words, messages = _sums(shared, k, places[0])
     size = words.count()
@@ -44,7 +43,9 @@ def fit_by_joins(
         totals = words.agg(*[F.sum(f"t{i}").alias(f"a{i}") for i in topics])
         by_message = messages.select("message", "_rows", *[F.col(f"t{i}").alias(f"m{i}") for i in topics])
         by_word = words.select("word", "_rows", *[F.col(f"t{i}").alias(f"w{i}") for i in topics])
-        joined = attach(attach(cells, by_message, "message", "_rows"), by_word, "word", "_rows")
+        # words first: the wide rows then end up by message, where the sums by message are at hand
+        # and many cells of a word meet in one task before the sums by word are shuffled
+        joined = attach(attach(cells, by_word, "word", "_rows"), by_message, "message", "_rows")
         likely = [
             (F.col(f"w{i}") + F.lit(eta - 1))
             * (F.col(f"m{i}") + F.lit(alpha - 1))

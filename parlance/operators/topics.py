@@ -88,7 +88,7 @@ def fit_topics(
     over all messages in each iteration, ``alpha`` (50/k) being the start of an estimated prior.
     As every iteration sees everything, early ones need no damping: a learning offset of 1 gets
     in 10 iterations to a likelihood that the default of 1024 is far from after 20. Beyond the
-    bound, :func:`fit_by_joins` takes over, which holds no table in one place.
+    bound, :func:`fit_topics_by_joins` takes over, which holds no table in one place.
     """
     counts = written(counts)
     words = vocabulary(counts)
@@ -96,7 +96,7 @@ def fit_topics(
     if not terms:
         raise ValueError("no message has a word to fit topics to")
     if terms * k * 8 > MODEL_BYTES:
-        return TopicModel(k, *fit_by_joins(counts, k, seed, max_iter))
+        return fit_topics_by_joins(counts, k, seed, max_iter)
     vectors = spread_out(term_vectors(_cells(counts, words), terms))
     vectors = vectors.sortWithinPartitions("Message_ID_int").persist()
     try:
@@ -118,6 +118,11 @@ def fit_topics(
         vectors.unpersist()
 
 
+def fit_topics_by_joins(counts: DataFrame, k: int = 13, seed: int = 1234, max_iter: int = 20) -> TopicModel:
+    """Fit ``k`` topics over a vocabulary of any size."""
+    return TopicModel(k, *fit_by_joins(counts, k, seed, max_iter))
+
+
 def _cells(counts: DataFrame, words: DataFrame) -> DataFrame:
     """Counts of words proper, with the place of the word."""
     return attach(counts.where(F.col("word").isNotNull()), words, "word", "messages")

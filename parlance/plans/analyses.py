@@ -181,27 +181,50 @@ def dtm(spark, sf_dir):
     return op.document_term_matrix(message_word_counts(spark, sf_dir))
 
 
-_models: dict[tuple[str, str], op.TopicModel] = {}
+_models: dict[tuple, op.TopicModel] = {}
 
 
-def _model(spark, sf_dir):
+def _model(spark, sf_dir, fit=op.fit_topics, **settings):
     """One fit per application and data folder, shared by the topic queries."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, fit.__name__)
     if key not in _models:
-        _models[key] = op.fit_topics(message_word_counts(spark, sf_dir))
+        _models[key] = fit(message_word_counts(spark, sf_dir), **settings)
     return _models[key]
 
 
+def _large_model(spark, sf_dir):
+    """The fit for vocabularies beyond one machine; few rounds, as only its invariants are looked at."""
+    return _model(spark, sf_dir, op.fit_topics_by_joins, max_iter=5)
+
+
+def _beta_sums(model):
+    sums = op.beta(model).groupBy("topic")
+    return sums.agg(F.count("*").alias("terms"), F.round(F.sum("beta"), 6).alias("beta_sum"))
+
+
+def _gamma_sums(model):
+    sums = op.gamma(model).groupBy("Message_ID_int")
+    return sums.agg(F.count("*").alias("topics"), F.round(F.sum("gamma"), 6).alias("gamma_sum"))
+
+
 @query
 def topic_beta_sums(spark, sf_dir):
-    sums = op.beta(_model(spark, sf_dir)).groupBy("topic")
-    return sums.agg(F.count("*").alias("terms"), F.round(F.sum("beta"), 6).alias("beta_sum"))
+    return _beta_sums(_model(spark, sf_dir))
 
 
 @query
 def topic_gamma_sums(spark, sf_dir):
-    sums = op.gamma(_model(spark, sf_dir)).groupBy("Message_ID_int")
-    return sums.agg(F.count("*").alias("topics"), F.round(F.sum("gamma"), 6).alias("gamma_sum"))
+    return _gamma_sums(_model(spark, sf_dir))
+
+
+@query
+def topic_beta_sums_by_joins(spark, sf_dir):
+    return _beta_sums(_large_model(spark, sf_dir))
+
+
+@query
+def topic_gamma_sums_by_joins(spark, sf_dir):
+    return _gamma_sums(_large_model(spark, sf_dir))
 
 
 @query

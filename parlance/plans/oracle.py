@@ -100,6 +100,14 @@ vocabulary AS (
 )
 """
 
+# What any fit must satisfy: every word in every topic, every message with a word in every topic, shares summing to 1.
+BETA_SUMS = f"""
+    SELECT CAST(topic AS INTEGER) AS topic, count(*) AS terms, CAST(1 AS DOUBLE) AS beta_sum
+    FROM vocabulary CROSS JOIN range(1, {TOPICS + 1}) AS t(topic) GROUP BY topic"""
+GAMMA_SUMS = f"""
+    SELECT DISTINCT Message_ID_int, CAST({TOPICS} AS BIGINT) AS topics, CAST(1 AS DOUBLE) AS gamma_sum
+    FROM tokens_clean WHERE word IS NOT NULL"""
+
 SELECTS = {
     "tokens": "SELECT * FROM tokens",
     "tokens_clean": "SELECT * FROM tokens_clean",
@@ -152,12 +160,10 @@ SELECTS = {
     "message_word_counts": "SELECT * FROM message_word_counts",
     "dtm": """
         SELECT Message_ID_int, term_index, n FROM message_word_counts JOIN vocabulary USING (word)""",
-    "topic_beta_sums": f"""
-        SELECT CAST(topic AS INTEGER) AS topic, count(*) AS terms, CAST(1 AS DOUBLE) AS beta_sum
-        FROM vocabulary CROSS JOIN range(1, {TOPICS + 1}) AS t(topic) GROUP BY topic""",
-    "topic_gamma_sums": f"""
-        SELECT DISTINCT Message_ID_int, CAST({TOPICS} AS BIGINT) AS topics, CAST(1 AS DOUBLE) AS gamma_sum
-        FROM tokens_clean WHERE word IS NOT NULL""",
+    "topic_beta_sums": BETA_SUMS,
+    "topic_gamma_sums": GAMMA_SUMS,
+    "topic_beta_sums_by_joins": BETA_SUMS,
+    "topic_gamma_sums_by_joins": GAMMA_SUMS,
     "topic_group_messages": """
         SELECT Group_Name, count(DISTINCT Message_ID_int) AS n FROM tokens_clean WHERE word IS NOT NULL GROUP BY ALL""",
 }
