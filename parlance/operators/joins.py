@@ -104,6 +104,5 @@ def attach_split(rows: DataFrame, keyed: DataFrame, key: str, weight: str) -> Da
 
 def hot_keys(keyed: DataFrame, key: str, weight: str) -> DataFrame:
     """Keys holding more than 1/HOT_KEYS of the rows, and null: at most HOT_KEYS + 1 rows."""
-    total = keyed.agg(F.sum(weight).alias("_total"))
-    hot = F.col(key).isNull() | (F.col(weight) * F.lit(HOT_KEYS) > F.col("_total"))
-    return keyed.crossJoin(F.broadcast(total)).where(hot).drop("_total")
+    total = keyed.agg(F.sum(weight)).first()[0] or 0
+    return keyed.where(F.col(key).isNull() | (F.col(weight) * F.lit(HOT_KEYS) > F.lit(total)))

@@ -37,11 +37,8 @@ def bind_tf_idf(
     counts = written(counts)
     documents = written(counts.groupBy(document).agg(F.sum(n).alias("_all"), F.count("*").alias("_rows")))
     terms = written(counts.groupBy(term).agg(F.count("*").alias("_df"), F.count("*").alias("_rows")))
-    number = documents.agg(F.count("*").alias("_documents"))
     tf = F.col(n) / F.col("_all")
-    idf = F.log(F.col("_documents") / F.col("_df"))
+    idf = F.log(F.lit(documents.count()) / F.col("_df"))
     scored = attach(attach(counts, documents, document, "_rows"), terms, term, "_rows")
-    scored = scored.crossJoin(F.broadcast(number)).select(
-        *counts.columns, tf.alias("tf"), idf.alias("idf"), (tf * idf).alias("tf_idf")
-    )
+    scored = scored.select(*counts.columns, tf.alias("tf"), idf.alias("idf"), (tf * idf).alias("tf_idf"))
     return scored.orderBy(F.desc("tf_idf"), document, term) if sort else scored

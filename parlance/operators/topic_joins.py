@@ -40,7 +40,7 @@ def fit_by_joins(
     words, messages = _sums(shared, k, places[0])
     size = words.count()
     for turn in range(1, max_iter + 1):
-        totals = words.agg(*[F.sum(f"t{i}").alias(f"a{i}") for i in topics])
+        totals = _totals(words, k)
         by_message = messages.select("message", "_rows", *[F.col(f"t{i}").alias(f"m{i}") for i in topics])
         by_word = words.select("word", "_rows", *[F.col(f"t{i}").alias(f"w{i}") for i in topics])
         # words first: the wide rows then end up by message, where the sums by message are at hand
@@ -49,18 +49,14 @@ def fit_by_joins(
         likely = [
             (F.col(f"w{i}") + F.lit(eta - 1))
             * (F.col(f"m{i}") + F.lit(alpha - 1))
-            / (F.col(f"a{i}") + F.lit(size * (eta - 1)))
+            / F.lit(totals[i - 1] + size * (eta - 1))
             for i in topics
         ]
-        shared = joined.crossJoin(F.broadcast(totals)).select(*cells.columns, *_shares(likely))
+        shared = joined.select(*cells.columns, *_shares(likely))
         words, messages = _sums(shared, k, places[turn % 2])
-    totals = words.agg(*[F.sum(f"t{i}").alias(f"a{i}") for i in topics])
-    in_topic = [
-        (F.col(f"t{i}") + F.lit(eta - 1)) / (F.col(f"a{i}") + F.lit(size * (eta - 1))) for i in topics
-    ]
-    terms = words.crossJoin(F.broadcast(totals)).select(
-        F.col("word").alias("term"), F.array(*in_topic).alias("weights")
-    )
+    totals = _totals(words, k)
+    in_topic = [(F.col(f"t{i}") + F.lit(eta - 1)) / F.lit(totals[i - 1] + size * (eta - 1)) for i in topics]
+    terms = words.select(F.col("word").alias("term"), F.array(*in_topic).alias("weights"))
     received = [F.col(f"t{i}") + F.lit(alpha - 1) for i in topics]
     whole = reduce(add, received)
     key = F.split("message", "\u0000", 2)
@@ -78,6 +74,11 @@ def _shares(likely: list[Column]) -> list[Column]:
     return [(F.col("n") * column / whole).alias(f"t{i}") for i, column in enumerate(likely, 1)]
 
 
+def _totals(words: DataFrame, k: int) -> list[float]:
+    """All that each topic has received: the k numbers that are global."""
+    return list(words.agg(*[F.sum(f"t{i}") for i in range(1, k + 1)]).first())
+
+
 def _sums(shared: DataFrame, k: int, place: str) -> tuple[DataFrame, DataFrame]:
     """Sums by word and by message, each with its number of cells.
 

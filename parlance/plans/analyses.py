@@ -98,7 +98,7 @@ def lexicons(spark, sf_dir):
     entries = sources.bind_rows(
         inputs.afinn(spark).select(F.lit("afinn").alias("lexicon"), "word", no_label.alias("label"), "value"),
         *[
-            table.select(F.lit(name).alias("lexicon"), "word", F.col("sentiment").alias("label"), no_value.alias("value"))
+            table.select(F.lit(name).alias("lexicon"), "word", table.sentiment.alias("label"), no_value.alias("value"))
             for name, table in (("bing", inputs.bing(spark)), ("nrc", inputs.nrc(spark)))
         ],
     )
