@@ -33,7 +33,8 @@ def with_position(rows: DataFrame, *order: Column | str, name: str = "ord", star
     """Add the position of each row in a total ``order``, counted from ``start``.
 
     A range-partitioned sort numbers the rows of each partition; a table of partition sizes
-    shifts them. The numbered rows are written down first, so both steps see the same partitions.
+    shifts them. The numbered rows are written down first, so both steps see the same partitions;
+    that table can be released with the result.
     """
     local = F.monotonically_increasing_id()
     placed = written(
@@ -45,4 +46,6 @@ def with_position(rows: DataFrame, *order: Column | str, name: str = "ord", star
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
     position = F.col("_place") + F.col("_shift") + F.lit(start)
-    return placed.join(F.broadcast(shifts), "_part").select(*rows.columns, position.alias(name))
+    numbered = placed.join(F.broadcast(shifts), "_part").select(*rows.columns, position.alias(name))
+    numbered.written_path = placed.written_path
+    return numbered

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -13,14 +15,20 @@ SETTINGS = {
 }
 
 
-def local_session(cpus: int | str = "*", memory: str = "12g", app: str = "parlance") -> SparkSession:
-    """One-machine session for tests and the benchmark; clusters bring their own."""
+def local_session(
+    cpus: int | str = "*", memory: str = "12g", app: str = "parlance", folder: str | None = None
+) -> SparkSession:
+    """One-machine session for tests and the benchmark; clusters bring their own.
+
+    ``folder`` is for intermediate tables, a new temporary one if none is named.
+    """
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = (
         builder.config("spark.sql.shuffle.partitions", "8" if cpus == "*" else str(cpus))
         .config("spark.driver.memory", memory)
+        .config("spark.checkpoint.dir", folder or tempfile.mkdtemp(prefix="parlance-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

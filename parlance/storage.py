@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,11 +14,24 @@ def written(rows: DataFrame, schema: StructType | None = None, path: str | None
     Later steps read only the columns they need, and a lost executor costs no recomputation.
     ``schema`` reads the table back under other types of the same storage form. A ``path`` from
     :func:`table_path` is written over, which an iteration does with tables it no longer reads.
+    The table stays until :func:`release` is called with the frame returned here.
     """
     spark = rows.sparkSession
     path = path or table_path(spark)
     rows.write.mode("overwrite").parquet(path)
-    return spark.read.schema(schema or rows.schema).parquet(path)
+    table = spark.read.schema(schema or rows.schema).parquet(path)
+    table.written_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`written` that no result reads any more; other frames are left alone."""
+    for table in tables:
+        path = getattr(table, "written_path", None)
+        if path is not None:
+            context = table.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table_path(spark: SparkSession) -> str:
@@ -27,13 +39,11 @@ def table_path(spark: SparkSession) -> str:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only a one-machine session may do with a temporary one."""
+    """The folder named in ``spark.checkpoint.dir``, which all executors must share."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="parlance-")
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
