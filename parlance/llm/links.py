@@ -19,51 +19,94 @@ from parlance.storage import release, written
 CHUNK = 512
 
 
-def blocks(members: DataFrame, list_key: str, member: str) -> DataFrame:
-    """Deal the members of each list into blocks of about twice ``CHUNK`` rows, so that any two meet in one.
+Link = Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]
 
-    Adds ``block``; lists with a single member go. A list is cut by the hash of its members, and
-    each pair of parts makes a block, so no list, however long, comes into one task.
+
+def linked(lists: DataFrame, member: str, link: Link, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) that ``link`` finds among the rows of each list; ``lists`` has a long column ``block`` naming the list.
+
+    ``link`` gets a table sorted by ``block`` with whole lists. Lists of up to twice ``chunk`` rows
+    are handed over as they come out of the one shuffle. Longer ones only pass through that task,
+    batch by batch, and are dealt anew: cut by the hash of the column ``member`` into parts of
+    about ``chunk`` rows, each two of which make a block, so that any two rows meet in one block and
+    no list, however long, comes into one task.
     """
-    sizes = members.groupBy(list_key).agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
-    parts = F.ceil(F.col("_n") / F.lit(CHUNK)).cast("int")
-    own = F.pmod(F.xxhash64(F.col(member)), F.col("_parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("_parts") - F.lit(1)))
-    return (
-        members.join(sizes, list_key)
-        .withColumn("_parts", parts)
-        .withColumn("_own", own)
-        .withColumn("_other", other)
-        .withColumn("block", F.xxhash64(list_key, F.least("_own", "_other"), F.greatest("_own", "_other")))
-        .drop("_n", "_parts", "_own", "_other", list_key)
-    )
-
-
-def in_blocks(rows: DataFrame) -> DataFrame:
-    """Rows of one block side by side in one partition."""
+    schema = ", ".join(["a long", "b long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in lists.schema)])
+    first = written(_by_block(lists).mapInArrow(lambda batches: _short_lists(batches, link, 2 * chunk), schema))
+    long = first.where(F.col("block").isNotNull()).select(*lists.columns)
+    second = _by_block(_dealt(long, member, chunk)).mapInArrow(lambda batches: _all_lists(batches, link), "a long, b long")
+    found = written(first.where(F.col("block").isNull()).select("a", "b").unionByName(second))
+    release(first)
+    return found
+
+
+def _by_block(rows: DataFrame) -> DataFrame:
     return rows.repartition("block").sortWithinPartitions("block")
 
 
-def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Sorted batches cut so that no block is split; holds one batch and one block."""
+def _dealt(rows: DataFrame, member: str, chunk: int) -> DataFrame:
+    sizes = rows.groupBy("block").agg(F.count("*").alias("_n"))
+    parts = F.ceil(F.col("_n") / F.lit(chunk)).cast("int")
+    own = F.pmod(F.xxhash64(F.col(member)), F.col("_parts")).cast("int")
+    meet = F.explode(F.sequence(F.lit(0), F.col("_parts") - F.lit(1)))
+    dealt = rows.join(sizes, "block").withColumn("_parts", parts).withColumn("_own", own).withColumn("_other", meet)
+    block = F.xxhash64("block", F.least("_own", "_other"), F.greatest("_own", "_other"))
+    return dealt.withColumn("block", block).drop("_n", "_parts", "_own", "_other")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], most: float) -> Iterator[tuple[pa.Table, bool]]:
+    """Sorted batches cut between lists, and whether a table is part of a list longer than ``most``."""
     held: list[pa.RecordBatch] = []
+    long = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
         key = batch.column("block").to_numpy()
+        if long is not None and len(key):
+            cut = int(np.searchsorted(key, long, side="right"))
+            if cut:
+                yield pa.Table.from_batches([batch.slice(0, cut)]), True
+            batch, key = batch.slice(cut), key[cut:]
+        if not len(key):
+            continue
+        long = None
         if held and held[-1].column("block")[-1].as_py() != key[0]:
-            yield pa.Table.from_batches(held)
+            yield pa.Table.from_batches(held), False
             held = []
-        cut = int(np.searchsorted(key == key[-1], True)) if key[0] != key[-1] else 0
+        cut = int(np.searchsorted(key, key[-1]))
         if cut:
-            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]), False
             held = []
         held.append(batch.slice(cut))
+        if sum(part.num_rows for part in held) > most:
+            yield pa.Table.from_batches(held), True
+            held, long = [], int(key[-1])
     if held:
-        yield pa.Table.from_batches(held)
+        yield pa.Table.from_batches(held), False
+
+
+def _short_lists(batches: Iterator[pa.RecordBatch], link: Link, most: int) -> Iterator[pa.RecordBatch]:
+    """Links of short lists (the rows' own columns null), and the rows of long ones (the links null)."""
+    for rows, long in _runs(batches, most):
+        _, at, counts = np.unique(rows.column("block").to_numpy(), return_inverse=True, return_counts=True)
+        passed = (counts[at] > most) | long
+        for part in rows.filter(pa.array(passed)).to_batches():
+            nothing = pa.nulls(part.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([nothing, nothing, *part.columns], names=["a", "b", *rows.column_names])
+        kept = rows.filter(pa.array(~passed & (counts[at] > 1)))
+        if kept.num_rows:
+            a, b = link(kept)
+            own = [pa.nulls(len(a), field.type) for field in rows.schema]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *own], names=["a", "b", *rows.column_names])
+
+
+def _all_lists(batches: Iterator[pa.RecordBatch], link: Link) -> Iterator[pa.RecordBatch]:
+    for rows, _ in _runs(batches, np.inf):
+        a, b = link(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def close_pairs(block: np.ndarray, prints: np.ndarray, near: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(
+    block: np.ndarray, prints: np.ndarray, near: Callable[[np.ndarray], np.ndarray]
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (i, j) of rows of the same block for whose differing bits ``near`` holds, step by step of j - i."""
     rows = np.arange(len(block))
     for step in range(1, len(block)):
@@ -109,7 +152,9 @@ def groups(links: DataFrame) -> DataFrame:
         edges, before = small, mark
         mark = _mark(edges)
         if mark == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("group"))
+            found = edges.select(F.col("a").alias("node"), F.col("b").alias("group"))
+            found.written_path = edges.written_path
+            return found
 
 
 def _pairs(edges: DataFrame) -> DataFrame:

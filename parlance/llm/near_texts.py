@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.links import blocks, close_pairs, forest, groups, in_blocks, whole_blocks
+from parlance.llm.links import close_pairs, forest, groups, linked
 from parlance.llm.tables import slices
 from parlance.storage import release, written
 
@@ -86,26 +86,21 @@ def _near(different: np.ndarray) -> np.ndarray:
     return near
 
 
-def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in whole_blocks(batches):
-        prints = rows.column("print").to_numpy()
-        a, b = [], []
-        for i, j in close_pairs(rows.column("block").to_numpy(), prints, _near):
-            if len(i):
-                a.append(prints[i])
-                b.append(prints[j])
-        if a:
-            node, root = forest(np.concatenate(a), np.concatenate(b))
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["a", "b"])
+def _forest_of_list(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    prints = rows.column("print").to_numpy()
+    pairs = [(prints[i], prints[j]) for i, j in close_pairs(rows.column("block").to_numpy(), prints, _near) if len(i)]
+    if not pairs:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return forest(*(np.concatenate(side) for side in zip(*pairs, strict=True)))
 
 
 def index_lists(prints: DataFrame) -> DataFrame:
-    """The index over different fingerprints: ``list`` (the chosen positions and their bytes) and print."""
+    """The index over different fingerprints: ``block`` (names the chosen positions and their bytes) and print."""
     masks = [sum(0xFF << (8 * at) for at in chosen) for chosen in combinations(range(BYTES), SHARED_BYTES)]
     signed = [mask - (1 << 64) if mask >> 63 else mask for mask in masks]
     chosen = prints.select("print", F.explode(F.array(*[F.lit(mask).cast("long") for mask in signed])).alias("mask"))
     # two lists whose names fall together make one longer list: more is compared, nothing lost
-    return chosen.select(F.xxhash64("mask", F.col("mask").bitwiseAND(F.col("print"))).alias("list"), "print")
+    return chosen.select(F.xxhash64("mask", F.col("mask").bitwiseAND(F.col("print"))).alias("block"), "print")
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -118,8 +113,9 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """
     rows = written(with_fingerprint(docs, key, text))
     prints = rows.groupBy("print").agg(F.min(key).alias("least"))
-    links = in_blocks(blocks(index_lists(prints.select("print")), "list", "print")).mapInArrow(_block_links, "a long, b long")
+    links = linked(index_lists(prints.select("print")), "print", _forest_of_list)
     found = groups(links)
+    release(links)
     labelled = written(
         prints.join(found, F.col("print") == F.col("node"), "left").select("print", "least", F.coalesce("group", "print").alias("group"))
     )

@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import block_names, near_texts, pieces, private_data, secrets, shard_tree, spans
+from parlance.llm import (
+    block_names,
+    fuzzy_lines,
+    languages,
+    mixing,
+    near_texts,
+    pieces,
+    private_data,
+    quality,
+    secrets,
+    shard_tree,
+    spans,
+)
 from parlance.llm.tables import table
 
 
@@ -16,6 +28,13 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_texts.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = quality.learn(docs, table(spark, sf_dir, "labels"))
+    first = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return quality.judged(docs, rules).select("doc_id", *first, "base_failed", "rule", "kept")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     return found.withColumnRenamed("path", "doc_id").select("doc_id", *spans.digest(secrets.RULES))
@@ -25,17 +44,41 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_data.personal_data(table(spark, sf_dir, "documents")).select("doc_id", *spans.digest(private_data.RULES))
 
 
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op7_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_tree.sharded(table(spark, sf_dir, "documents"))
 
 
+def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_names.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return languages.identified(docs, languages.learn(docs))
+
+
 QUERIES = {
     query.__name__: query
-    for query in (op1_sentencepiece, op2_simhash_near_dedup, op4_secret_scan, op5_personal_data, op7_shard_tree, op9_exact_dedup)
+    for query in (
+        op1_sentencepiece,
+        op2_simhash_near_dedup,
+        op3_quality_rules,
+        op4_secret_scan,
+        op5_personal_data,
+        op6_source_mix,
+        op7_shard_tree,
+        op8_fuzzy_lines,
+        op9_exact_dedup,
+        op10_language_id,
+    )
 }
 
 ORACLE_SQL = {

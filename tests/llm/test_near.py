@@ -1,0 +1,105 @@
+import random
+import re
+
+import numpy as np
+import xxhash
+
+from parlance.llm import links, near_texts
+
+
+def fingerprint(text):
+    """One shingle after another, one bit after another."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(len(words) - 3, 1))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
+def components(prints, most):
+    """Smallest place each place can reach over pairs that differ in at most ``most`` bits."""
+    label = list(range(len(prints)))
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= most and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def brute(rows):
+    prints = [fingerprint(text) for _, text in rows]
+    label = components(prints, near_texts.MOST_BITS)
+    least = {g: min((k for (k, _), x in zip(rows, label) if x == g and k is not None), default=None) for g in set(label)}
+    return sorted(((key, f"{p:016x}", least[g]) for (key, _), p, g in zip(rows, prints, label)), key=str)
+
+
+def check(docs):
+    found = near_texts.near_groups(docs)
+    assert found.columns == ["doc_id", "fingerprint", "component_id"]
+    assert sorted((tuple(row) for row in found.collect()), key=str) == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_awkward(awkward):
+    check(awkward)
+
+
+def test_empty(nothing):
+    check(nothing)
+
+
+def test_documents(documents):
+    check(documents)
+
+
+def test_near_copies(spark):
+    draw = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for group in range(6):
+        base = [draw.choice(words) for _ in range(400)]
+        for _ in range(25):
+            text = list(base)
+            for _ in range(draw.randrange(4)):
+                text[draw.randrange(len(text))] = draw.choice(words)
+            rows.append((len(rows) * 7 % 150, " ".join(text)))
+    rows += [(i + 1000, " ".join(draw.choice(words) for _ in range(draw.randrange(9)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check(docs)
+    assert len({row.component_id for row in near_texts.near_groups(docs).where("doc_id < 1000").collect()}) < 30
+
+
+def test_index_finds_every_near_pair():
+    draw = np.random.default_rng(1)
+    for _ in range(200):
+        bits = draw.choice(64, size=4, replace=False)
+        different = np.array([sum(1 << int(b) for b in bits)], dtype=np.uint64).view(np.int64)
+        assert near_texts._near(different).all()
+    assert not near_texts._near(np.array([0b11111])).any()
+
+
+def test_majority_of_long_runs():
+    hashes = np.concatenate([np.full(150_000, 5, np.uint64), np.full(70_001, 6, np.uint64), np.full(80_000, 6, np.uint64)])
+    found = near_texts.majority(hashes, np.array([220_001, 0, 80_000]))
+    assert found.tolist() == [5, 0, 6]
+
+
+def test_long_lists_are_dealt(spark):
+    """Every pair of a list is compared, whatever the list's length."""
+    draw = random.Random(5)
+    prints = list({draw.getrandbits(6) | draw.getrandbits(2) << 40 for _ in range(300)})
+    lists = spark.createDataFrame([(p % 2, p) for p in prints] + [(9, 1 << 50)], "block long, print long").repartition(4)
+    found = links.groups(links.linked(lists, "print", near_texts._forest_of_list, chunk=8))
+    root = {row.node: row.group for row in found.collect()}
+    for side in (0, 1):
+        own = [p for p in prints if p % 2 == side]
+        for p, g in zip(own, components(own, near_texts.MOST_BITS)):
+            assert root.get(p, p) == min(q for q, h in zip(own, components(own, near_texts.MOST_BITS)) if h == g)
+
+
+def test_groups_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 200), (-5, 300), (300, 299)]
+    draw = random.Random(2)
+    edges = [(b, a) if draw.random() < 0.5 else (a, b) for a, b in edges + edges[:10]]
+    found = {r.node: r.group for r in links.groups(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 160)}, 300: -5, 299: -5}
+    assert links.groups(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -1,0 +1,93 @@
+import random
+
+import numpy as np
+import pytest
+import sentencepiece
+
+from parlance.llm import pieces
+
+TEXTS = [
+    "", " ", "  ", " a", "a  b   c    d          e", "Hello  world unbelievable\n tokenization\tc é ûñ",
+    "漢字仮名交じり文 😀😀", "def f(x):\n        return  {x}", "x" * 300, "ab" * 400 + " the end", "\u0000́",
+]
+
+
+@pytest.fixture(scope="module")
+def model():
+    return pieces.read_model()
+
+
+def stored():
+    with open(pieces.MODEL, "rb") as file:
+        return file.read()
+
+
+def encode(texts, model):
+    ids, at = pieces.Encoder(model)(texts)
+    return [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+
+
+def test_same_ids_as_the_library(model, documents):
+    library = sentencepiece.SentencePieceProcessor(model_proto=stored())
+    texts = TEXTS + [row.text for row in documents.collect()]
+    assert encode(texts, model) == [library.encode(text) for text in texts]
+
+
+def test_same_ids_on_random_characters(model):
+    draw = random.Random(4)
+    library = sentencepiece.SentencePieceProcessor(model_proto=stored())
+    texts = ["".join(draw.choice("aeinrst hTd.,\n-=*/0é漢") for _ in range(draw.randrange(60))) for _ in range(2000)]
+    assert encode(texts, model) == [library.encode(text) for text in texts]
+
+
+def best_sum(word, model):
+    """The largest sum of scores over all segmentations, by a plain table."""
+    best = [0.0] + [-np.inf] * len(word)
+    for end in range(1, len(word) + 1):
+        for begin in range(max(0, end - model.longest), end):
+            found = model.ids_of.get(word[begin:end])
+            if found is not None:
+                best[end] = max(best[end], best[begin] + model.scores[found])
+        if word[end - 1] not in model.ids_of:
+            best[end] = max(best[end], best[end - 1] + model.worst)
+    return best[-1]
+
+
+def test_unigram_models_take_the_best_sum(model, tmp_path):
+    # the last value of a field of the model file holds: this makes it one of the unigram kind
+    (tmp_path / "unigram.model").write_bytes(stored() + bytes([0x12, 2, 0x18, 1]))
+    unigram = pieces.read_model(str(tmp_path / "unigram.model"))
+    assert (model.kind, unigram.kind) == (pieces.MERGES, pieces.UNIGRAM)
+    draw = random.Random(6)
+    words = ["".join(draw.choice("aeinrsthd") for _ in range(draw.randrange(1, 14))) for _ in range(300)] + ["s" * 250]
+    ids, at = pieces.encode_words(words, unigram)
+    for word, a, b in zip(words, at[:-1], at[1:]):
+        assert "".join(unigram.pieces[i] for i in ids[a:b]) == word
+        assert sum(unigram.scores[i] for i in ids[a:b]) == pytest.approx(best_sum(word, unigram))
+
+
+def test_forgetting_words_changes_nothing(model, monkeypatch):
+    monkeypatch.setattr(pieces, "WORDS_KEPT", 2)
+    encoder = pieces.Encoder(model)
+    first = [encoder([text])[0].tolist() for text in TEXTS]
+    assert first == encode(TEXTS, model)
+
+
+def test_awkward(spark, awkward):
+    found = pieces.encoded(awkward)
+    assert found.columns == ["doc_id", "ids", "n_tokens", "round_trip"]
+    rows = found.collect()
+    assert len(rows) == awkward.count()
+    assert all(row.round_trip for row in rows if row.ids is not None)
+    assert [(r.doc_id, r.n_tokens, r.round_trip) for r in rows if r.ids is None] == [(2, 0, None)]
+    back = sorted((tuple(r) for r in pieces.decoded(found).collect()), key=str)
+    assert back == sorted(((r.doc_id, r.text) for r in awkward.collect()), key=str)
+
+
+def test_empty(nothing):
+    assert pieces.encoded(nothing).collect() == []
+
+
+def test_bytes_that_are_no_text(spark, model):
+    rows = spark.createDataFrame([(1, [int(model.byte_ids[0xFF])]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert sorted(tuple(r) for r in pieces.decoded(rows).collect()) == [(1, "�"), (2, None), (3, "")]
