@@ -14,7 +14,9 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+from parlance.operators import release_topics  # noqa: E402
 from parlance.plans import QUERIES  # noqa: E402
+from parlance.plans.analyses import fit_model, release_models  # noqa: E402
 from parlance.session import local_session  # noqa: E402
 
 HEADLINE = [
@@ -30,9 +32,11 @@ HEADLINE = [
     "trigram_counts",
     "message_word_counts",
     "dtm",
-    "topic_top_terms",
-    "topic_assignment",
+    "message_sentiment",
+    "emotions_by_group_month",
 ]
+# With a model at hand; "topic_fit" is the fit itself and "topic_assignment_with_fit" both together.
+TOPICS = ["topic_top_terms", "topic_assignment"]
 
 
 def run(query, spark, folder) -> float:
@@ -44,9 +48,16 @@ def run(query, spark, folder) -> float:
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"))
-    names = sys.argv[1:] or HEADLINE
+    names = sys.argv[1:] or HEADLINE + TOPICS
     run(QUERIES["sentiment_by_group_month"], spark, folder)  # warm-up of JVM and file cache, not counted
-    seconds = {name: round(run(QUERIES[name], spark, folder), 3) for name in names}
+    seconds = {name: round(run(QUERIES[name], spark, folder), 3) for name in names if name not in TOPICS}
+    if wanted := [name for name in names if name in TOPICS]:
+        start = time.perf_counter()
+        release_topics(fit_model(spark, folder))
+        seconds["topic_fit"] = round(time.perf_counter() - start, 3)
+        release_models()
+        seconds["topic_assignment_with_fit"] = round(run(QUERIES["topic_assignment"], spark, folder), 3)
+        seconds |= {name: round(run(QUERIES[name], spark, folder), 3) for name in wanted}
     result = {
         "metric": "message_text_queries_total",
         "value": round(sum(seconds.values()), 3),

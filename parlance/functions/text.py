@@ -19,7 +19,7 @@ UAX_TOKEN = rf"(?=_*+[\p{{L}}\p{{M}}\p{{N}}]){_RUN}++(?:{_JOINT}{_RUN}++)*+"
 _PATTERNS = {"plain": TOKEN, "uax": UAX_TOKEN}
 
 
-def words(text: Column | str, mode: str = "plain") -> Column:
+def words(text: Column | str, mode: str = "uax") -> Column:
     """Lower-case words of ``text`` in order, as an array.
 
     A null text gives one null word, an empty text none. Pass the expression straight to
@@ -43,3 +43,16 @@ def ngrams(tokens: Column, n: int, short: str = "drop") -> Column:
         raise ValueError(f"short is 'drop' or 'null', not {short!r}")
     nothing = F.arrays_zip(*[F.array(F.lit(None).cast("string"))] * n)
     return F.when(F.size(tokens) >= n, runs).otherwise(nothing)
+
+
+def runs_of_equals(ordered: Column) -> Column:
+    """Runs of equal elements of a sorted array, as an array of structs (element, length)."""
+    last = F.size(ordered) - F.lit(1)
+    places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(
+        places, lambda at: (at == 0) | ~F.get(ordered, at).eqNullSafe(F.get(ordered, at - F.lit(1)))
+    )
+    after = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts), F.lit(1))), F.array(F.size(ordered)))
+    return F.zip_with(
+        starts, F.slice(after, F.lit(1), F.size(starts)), lambda at, end: F.struct(F.get(ordered, at).alias("word"), (end - at).cast("long").alias("n"))
+    )

@@ -2,32 +2,34 @@ from parlance.operators.counts import count, frequent_words, in_group, spread, w
 from parlance.operators.joins import anti_lookup, attach, attach_split, fits_broadcast, inner_lookup
 from parlance.operators.ranks import top_n, with_position
 from parlance.operators.sentiment import (
-    label_counts,
+    labelled,
     lexicon_use,
+    message_sentiment,
     net_sentiment,
+    score_sums,
     sentiment_counts,
     sentiment_top_terms,
+    spread_sentiment,
     word_sentiment,
 )
 from parlance.operators.tfidf import bind_tf_idf, group_totals, group_words
 from parlance.operators.tokens import (
-    by_message,
     ngrams,
     ngrams_without,
     separate,
     tokens,
     unite,
     without_stop_words,
+    word_uses,
 )
 from parlance.operators.topics import (
     TopicModel,
     beta,
     document_term_matrix,
     fit_topics,
-    fit_topics_by_joins,
     gamma,
     message_word_counts,
-    term_vectors,
+    release_topics,
     topic_assignment,
     topic_group_check,
     topic_purity,
@@ -42,11 +44,9 @@ __all__ = [
     "attach_split",
     "beta",
     "bind_tf_idf",
-    "by_message",
     "count",
     "document_term_matrix",
     "fit_topics",
-    "fit_topics_by_joins",
     "fits_broadcast",
     "frequent_words",
     "gamma",
@@ -54,17 +54,20 @@ __all__ = [
     "group_words",
     "in_group",
     "inner_lookup",
-    "label_counts",
+    "labelled",
     "lexicon_use",
+    "message_sentiment",
     "message_word_counts",
     "net_sentiment",
     "ngrams",
     "ngrams_without",
+    "release_topics",
+    "score_sums",
     "sentiment_counts",
     "sentiment_top_terms",
     "separate",
     "spread",
-    "term_vectors",
+    "spread_sentiment",
     "tokens",
     "top_n",
     "topic_assignment",
@@ -77,4 +80,5 @@ __all__ = [
     "without_stop_words",
     "word_cloud",
     "word_sentiment",
+    "word_uses",
 ]

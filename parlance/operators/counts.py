@@ -37,10 +37,14 @@ def word_cloud(counts: DataFrame, max_words: int = 500, min_freq: int = 3) -> Da
 def spread(rows: DataFrame, key: str, value: str, labels: Sequence[str], fill: int = 0) -> DataFrame:
     """Long to wide: one column per label of ``key`` holding ``value``, ``fill`` where there is none.
 
-    The labels are given, so the schema is fixed and no job looks for them.
+    The labels are given, so the schema is fixed and no job looks for them. A row with another
+    label, or none, fails: it would be lost.
     """
     kept = [name for name in rows.columns if name not in (key, value)]
-    wide = [F.max(F.when(F.col(key) == label, F.col(value))) for label in labels]
+    named = F.coalesce(F.col(key).isin(*labels), F.lit(False))
+    message = F.concat(F.lit(f"{key} must be among {', '.join(labels)}; found "), F.coalesce(F.col(key), F.lit("null")))
+    checked = F.when(named, F.col(key)).otherwise(F.raise_error(message))
+    wide = [F.max(F.when(checked == label, F.col(value))) for label in labels]
     return rows.groupBy(*kept).agg(
         *[F.coalesce(column, F.lit(fill)).alias(label) for column, label in zip(wide, labels)]
     )

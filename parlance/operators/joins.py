@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,13 +21,7 @@ DEALS = 100_000
 
 def fits_broadcast(table: DataFrame, rows: int | None = None, size: int | None = None) -> bool:
     """Count and measure ``table``, in one job, against the bounds (or those given)."""
-    width = F.lit(0)
-    for field in table.schema:
-        if isinstance(field.dataType, T.StringType):
-            width = width + F.coalesce(F.octet_length(field.name), F.lit(0)) + F.lit(16)
-        else:
-            width = width + F.lit(8)
-    found = table.agg(F.count("*").alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    found = table.agg(F.count("*").alias("rows"), F.coalesce(F.sum(_width(table)), F.lit(0)).alias("bytes")).first()
     return found["rows"] <= (BROADCAST_ROWS if rows is None else rows) and found["bytes"] <= (
         BROADCAST_BYTES if size is None else size
     )
@@ -36,17 +30,16 @@ def fits_broadcast(table: DataFrame, rows: int | None = None, size: int | None =
 def anti_lookup(rows: DataFrame, lookup: DataFrame, *columns: str, word: str = "word") -> DataFrame:
     """Rows whose ``columns`` are all absent from ``lookup[word]``; a null matches a null.
 
-    A lookup of checked size is broadcast, so the rows are not shuffled. A larger one is first
-    matched to the distinct words of the rows, which then go through :func:`attach`.
+    A lookup of checked size is broadcast, so the rows are not shuffled. A larger one takes a
+    shuffle join per column, whose left side adaptive execution splits where a word is hot.
     """
     listed = lookup.select(F.col(word).alias("_listed"))
     if fits_broadcast(listed):
         for column in columns:
             rows = rows.join(F.broadcast(listed), F.col(column).eqNullSafe(F.col("_listed")), "left_anti")
         return rows
-    listed = listed.distinct().withColumn("_hit", F.lit(True))
     for column in columns:
-        rows = _attach_lookup(rows, listed, column).where(F.col("_hit").isNull()).drop("_hit")
+        rows = rows.join(listed.distinct(), F.col(column).eqNullSafe(F.col("_listed")), "left_anti")
     return rows
 
 
@@ -76,14 +69,15 @@ def attach(rows: DataFrame, keyed: DataFrame, key: str, weight: str) -> DataFram
     if not fits_broadcast(keyed):
         return attach_split(rows, keyed, key, weight)
     added = keyed.drop(weight).withColumnRenamed(key, "_key")
-    return rows.join(F.broadcast(added), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    return rows.join(F.broadcast(added), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
 
 
 def attach_split(rows: DataFrame, keyed: DataFrame, key: str, weight: str) -> DataFrame:
     """:func:`attach` for a ``keyed`` of any size.
 
     Hot keys, of which there are at most ``HOT_KEYS`` because each holds more than that share of
-    all rows, are broadcast; so is null. The other keys meet in an ordinary shuffle join, into
+    all rows, and fewer if the rows of ``keyed`` are so wide that they would exceed
+    ``BROADCAST_BYTES``, are broadcast; so is null. The other keys meet in an ordinary shuffle join, into
     which rows of hot keys are dealt evenly, as they need nothing from it. They are dealt by all
     their columns, not at random, so that a repeated task deals the same; rows should therefore
     still have a column that tells them apart, such as the message id.
@@ -103,6 +97,24 @@ def attach_split(rows: DataFrame, keyed: DataFrame, key: str, weight: str) -> Da
 
 
 def hot_keys(keyed: DataFrame, key: str, weight: str) -> DataFrame:
-    """Keys holding more than 1/HOT_KEYS of the rows, and null: at most HOT_KEYS + 1 rows."""
-    total = keyed.agg(F.sum(weight)).first()[0] or 0
-    return keyed.where(F.col(key).isNull() | (F.col(weight) * F.lit(HOT_KEYS) > F.lit(total)))
+    """Keys holding more than a share of the rows, and null, within both bounds of a broadcast.
+
+    The share is 1/HOT_KEYS, or a larger one if that many rows of the mean width would take more
+    than ``BROADCAST_BYTES``.
+    """
+    found = keyed.agg(F.sum(weight).alias("all"), F.avg(_width(keyed)).alias("width")).first()
+    most = max(1, min(HOT_KEYS, int(BROADCAST_BYTES / (found["width"] or 1))))
+    return keyed.where(F.col(key).isNull() | (F.col(weight) * F.lit(most) > F.lit(found["all"] or 0)))
+
+
+def _width(table: DataFrame) -> Column:
+    """Bytes of a row: text at its length, lists at eight bytes an element, all else at eight."""
+    width = F.lit(0)
+    for field in table.schema:
+        if isinstance(field.dataType, T.StringType):
+            width = width + F.coalesce(F.octet_length(field.name), F.lit(0)) + F.lit(16)
+        elif isinstance(field.dataType, T.ArrayType):
+            width = width + F.coalesce(F.size(field.name), F.lit(0)) * F.lit(8) + F.lit(32)
+        else:
+            width = width + F.lit(8)
+    return width

@@ -2,31 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.storage import written
 
 
-def top_n(rows: DataFrame, by: str, values: Sequence, weight: str, n: int) -> DataFrame:
-    """Rows with ``rank() <= n`` by descending ``weight`` within each of ``values`` of ``by``, ties kept.
+# Parts that a panel's rows are dealt into before any of them is ranked.
+PARTS = 64
+
+
+def top_n(rows: DataFrame, by: str, weight: str, n: int) -> DataFrame:
+    """Rows with ``rank() <= n`` by descending ``weight`` within each value of ``by``, null among them, ties kept.
 
-    Each partition passes on its ``n`` largest weights per value, however many rows tie with them;
-    the best ``n`` of those are ranked, at most ``n * len(values)`` rows, and broadcast to pick
-    every row that has one of their weights.
+    The rows of a panel are dealt into ``PARTS`` parts by hash, each of which keeps its ``n`` largest
+    weights; the survivors, at most ``PARTS * n`` of a panel however many rows it has, are
+    ranked, and the weight of the last place picks every row that ties with it.
     """
-    rows = rows.where(F.col(by).isin(list(values)))
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(PARTS))
+    of_part = Window.partitionBy(by, "_part").orderBy(F.desc(weight))
     best = Window.partitionBy(by).orderBy(F.desc(weight))
-    cut = (
-        rows.select(by, weight, F.row_number().over(best).alias("_place"))
+    survivors = (
+        rows.select(by, weight, part.alias("_part"))
+        .withColumn("_place", F.row_number().over(of_part))
         .where(F.col("_place") <= n)
-        .withColumn("rank", F.rank().over(best).cast("long"))
-        .select(by, weight, "rank")
+    )
+    # at most n weights of a panel; a panel with one row of a hot weight passes on n equal ones
+    cut = (
+        survivors.select(F.col(by).alias("_by"), F.col(weight).alias("_weight"), F.rank().over(best).alias("rank"))
+        .where(F.col("rank") <= n)
+        .select("_by", "_weight", F.col("rank").cast("long").alias("rank"))
         .distinct()
     )
-    return rows.join(F.broadcast(cut), [by, weight]).select(*rows.columns, "rank")
+    same = F.col(by).eqNullSafe(F.col("_by")) & F.col(weight).eqNullSafe(F.col("_weight"))
+    return rows.join(cut, same).select(*rows.columns, "rank")
 
 
 def with_position(rows: DataFrame, *order: Column | str, name: str = "ord", start: int = 1) -> DataFrame:

@@ -1,13 +1,13 @@
-"""Polarity of words, groups and months."""
+"""Polarity of words, messages, groups and months."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.operators.counts import count
+from parlance.operators.counts import count, spread
 from parlance.operators.joins import inner_lookup
 from parlance.operators.ranks import top_n, with_position
 from parlance.storage import written
@@ -15,66 +15,84 @@ from parlance.storage import written
 LABELS = ("negative", "positive")
 
 
-def label_counts(lexicon: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
-    """One row per word, with one column per label saying how often the lexicon gives it to the word.
+def labelled(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """One row per token and label that the lexicon gives its word, with the column ``sentiment``.
 
-    A word may have several labels, or one twice: joining this table to words multiplies no rows
-    and loses no label.
+    Every label counts, null among them, and as often as the lexicon lists it for the word.
     """
-    return lexicon.groupBy("word").agg(
-        *[F.count_if(F.col("sentiment") == label).alias(label) for label in labels]
-    )
+    by_word = lexicon.groupBy("word").agg(F.collect_list(F.struct("sentiment")).alias("_labels"))
+    found = inner_lookup(tokens, by_word)
+    return found.select(*tokens.columns, F.inline("_labels"))
 
 
-def sentiment_counts(tokens: DataFrame, lexicon: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
+def sentiment_counts(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Labelled words per group and month, one row per label that occurs: Group_Name, index, sentiment, n."""
-    return _long(_wide(tokens, lexicon, labels), ["Group_Name", "index"], labels)
+    found = labelled(tokens, lexicon).withColumnRenamed("Month_Index", "index")
+    return count(found, "Group_Name", "index", "sentiment")
 
 
-def net_sentiment(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Negative and positive words per group and month, and positive minus negative as ``sentiment``."""
-    return _wide(tokens, lexicon, LABELS).withColumn("sentiment", F.col("positive") - F.col("negative"))
+def net_sentiment(tokens: DataFrame, lexicon: DataFrame, by: Sequence[str] = ("Group_Name", "Month_Index")) -> DataFrame:
+    """Negative and positive words per group and month, and positive minus negative as ``sentiment``.
 
+    One row per word of the lexicon is joined and summed at once, so this takes a single shuffle. A
+    lexicon with other labels fails: they would be lost in the difference.
+    """
+    keys = [F.col(name).alias("index" if name == "Month_Index" else name) for name in by]
+    sums = [F.sum(label).alias(label) for label in LABELS]
+    found = inner_lookup(tokens, _label_counts(lexicon)).groupBy(*keys).agg(*sums)
+    return found.withColumn("sentiment", F.col("positive") - F.col("negative"))
+
+
+def message_sentiment(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """:func:`net_sentiment` of each message that has a labelled word."""
+    return net_sentiment(tokens, lexicon, ("Message_ID_int",))
+
+
+def score_sums(tokens: DataFrame, scores: DataFrame, by: Sequence[str] = ("Group_Name", "Month_Index")) -> DataFrame:
+    """Sum of the scores of a lexicon (word, value) and number of scored words, per group and month: score, n.
+
+    A word listed twice is scored by both values and counted once.
+    """
+    by_word = scores.groupBy("word").agg(F.sum("value").alias("_value"))
+    keys = [F.col(name).alias("index" if name == "Month_Index" else name) for name in by]
+    return inner_lookup(tokens, by_word).groupBy(*keys).agg(F.sum("_value").alias("score"), F.count("*").alias("n"))
 
-def word_sentiment(
-    tokens: DataFrame, lexicon: DataFrame, labels: Sequence[str] = LABELS, sort: bool = True
-) -> DataFrame:
-    """How often each labelled word is used: word, sentiment, n."""
-    labelled = inner_lookup(tokens, label_counts(lexicon, labels))
-    counts = _long(labelled.groupBy("word").agg(*_sums(labels)), ["word"], labels)
-    return counts.orderBy(F.desc("n"), "word", "sentiment") if sort else counts
 
+def word_sentiment(tokens: DataFrame, lexicon: DataFrame, sort: bool = True) -> DataFrame:
+    """How often each labelled word is used, for each of its labels: word, sentiment, n."""
+    return count(labelled(tokens, lexicon), "word", "sentiment", sort=sort)
 
-def sentiment_top_terms(word_counts: DataFrame, n: int = 15, labels: Sequence[str] = LABELS) -> DataFrame:
+
+def sentiment_top_terms(word_counts: DataFrame, n: int = 15) -> DataFrame:
     """The ``n`` words contributing most to each label, ties kept, from :func:`word_sentiment`.
 
     ``ord`` places the words from the lowest mean count up, over all labels.
     """
-    top = written(top_n(written(word_counts), "sentiment", labels, "n", n))
+    top = written(top_n(written(word_counts), "sentiment", "n", n))
     order = with_position(top.groupBy("word").agg(F.avg("n").alias("_mean")), "_mean", "word")
-    return top.join(order.drop("_mean"), "word").select("word", "sentiment", "n", "rank", "ord")
+    placed = top.join(order.withColumnRenamed("word", "_word"), F.col("word").eqNullSafe(F.col("_word")))
+    return placed.select("word", "sentiment", "n", "rank", "ord")
+
+
+def spread_sentiment(counts: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
+    """The long counts made wide, and positive minus negative as ``sentiment``; other labels fail."""
+    return spread(counts, "sentiment", "n", labels).withColumn("sentiment", F.col("positive") - F.col("negative"))
 
 
 def lexicon_use(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     """All rows of ``lexicon``, each with the number of uses of its word as ``n``.
 
-    Only listed words are counted, so no more rows than the lexicon has words meet it again.
+    Words are counted first, so a word is one row however often it is used when it meets the lexicon.
     """
-    used = count(inner_lookup(tokens.select("word"), lexicon.select("word").distinct()), "word")
-    used = used.withColumnRenamed("word", "_used")
+    used = count(tokens, "word").withColumnRenamed("word", "_used")
     matched = lexicon.join(used, F.col("word").eqNullSafe(F.col("_used")), "left")
     return matched.select(*lexicon.columns, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def _wide(tokens: DataFrame, lexicon: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """Label columns per group and month: one shuffle, of sums made on the map side."""
-    labelled = inner_lookup(tokens, label_counts(lexicon, labels))
-    return labelled.groupBy("Group_Name", F.col("Month_Index").alias("index")).agg(*_sums(labels))
-
-
-def _sums(labels: Sequence[str]) -> list:
-    return [F.sum(label).alias(label) for label in labels]
-
-
-def _long(wide: DataFrame, keys: list[str], labels: Sequence[str]) -> DataFrame:
-    return wide.unpivot(keys, list(labels), "sentiment", "n").where(F.col("n") > 0)
+def _label_counts(lexicon: DataFrame) -> DataFrame:
+    """One row per word, with one column per polarity saying how often the lexicon gives it to the word."""
+    label = F.col("sentiment")
+    known = F.coalesce(label.isin(*LABELS), F.lit(False))
+    message = F.concat(F.lit(f"labels must be among {', '.join(LABELS)}; found "), F.coalesce(label, F.lit("null")))
+    checked: Column = F.when(known, label).otherwise(F.raise_error(message))
+    return lexicon.groupBy("word").agg(*[F.count_if(checked == name).alias(name) for name in LABELS])

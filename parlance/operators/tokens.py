@@ -8,32 +8,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.text import ngrams as ngram_runs
-from parlance.functions.text import words
+from parlance.functions.text import runs_of_equals, words
 from parlance.operators.joins import anti_lookup
 
 
-def by_message(messages: DataFrame) -> DataFrame:
-    """Messages partitioned by id, so that counts per message shuffle no words.
-
-    The texts are shuffled instead, once: a text takes less room than its counted words, each of
-    which would carry id and group.
-    """
-    return messages.repartition("Message_ID_int")
-
-
-def tokens(messages: DataFrame, body: str = "Message_Body", mode: str = "plain") -> DataFrame:
+def tokens(messages: DataFrame, body: str = "Message_Body", mode: str = "uax") -> DataFrame:
     """One row per word of each message; the body is dropped, every other column kept."""
     kept = [name for name in messages.columns if name != body]
     return messages.select(*kept, F.explode(words(body, mode)).alias("word"))
 
 
+def word_uses(messages: DataFrame, body: str = "Message_Body", mode: str = "uax") -> DataFrame:
+    """One row per different word of each message with its uses as ``n``; the body is dropped."""
+    kept = [name for name in messages.columns if name != body]
+    sorted_words = messages.select(*kept, F.array_sort(words(body, mode)).alias("_words"))
+    return sorted_words.select(*kept, F.inline(runs_of_equals(F.col("_words"))).alias("word", "n"))
+
+
 def without_stop_words(tokens: DataFrame, stop_words: DataFrame) -> DataFrame:
     """Anti join on the word."""
     return anti_lookup(tokens, stop_words, "word")
 
 
 def ngrams(
-    messages: DataFrame, n: int, body: str = "Message_Body", short: str = "drop", mode: str = "plain"
+    messages: DataFrame, n: int, body: str = "Message_Body", short: str = "drop", mode: str = "uax"
 ) -> DataFrame:
     """One row per run of ``n`` neighbouring words inside a message, as ``word1`` to ``wordn``."""
     kept = [name for name in messages.columns if name != body]

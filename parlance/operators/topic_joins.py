@@ -1,8 +1,13 @@
-"""Topic fit for vocabularies too large for one machine, as joins and sums over tables.
+"""Topic fit as joins and sums over tables, for a vocabulary of any size.
 
-Expectation-maximisation for LDA: each (message, word) cell shares its count among the topics by
-what the word and the message have received so far; sums by word and by message give the next
-round. State is one row of k numbers per word and per message; only the k topic totals are global.
+Expectation-maximisation for latent Dirichlet allocation: each (message, word) cell shares its
+count among the topics by what the word and the message have received so far; sums by word and by
+message give the next round. State is one row of k numbers per word and per message; only the k
+topic totals are global.
+
+Shares are whole millionths, rounded down, so sums do not depend on the order of rows or tasks
+and a fit is the same on any cluster, and in any other engine. A topic can receive 9.2e12 uses of
+words before its total leaves the range of a long; beyond that the job fails, as Spark checks.
 """
 
 from __future__ import annotations
@@ -14,31 +19,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.operators.joins import attach
-from parlance.storage import table_path, written
+from parlance.storage import release, table_path, written
+
+UNIT = 1_000_000
+DRAWS = 1_000_003
 
 
 def fit_by_joins(
-    counts: DataFrame,
-    k: int = 13,
-    seed: int = 1234,
-    max_iter: int = 20,
-    alpha: float | None = None,
-    eta: float = 1.1,
+    cells: DataFrame, k: int, seed: int, max_iter: int, alpha: float, eta: float, tolerance: float | None
 ) -> tuple[DataFrame, DataFrame]:
-    """Fit to counts per message and word; returns (term, weights) and (Message_ID_int, Group_Name, weights).
+    """Fit to a written table (message, word, n); returns (term, weights) and (message, weights).
 
-    ``alpha`` (50/k + 1) and ``eta`` are the priors of messages and words and must exceed 1.
+    ``alpha`` and ``eta`` are the priors of messages and words and must exceed 1. With a
+    ``tolerance`` the fit ends when a round raises the log likelihood by less than that share of
+    it; the first round that can end it is the second.
     """
-    alpha = 50 / k + 1 if alpha is None else alpha
+    if alpha <= 1 or eta <= 1:
+        raise ValueError(f"alpha and eta must exceed 1, not {alpha} and {eta}")
     topics = range(1, k + 1)
-    message = F.concat_ws("\u0000", F.col("Message_ID_int").cast("string"), "Group_Name")
-    cells = written(counts.where(F.col("word").isNotNull()).select(message.alias("message"), "word", "n"))
-    drawn = cells.withColumn("_draw", F.xxhash64(F.lit(seed), "message", "word"))
-    draws = [F.pmod(F.xxhash64("_draw", F.lit(i)), F.lit(1_000_003)) + F.lit(1.0) for i in topics]
-    shared = drawn.select(*cells.columns, *_shares(draws))
+    draws = [_draw(seed, i) for i in topics]
+    shared = cells.select("message", "word", "n", *_shares(draws))
     places = [table_path(cells.sparkSession) for _ in range(2)]
-    words, messages = _sums(shared, k, places[0])
+    both = _sums(shared, k, places[0])
+    words, messages = _parts(both)
     size = words.count()
+    before = None
     for turn in range(1, max_iter + 1):
         totals = _totals(words, k)
         by_message = messages.select("message", "_rows", *[F.col(f"t{i}").alias(f"m{i}") for i in topics])
@@ -46,47 +51,67 @@ def fit_by_joins(
         # words first: the wide rows then end up by message, where the sums by message are at hand
         # and many cells of a word meet in one task before the sums by word are shuffled
         joined = attach(attach(cells, by_word, "word", "_rows"), by_message, "message", "_rows")
-        likely = [
-            (F.col(f"w{i}") + F.lit(eta - 1))
-            * (F.col(f"m{i}") + F.lit(alpha - 1))
-            / F.lit(totals[i - 1] + size * (eta - 1))
-            for i in topics
-        ]
-        shared = joined.select(*cells.columns, *_shares(likely))
-        words, messages = _sums(shared, k, places[turn % 2])
+        likely = [_smoothed(f"w{i}", eta) * _smoothed(f"m{i}", alpha) / F.lit(_whole(totals[i - 1], size, eta)) for i in topics]
+        shared = joined.select("message", "word", "n", *_shares(likely))
+        now = None
+        if tolerance is not None:
+            received = reduce(add, [_smoothed(f"m{i}", alpha) for i in topics])
+            now = joined.agg(F.sum(F.col("n") * F.log(reduce(add, likely) / received))).first()[0]
+        both = _sums(shared, k, places[turn % 2])
+        words, messages = _parts(both)
+        if now is not None and before is not None and now - before < tolerance * abs(before):
+            break
+        before = now
     totals = _totals(words, k)
-    in_topic = [(F.col(f"t{i}") + F.lit(eta - 1)) / F.lit(totals[i - 1] + size * (eta - 1)) for i in topics]
-    terms = words.select(F.col("word").alias("term"), F.array(*in_topic).alias("weights"))
-    received = [F.col(f"t{i}") + F.lit(alpha - 1) for i in topics]
+    in_topic = [_smoothed(f"t{i}", eta) / F.lit(_whole(totals[i - 1], size, eta)) for i in topics]
+    terms = written(words.select(F.col("word").alias("term"), F.array(*in_topic).alias("weights")))
+    received = [_smoothed(f"t{i}", alpha) for i in topics]
     whole = reduce(add, received)
-    key = F.split("message", "\u0000", 2)
-    mixed = messages.select(
-        F.get(key, F.lit(0)).cast("long").alias("Message_ID_int"),
-        F.get(key, F.lit(1)).alias("Group_Name"),
-        F.array(*[column / whole for column in received]).alias("weights"),
-    )
-    return written(terms), written(mixed)
+    mixed = written(messages.select("message", F.array(*[column / whole for column in received]).alias("weights")))
+    for place in places:
+        table = cells.sparkSession.range(0)
+        table.written_path = place
+        release(table)
+    return terms, mixed
+
+
+def _draw(seed: int, topic: int) -> Column:
+    """A first weight from 1 to ``DRAWS`` for a cell and topic, by a hash that other engines have too."""
+    name = F.concat_ws("/", F.lit(str(seed)), F.col("message").cast("string"), "word", F.lit(str(topic)))
+    return (F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("long") % F.lit(DRAWS) + F.lit(1)).cast("double")
+
+
+def _smoothed(column: str, prior: float) -> Column:
+    return F.col(column) / F.lit(float(UNIT)) + F.lit(prior - 1)
+
+
+def _whole(total: int, size: int, eta: float) -> float:
+    return total / float(UNIT) + size * (eta - 1)
 
 
 def _shares(likely: list[Column]) -> list[Column]:
-    """The cell's count dealt out in proportion to ``likely``, as t1 to tk."""
+    """The cell's count dealt out in proportion to ``likely`` in whole millionths, as t1 to tk."""
     whole = reduce(add, likely)
-    return [(F.col("n") * column / whole).alias(f"t{i}") for i, column in enumerate(likely, 1)]
+    return [F.floor(F.col("n") * F.lit(float(UNIT)) * column / whole).cast("long").alias(f"t{i}") for i, column in enumerate(likely, 1)]
 
 
-def _totals(words: DataFrame, k: int) -> list[float]:
+def _totals(words: DataFrame, k: int) -> list[int]:
     """All that each topic has received: the k numbers that are global."""
     return list(words.agg(*[F.sum(f"t{i}") for i in range(1, k + 1)]).first())
 
 
-def _sums(shared: DataFrame, k: int, place: str) -> tuple[DataFrame, DataFrame]:
+def _sums(shared: DataFrame, k: int, place: str) -> DataFrame:
     """Sums by word and by message, each with its number of cells.
 
     Made in one pass, and written down to end the lineage, over the round before last.
     """
     sums = [F.sum(f"t{i}").alias(f"t{i}") for i in range(1, k + 1)]
-    both = written(
-        shared.groupingSets([["word"], ["message"]], "word", "message").agg(F.count("*").alias("_rows"), *sums),
-        path=place,
+    both = shared.groupingSets([["word"], ["message"]], "word", "message")
+    return written(both.agg(F.grouping("word").alias("_of_message"), F.count("*").alias("_rows"), *sums), path=place)
+
+
+def _parts(both: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return (
+        both.where(F.col("_of_message") == 0).drop("message", "_of_message"),
+        both.where(F.col("_of_message") == 1).drop("word", "_of_message"),
     )
-    return both.where(F.col("word").isNotNull()).drop("message"), both.where(F.col("word").isNull()).drop("word")

@@ -4,24 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from parlance.operators.counts import count
-from parlance.operators.joins import attach
+from parlance.operators.joins import anti_lookup, attach
 from parlance.operators.ranks import top_n, with_position
+from parlance.operators.tokens import word_uses
 from parlance.operators.topic_joins import fit_by_joins
-from parlance.sources.messages import spread_out
-from parlance.storage import written
-
-# The in-memory fit keeps a terms x topics matrix on the driver and sends it to every task.
-MODEL_BYTES = 64 * 1024 * 1024
+from parlance.storage import release, written
 
 
 @dataclass(frozen=True)
@@ -37,12 +28,16 @@ class TopicModel:
     messages: DataFrame
 
 
-def message_word_counts(clean_tokens: DataFrame) -> DataFrame:
-    """Uses of each word in each message: Group_Name, Message_ID_int, word, n.
+def message_word_counts(messages: DataFrame, stop_words: DataFrame) -> DataFrame:
+    """Uses of each word in each message, without stop words: Group_Name, Message_ID_int, word, n.
 
-    Takes no shuffle if the words come from messages put :func:`by_message`.
+    A message is one row, so its words are counted inside it and no text is shuffled. Ids that are
+    not unique fail; the check reads nothing but the ids.
     """
-    return count(clean_tokens, "Group_Name", "Message_ID_int", "word")
+    repeated = messages.groupBy("Message_ID_int").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    if not repeated.isEmpty():
+        raise ValueError("message ids must be unique")
+    return anti_lookup(word_uses(messages.select("Group_Name", "Message_ID_int", "Message_Body")), stop_words, "word")
 
 
 def vocabulary(counts: DataFrame) -> DataFrame:
@@ -57,89 +52,44 @@ def document_term_matrix(counts: DataFrame) -> DataFrame:
     ``counts`` is :func:`message_word_counts`; messages without words have no cell.
     """
     counts = written(counts)
-    return _cells(counts, vocabulary(counts)).select("Message_ID_int", "term_index", "n")
-
-
-def term_vectors(cells: DataFrame, terms: int) -> DataFrame:
-    """The same matrix as one sparse vector of length ``terms`` per message.
-
-    Built by Spark functions in the form vectors are stored in, and read back as vectors. The
-    cells of one message come together, at most ``terms`` of them.
-    """
-    cell = F.struct((F.col("term_index") - F.lit(1)).cast("int").alias("at"), F.col("n").cast("double").alias("n"))
-    messages = cells.groupBy("Message_ID_int", "Group_Name").agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
-    stored = F.struct(
-        F.lit(0).cast("byte").alias("type"),
-        F.lit(terms).alias("size"),
-        F.col("_cells.at").alias("indices"),
-        F.col("_cells.n").alias("values"),
-    )
-    rows = messages.select("Message_ID_int", "Group_Name", stored.alias("features"))
-    vectors = T.StructType([*rows.schema.fields[:2], T.StructField("features", VectorUDT())])
-    return written(rows, vectors)
+    cells = attach(counts.where(F.col("word").isNotNull()), vocabulary(counts), "word", "messages")
+    return cells.select("Message_ID_int", "term_index", "n")
 
 
 def fit_topics(
-    counts: DataFrame, k: int = 13, seed: int = 1234, max_iter: int = 20, alpha: float | None = None
+    counts: DataFrame,
+    k: int = 13,
+    seed: int = 1234,
+    max_iter: int = 20,
+    alpha: float | None = None,
+    eta: float = 1.1,
+    tolerance: float | None = None,
 ) -> TopicModel:
-    """Fit ``k`` topics to :func:`message_word_counts`, every word counting.
+    """Fit ``k`` topics to :func:`message_word_counts`, every word counting, for a vocabulary of any size.
 
-    While vocabulary times topics stays below ``MODEL_BYTES``, this is Spark's variational Bayes
-    over all messages in each iteration, ``alpha`` (50/k) being the start of an estimated prior.
-    As every iteration sees everything, early ones need no damping: a learning offset of 1 gets
-    in 10 iterations to a likelihood that the default of 1024 is far from after 20. Beyond the
-    bound, :func:`fit_topics_by_joins` takes over, which holds no table in one place.
+    ``alpha`` (50/k + 1) and ``eta`` are the priors of messages and words and must exceed 1. The fit
+    takes ``max_iter`` rounds, or fewer if a ``tolerance`` is given: it then ends when a round raises
+    the log likelihood by less than that share of it. Equal counts and settings give equal
+    models. Release the model with :func:`release_topics` when no result of it is read any more.
     """
     counts = written(counts)
-    words = vocabulary(counts)
-    terms = words.count()
-    if not terms:
+    cells = written(
+        counts.where(F.col("word").isNotNull()).select(F.col("Message_ID_int").alias("message"), "word", "n")
+    )
+    if cells.isEmpty():
         raise ValueError("no message has a word to fit topics to")
-    if terms * k * 8 > MODEL_BYTES:
-        return fit_topics_by_joins(counts, k, seed, max_iter)
-    vectors = spread_out(term_vectors(_cells(counts, words), terms))
-    vectors = vectors.sortWithinPartitions("Message_ID_int").persist()
-    try:
-        model = LDA(
-            k=k,
-            seed=seed,
-            maxIter=max_iter,
-            optimizer="online",
-            docConcentration=[50 / k if alpha is None else alpha],
-            optimizeDocConcentration=True,
-            subsamplingRate=1.0,
-            learningOffset=1.0,
-        ).fit(vectors)
-        mixed = model.transform(vectors).select(
-            "Message_ID_int", "Group_Name", vector_to_array("topicDistribution").alias("weights")
-        )
-        return TopicModel(k, _term_shares(model, words), written(mixed))
-    finally:
-        vectors.unpersist()
-
-
-def fit_topics_by_joins(counts: DataFrame, k: int = 13, seed: int = 1234, max_iter: int = 20) -> TopicModel:
-    """Fit ``k`` topics over a vocabulary of any size."""
-    return TopicModel(k, *fit_by_joins(counts, k, seed, max_iter))
-
-
-def _cells(counts: DataFrame, words: DataFrame) -> DataFrame:
-    """Counts of words proper, with the place of the word."""
-    return attach(counts.where(F.col("word").isNotNull()), words, "word", "messages")
-
-
-def _term_shares(model: LDAModel, words: DataFrame) -> DataFrame:
-    """The model's matrix, which is of checked size, as shares per topic that sum to 1, with its words."""
-    matrix = model.topicsMatrix().toArray()
-    shares = np.ascontiguousarray(matrix / matrix.sum(axis=0))
-    table = pa.table(
-        {
-            "term_index": pa.array(np.arange(1, len(shares) + 1)),
-            "weights": pa.FixedSizeListArray.from_arrays(shares.ravel(), shares.shape[1]).cast(pa.list_(pa.float64())),
-        }
+    terms, mixed = fit_by_joins(cells, k, seed, max_iter, 50 / k + 1 if alpha is None else alpha, eta, tolerance)
+    groups = counts.select(F.col("Message_ID_int").alias("message"), "Group_Name").dropDuplicates(["message"])
+    messages = written(
+        mixed.join(groups, "message").select(F.col("message").alias("Message_ID_int"), "Group_Name", "weights")
     )
-    weights = words.sparkSession.createDataFrame(table)
-    return written(words.join(weights, "term_index").select(F.col("word").alias("term"), "weights"))
+    release(counts, cells, mixed)
+    return TopicModel(k, terms, messages)
+
+
+def release_topics(model: TopicModel) -> None:
+    """Delete the tables of a fitted model."""
+    release(model.terms, model.messages)
 
 
 def beta(model: TopicModel) -> DataFrame:
@@ -157,7 +107,7 @@ def topic_top_terms(model: TopicModel, n: int = 5) -> DataFrame:
 
     ``ord`` places the terms of one topic from the lowest share up, as a chart draws them.
     """
-    top = top_n(beta(model), "topic", range(1, model.k + 1), "beta", n)
+    top = top_n(beta(model), "topic", "beta", n)
     placed = with_position(top, "topic", "beta", "term", name="_place")
     first = placed.groupBy("topic").agg(F.min("_place").alias("_first"))
     order = F.col("_place") - F.col("_first") + F.lit(1)

@@ -70,9 +70,29 @@ def sentiment_by_group_month(spark, sf_dir):
 @query
 def sentiment_spread(spark, sf_dir):
     """The long counts made wide again, the way the net sentiment is defined step by step."""
-    long = sentiment_counts(spark, sf_dir)
-    wide = op.spread(long, "sentiment", "n", ["negative", "positive"])
-    return wide.withColumn("sentiment", F.col("positive") - F.col("negative"))
+    return op.spread_sentiment(sentiment_counts(spark, sf_dir))
+
+
+@query
+def message_sentiment(spark, sf_dir):
+    """The score of each message with a labelled word."""
+    return op.message_sentiment(tokens_clean(spark, sf_dir), inputs.bing(spark))
+
+
+@query
+def score_by_group_month(spark, sf_dir):
+    return op.score_sums(tokens_clean(spark, sf_dir), inputs.afinn(spark))
+
+
+@query
+def emotions_by_group_month(spark, sf_dir):
+    """Words of each emotion per group and month; a word may have several."""
+    return op.sentiment_counts(tokens_clean(spark, sf_dir), inputs.nrc(spark))
+
+
+@query
+def word_emotions(spark, sf_dir):
+    return op.word_sentiment(tokens_clean(spark, sf_dir), inputs.nrc(spark))
 
 
 @query
@@ -173,7 +193,7 @@ def trigram_counts(spark, sf_dir):
 
 @query
 def message_word_counts(spark, sf_dir):
-    return op.message_word_counts(_clean(op.by_message(inputs.messages(spark, sf_dir))))
+    return op.message_word_counts(inputs.messages(spark, sf_dir), sources.stop_words(spark))
 
 
 @query
@@ -184,57 +204,64 @@ def dtm(spark, sf_dir):
 _models: dict[tuple, op.TopicModel] = {}
 
 
-def _model(spark, sf_dir, fit=op.fit_topics, **settings):
-    """One fit per application and data folder, shared by the topic queries."""
-    key = (spark.sparkContext.applicationId, sf_dir, fit.__name__)
+def fit_model(spark, sf_dir, **settings):
+    """A fit of its own, for the caller to release."""
+    return op.fit_topics(message_word_counts(spark, sf_dir), **settings)
+
+
+def _model(spark, sf_dir, **settings):
+    """One fit per application, state of the data and settings, shared by the topic queries."""
+    key = (spark.sparkContext.applicationId, inputs.state(spark, sf_dir), *sorted(settings.items()))
     if key not in _models:
-        _models[key] = fit(message_word_counts(spark, sf_dir), **settings)
+        _models[key] = fit_model(spark, sf_dir, **settings)
     return _models[key]
 
 
-def _large_model(spark, sf_dir):
-    """The fit for vocabularies beyond one machine; few rounds, as only its invariants are looked at."""
-    return _model(spark, sf_dir, op.fit_topics_by_joins, max_iter=5)
+def release_models() -> None:
+    """Delete the tables of the models fitted so far."""
+    while _models:
+        op.release_topics(_models.popitem()[1])
 
 
-def _beta_sums(model):
-    sums = op.beta(model).groupBy("topic")
-    return sums.agg(F.count("*").alias("terms"), F.round(F.sum("beta"), 6).alias("beta_sum"))
+def _rounded(rows, name):
+    return rows.withColumn(name, F.round(name, 9))
 
 
-def _gamma_sums(model):
-    sums = op.gamma(model).groupBy("Message_ID_int")
-    return sums.agg(F.count("*").alias("topics"), F.round(F.sum("gamma"), 6).alias("gamma_sum"))
+@query
+def topic_beta(spark, sf_dir):
+    return _rounded(op.beta(_model(spark, sf_dir)), "beta")
 
 
 @query
-def topic_beta_sums(spark, sf_dir):
-    return _beta_sums(_model(spark, sf_dir))
+def topic_gamma(spark, sf_dir):
+    return _rounded(op.gamma(_model(spark, sf_dir)), "gamma")
 
 
 @query
-def topic_gamma_sums(spark, sf_dir):
-    return _gamma_sums(_model(spark, sf_dir))
+def topic_beta_sums(spark, sf_dir):
+    sums = op.beta(_model(spark, sf_dir)).groupBy("topic")
+    return sums.agg(F.count("*").alias("terms"), F.round(F.sum("beta"), 6).alias("beta_sum"))
 
 
 @query
-def topic_beta_sums_by_joins(spark, sf_dir):
-    return _beta_sums(_large_model(spark, sf_dir))
+def topic_gamma_sums(spark, sf_dir):
+    sums = op.gamma(_model(spark, sf_dir)).groupBy("Message_ID_int")
+    return sums.agg(F.count("*").alias("topics"), F.round(F.sum("gamma"), 6).alias("gamma_sum"))
 
 
-@query
-def topic_gamma_sums_by_joins(spark, sf_dir):
-    return _gamma_sums(_large_model(spark, sf_dir))
+# The fit by joins is the only one now; the names it had beside another one stay.
+QUERIES["topic_beta_sums_by_joins"] = topic_beta_sums
+QUERIES["topic_gamma_sums_by_joins"] = topic_gamma_sums
 
 
 @query
 def topic_top_terms(spark, sf_dir):
-    return op.topic_top_terms(_model(spark, sf_dir))
+    return _rounded(op.topic_top_terms(_model(spark, sf_dir)), "beta")
 
 
 @query
 def topic_assignment(spark, sf_dir):
-    return op.topic_assignment(_model(spark, sf_dir))
+    return _rounded(op.topic_assignment(_model(spark, sf_dir)), "gamma")
 
 
 @query

@@ -43,3 +43,11 @@ def afinn(spark: SparkSession) -> DataFrame:
 
 def nrc(spark: SparkSession) -> DataFrame:
     return lookup_table(spark, LEXICONS["nrc"], NRC)
+
+
+def state(spark: SparkSession, sf_dir: str) -> tuple[str, int, int]:
+    """The place of the documents, when they were last written, and their size."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = system.getFileStatus(place)
+    return str(found.getPath()), found.getModificationTime(), system.getContentSummary(place).getLength()

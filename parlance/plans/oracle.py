@@ -21,7 +21,9 @@ won't wouldn't shan't shouldn't mustn't can't couldn't cannot could here's how's
 there's what's when's where's who's why's would
 """.split()
 
-TOKEN = r"[\p{L}\p{M}\p{N}_]+(?:['’.][\p{L}\p{M}\p{N}_]+)*"
+# Unicode word boundaries without lookaround: a letter with what joins it to following letters, a digit with
+# what joins it to following digits, or one character of a word. Matches of underscores alone are no words.
+TOKEN = r"(?:[\p{L}\p{M}](?:['’‘.·‧]\p{L})+|\p{N}(?:['’‘.,;]\p{N})+|[\p{L}\p{M}\p{N}_])+"
 
 
 def _text(value) -> str:
@@ -53,7 +55,8 @@ nrc(word, sentiment) AS (VALUES {_values(NRC)}),
 texts AS (
   SELECT Message_ID_int, Month_Index, Group_Name,
          CASE WHEN Message_Body IS NULL THEN [CAST(NULL AS VARCHAR)]
-              ELSE regexp_extract_all(lower(Message_Body), {_text(TOKEN)}) END AS ws
+              ELSE list_filter(regexp_extract_all(lower(Message_Body), {_text(TOKEN)}),
+                               lambda w: NOT regexp_full_match(w, '_+')) END AS ws
   FROM messages
 ),
 tokens AS (SELECT Message_ID_int, Month_Index, Group_Name, unnest(ws) AS word FROM texts),
@@ -108,6 +111,79 @@ GAMMA_SUMS = f"""
     SELECT DISTINCT Message_ID_int, CAST({TOPICS} AS BIGINT) AS topics, CAST(1 AS DOUBLE) AS gamma_sum
     FROM tokens_clean WHERE word IS NOT NULL"""
 
+
+def _number(value: float) -> str:
+    """The value as a literal that is read as a double."""
+    return f"{value!r}e0"
+
+
+def topic_fit(k: int = TOPICS, seed: int = 1234, rounds: int = 20, eta: float = 1.1) -> str:
+    """The fit, round by round: tables beta (topic, term, beta) and gamma (Message_ID_int, Group_Name, topic, gamma)."""
+    topics = range(1, k + 1)
+    for_message, for_word = _number(50 / k + 1 - 1), _number(eta - 1)
+
+    def shares(likely: list[str]) -> str:
+        whole = " + ".join(f"l{i}" for i in topics)
+        named = ", ".join(f"{likely[i - 1]} AS l{i}" for i in topics)
+        dealt = ", ".join(f"CAST(floor(n * 1e6 * l{i} / ({whole})) AS BIGINT) AS t{i}" for i in topics)
+        return f"SELECT m, w, {dealt} FROM (SELECT m, w, n, {named} FROM "
+
+    sums = ", ".join(f"CAST(sum(t{i}) AS BIGINT) AS t{i}" for i in topics)
+    draws = [
+        f"CAST(CAST('0x' || md5('{seed}/' || m || '/' || w || '/{i}')[1:12] AS BIGINT) % 1000003 + 1 AS DOUBLE)" for i in topics
+    ]
+    whole = [f"(a.t{i} / 1e6 + size * {for_word})" for i in topics]
+    tables = [
+        "cells AS MATERIALIZED (SELECT Message_ID_int AS m, word AS w, n FROM message_word_counts WHERE word IS NOT NULL)",
+        "terms AS MATERIALIZED (SELECT count(DISTINCT w) AS size FROM cells)",
+        f"shares0 AS MATERIALIZED ({shares(draws)} cells))",
+    ]
+    for turn in range(rounds + 1):
+        tables += [
+            f"words{turn} AS MATERIALIZED (SELECT w, {sums} FROM shares{turn} GROUP BY w)",
+            f"messages{turn} AS MATERIALIZED (SELECT m, {sums} FROM shares{turn} GROUP BY m)",
+            f"totals{turn} AS MATERIALIZED (SELECT {sums} FROM words{turn})",
+        ]
+        if turn < rounds:
+            likely = [
+                f"(x.t{i} / 1e6 + {for_word}) * (y.t{i} / 1e6 + {for_message}) / {whole[i - 1]}" for i in topics
+            ]
+            source = f"cells JOIN words{turn} x USING (w) JOIN messages{turn} y USING (m), totals{turn} a, terms"
+            tables.append(f"shares{turn + 1} AS MATERIALIZED ({shares(likely)} {source}))")
+    in_topic = ", ".join(f"(x.t{i} / 1e6 + {for_word}) / {whole[i - 1]}" for i in topics)
+    received = " + ".join(f"(t{i} / 1e6 + {for_message})" for i in topics)
+    of_message = ", ".join(f"(t{i} / 1e6 + {for_message}) / ({received})" for i in topics)
+    numbers = f"unnest(range(1, {k + 1}))"
+    tables += [
+        f"""beta AS MATERIALIZED (
+          SELECT CAST({numbers} AS INTEGER) AS topic, w AS term, unnest([{in_topic}]) AS beta
+          FROM words{rounds} x, totals{rounds} a, terms)""",
+        f"""gamma AS MATERIALIZED (
+          SELECT m AS Message_ID_int, Group_Name, CAST({numbers} AS INTEGER) AS topic, unnest([{of_message}]) AS gamma
+          FROM messages{rounds} JOIN messages ON m = Message_ID_int)""",
+        """assigned AS (
+          SELECT Message_ID_int, Group_Name, topic, gamma FROM gamma
+          QUALIFY row_number() OVER (PARTITION BY Message_ID_int ORDER BY gamma DESC, topic) = 1)""",
+        "checked AS (SELECT topic, Group_Name, count(*) AS n FROM assigned GROUP BY ALL)",
+    ]
+    return ", " + ",\n".join(tables)
+
+
+TOPIC_SELECTS = {
+    "topic_beta": "SELECT topic, term, round(beta, 9) AS beta FROM beta",
+    "topic_gamma": "SELECT Message_ID_int, topic, round(gamma, 9) AS gamma FROM gamma",
+    "topic_top_terms": """
+        SELECT topic, CAST(topic AS VARCHAR) AS label, term, round(beta, 9) AS beta, "rank",
+               row_number() OVER (PARTITION BY topic ORDER BY raw, term) AS ord
+        FROM (SELECT *, beta AS raw, rank() OVER (PARTITION BY topic ORDER BY beta DESC) AS "rank" FROM beta) WHERE "rank" <= 5""",
+    "topic_assignment": "SELECT Message_ID_int, topic, round(gamma, 9) AS gamma FROM assigned",
+    "topic_group_check": "SELECT * FROM checked",
+    "topic_purity": """
+        SELECT topic, Group_Name, n, n / "all" AS share
+        FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY topic) AS DOUBLE) AS "all" FROM checked)
+        QUALIFY row_number() OVER (PARTITION BY topic ORDER BY n DESC, Group_Name NULLS FIRST) = 1""",
+}
+
 SELECTS = {
     "tokens": "SELECT * FROM tokens",
     "tokens_clean": "SELECT * FROM tokens_clean",
@@ -125,6 +201,18 @@ SELECTS = {
         FROM (SELECT *, avg(n) OVER (PARTITION BY word) AS mean
               FROM (SELECT *, rank() OVER (PARTITION BY sentiment ORDER BY n DESC) AS "rank" FROM group_word_sentiment)
               WHERE "rank" <= 15)""",
+    "message_sentiment": """
+        SELECT Message_ID_int, CAST(count(*) FILTER (sentiment = 'negative') AS BIGINT) AS negative,
+               CAST(count(*) FILTER (sentiment = 'positive') AS BIGINT) AS positive,
+               CAST(sum(CASE sentiment WHEN 'positive' THEN 1 ELSE -1 END) AS BIGINT) AS sentiment
+        FROM tokens_clean JOIN bing USING (word) GROUP BY ALL""",
+    "score_by_group_month": """
+        SELECT Group_Name, Month_Index AS "index", CAST(sum(value) AS BIGINT) AS score, count(*) AS n
+        FROM tokens_clean JOIN afinn USING (word) GROUP BY ALL""",
+    "emotions_by_group_month": """
+        SELECT Group_Name, Month_Index AS "index", sentiment, count(*) AS n
+        FROM tokens_clean JOIN nrc USING (word) GROUP BY ALL""",
+    "word_emotions": "SELECT word, sentiment, count(*) AS n FROM tokens_clean JOIN nrc USING (word) GROUP BY ALL",
     "lexicons": """
         SELECT lexicon, word, label, value, coalesce(n, 0) AS n
         FROM (
@@ -170,4 +258,6 @@ SELECTS = {
 
 
 def oracle_queries() -> dict[str, str]:
-    return {name: COMMON + select for name, select in SELECTS.items()}
+    fit = topic_fit()
+    plain = {name: COMMON + select for name, select in SELECTS.items()}
+    return plain | {name: COMMON + fit + select for name, select in TOPIC_SELECTS.items()}

@@ -20,7 +20,10 @@ ALIASES = {"Month_ID_int": "Month_Index"}
 
 
 def as_messages(df: DataFrame) -> DataFrame:
-    """Select the four message columns by name, checking that they exist and have the right kind of type."""
+    """Select the four message columns by name, checking that they exist and have the right kind of type.
+
+    A null id fails when it is read. Ids are to be unique; counts per message check that.
+    """
     for alias, name in ALIASES.items():
         if alias in df.columns and name not in df.columns:
             df = df.withColumnRenamed(alias, name)
@@ -32,14 +35,20 @@ def as_messages(df: DataFrame) -> DataFrame:
         whole_number = isinstance(field.dataType, T.IntegralType) and isinstance(found, T.IntegralType)
         if found != field.dataType and not whole_number:
             raise TypeError(f"{field.name} is {found.simpleString()}, expected {field.dataType.simpleString()}")
-        columns.append(F.col(field.name).cast(field.dataType).alias(field.name))
+        column = F.col(field.name).cast(field.dataType)
+        if not field.nullable:
+            missing = F.raise_error(F.lit(f"{field.name} must not be null")).cast(field.dataType)
+            column = F.coalesce(column, missing)
+        columns.append(column.alias(field.name))
     return df.select(*columns)
 
 
 def read_messages(spark: SparkSession, path: str, format: str = "parquet", multi_line: bool = False) -> DataFrame:
     """Read a message table from Parquet (or another self-describing format) or from CSV with a header.
 
-    CSV values that do not fit their column fail the read. ``multi_line`` allows line breaks
+    CSV columns are bound by the names in the header, which must be the same, in the same order, in
+    every file: Spark binds a file's values to its columns by position, so a file with another header
+    fails the read. So do values that do not fit their column. ``multi_line`` allows line breaks
     inside quoted bodies, at the price of one task per file.
     """
     if format != "csv":
@@ -52,15 +61,26 @@ def read_messages(spark: SparkSession, path: str, format: str = "parquet", multi
             for name in reader.csv(path).columns
         ]
     )
-    return as_messages(reader.option("mode", "FAILFAST").option("escape", '"').schema(schema).csv(path))
+    checked = reader.option("mode", "FAILFAST").option("escape", '"').option("enforceSchema", False)
+    return as_messages(checked.schema(schema).csv(path))
 
 
 def spread_out(messages: DataFrame) -> DataFrame:
-    """Use every core on an input of few files: tokenising works inside the scan's partitions.
+    """Use every core on a small input of few files: tokenising works inside the scan's partitions.
 
-    Leaves an input alone that already has two partitions per core, as any large one has.
+    Only an input that makes fewer splits than there are cores is dealt out, by id, and only as far
+    as its files are known: a plan on anything but files is left alone. Smaller
+    ``spark.sql.files.maxPartitionBytes`` is the way for a large input of splittable files.
     """
-    cores = messages.sparkSession.sparkContext.defaultParallelism
-    if messages.rdd.getNumPartitions() >= 2 * cores:
+    spark = messages.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = messages.inputFiles()
+    if not files or len(files) >= cores:
+        return messages
+    size = int(str(messages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")
+    )
+    if size >= cores * split:
         return messages
     return messages.repartition(cores, "Message_ID_int")

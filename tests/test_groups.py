@@ -19,6 +19,7 @@ from parlance.operators import (
     unite,
     without_stop_words,
 )
+from parlance.operators import joins
 from parlance.operators.joins import hot_keys
 
 
@@ -82,6 +83,21 @@ def test_attach_split_sends_hot_keys_by_broadcast_and_the_rest_by_shuffle(spark,
     assert [tuple(r) for r in attach(df, keyed, "k", "m").orderBy("id").collect()] == expected
 
 
+def test_wide_rows_allow_fewer_hot_keys(spark, monkeypatch):
+    """The broadcast of hot keys is bounded by bytes, however wide the attached rows are."""
+    df = spark.range(1000).selectExpr("concat('k', id % 100) AS k").groupBy("k").agg(F.count("*").alias("m"))
+    assert hot_keys(df, "k", "m").count() == 100
+    wide = df.withColumn("w", F.array_repeat(F.lit(1.0), 1000))
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 400_000)
+    assert hot_keys(wide, "k", "m").count() == 0 and hot_keys(df, "k", "m").count() == 100
+
+
+def test_attach_keeps_rows_without_a_key_in_both_forms(spark, either_join):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id long, k string")
+    keyed = spark.createDataFrame([("a", 1, 5)], "k string, m int, v int")
+    assert rows(attach(df, keyed, "k", "m")) == [(1, "a", 5), (2, "b", None), (3, None, None)]
+
+
 def test_rows_of_a_hot_key_are_spread_over_the_tasks(spark, no_broadcast):
     df = spark.range(40_000).select("id", F.lit("hot").alias("k"))
     df = df.union(spark.range(100).selectExpr("id + 50000", "concat('k', id)"))

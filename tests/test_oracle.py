@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from parlance.plans import oracle_queries
 
 SF = os.environ.get("PARLANCE_TEST_SF", "/root/testdata/sf0.001")
 
@@ -19,7 +20,7 @@ def duck():
     return connection
 
 
-@pytest.mark.parametrize("name", list(driver.oracle_sql()))
+@pytest.mark.parametrize("name", list(oracle_queries()))
 def test_same_rows(spark, duck, name):
     found = driver.queries()[name](spark, SF).toArrow()
     expected = duck.sql(driver.oracle_sql()[name]).to_arrow_table()
@@ -39,16 +40,3 @@ def test_entry(spark):
     flagship = driver.entry(spark)
     assert flagship.columns == ["Group_Name", "index", "negative", "positive", "sentiment"]
     assert flagship.count() > 0
-
-
-def test_topic_queries_agree(spark):
-    queries = driver.queries()
-    messages = queries["topic_assignment"](spark, SF).count()
-    assert messages == queries["topic_gamma_sums"](spark, SF).count()
-    checked = queries["topic_group_check"](spark, SF).collect()
-    assert sum(row["n"] for row in checked) == messages
-    purity = queries["topic_purity"](spark, SF).collect()
-    assert {row["topic"] for row in purity} == {row["topic"] for row in checked}
-    assert all(row["n"] == max(c["n"] for c in checked if c["topic"] == row["topic"]) for row in purity)
-    top = queries["topic_top_terms"](spark, SF).collect()
-    assert {row["topic"] for row in top} == set(range(1, 14))

@@ -35,6 +35,24 @@ def test_read_csv_with_line_breaks(spark, tmp_path):
     assert rows(read_messages(spark, str(path), "csv", multi_line=True)) == [(1, 2, "A", "one\ntwo")]
 
 
+def test_csv_files_with_other_headers_fail(spark, tmp_path):
+    folder = tmp_path / "m"
+    folder.mkdir()
+    (folder / "a.csv").write_text("Message_ID_int,Group_Name,Message_Body,Month_Index\n1,A,hello,2\n")
+    (folder / "b.csv").write_text("Message_ID_int,Message_Body,Group_Name,Month_Index\n2,good bye,B,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_messages(spark, str(folder), "csv").collect()
+    with pytest.raises(Exception, match="(?i)header"):
+        read_messages(spark, str(folder), "csv").select("Message_Body").collect()
+    (folder / "b.csv").write_text("Message_ID_int,Group_Name,Message_Body,Month_Index\n2,B,good bye,2\n")
+    assert rows(read_messages(spark, str(folder), "csv")) == [(1, 2, "A", "hello"), (2, 2, "B", "good bye")]
+
+
+def test_null_ids_fail(spark, messages):
+    with pytest.raises(Exception, match="must not be null"):
+        as_messages(messages.withColumn("Message_ID_int", F.expr("nullif(Message_ID_int, 3)"))).collect()
+
+
 def test_csv_with_wrong_type_fails(spark, tmp_path):
     path = tmp_path / "m.csv"
     path.write_text("Message_ID_int,Month_Index,Group_Name,Message_Body\nx,2,A,b\n")
@@ -54,11 +72,22 @@ def test_narrow_ids_are_widened(messages):
     assert as_messages(narrow).schema["Message_ID_int"].dataType == MESSAGES["Message_ID_int"].dataType
 
 
-def test_spread_out_only_where_partitions_are_few(spark, messages):
+def test_spread_out_only_where_splits_are_few(spark, messages, tmp_path):
     cores = spark.sparkContext.defaultParallelism
-    assert spread_out(messages.coalesce(1)).rdd.getNumPartitions() == cores
-    assert spread_out(messages.repartition(3 * cores)).rdd.getNumPartitions() == 3 * cores
-    assert rows(spread_out(messages)) == rows(messages) and len(BODIES) == messages.count()
+    assert spread_out(messages) is messages
+    messages.coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    assert spread_out(one).rdd.getNumPartitions() == cores
+    assert rows(spread_out(one)) == rows(messages) and len(BODIES) == messages.count()
+    messages.unionByName(messages).repartition(cores).write.parquet(str(tmp_path / "many"))
+    many = spark.read.parquet(str(tmp_path / "many"))
+    assert spread_out(many) is many
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+        assert spread_out(one) is one
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
 
 
 def test_lexicons_keep_repeated_words(spark, tmp_path):

@@ -4,6 +4,7 @@ import pytest
 from conftest import rows
 
 from parlance import storage
+from parlance.operators import fit_topics, release_topics
 
 
 def session(master, folder=None, configured=None):
@@ -23,10 +24,34 @@ def test_configured_folder_is_used():
     assert storage.checkpoint_folder(session("yarn", None, "hdfs:/d")) == "hdfs:/d"
 
 
-def test_only_one_machine_may_use_a_temporary_folder():
-    assert "parlance-" in storage.checkpoint_folder(session("local[2]"))
+@pytest.mark.parametrize("master", ["local", "local[2]", "local-cluster[2,1,1024]", "spark://host:7077"])
+def test_no_folder_is_made_up(master):
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        storage.checkpoint_folder(session("spark://host:7077"))
+        storage.checkpoint_folder(session(master))
+
+
+def tables(spark):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(storage.checkpoint_folder(spark))
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {str(s.getPath()) for s in system.listStatus(folder)}
+
+
+def test_released_tables_are_gone_and_others_stay(spark):
+    before = tables(spark)
+    kept, gone = (storage.written(spark.range(n)) for n in (3, 4))
+    assert len(tables(spark) - before) == 2
+    storage.release(gone, spark.range(2))
+    assert len(tables(spark) - before) == 1 and kept.count() == 3
+
+
+def test_a_fit_leaves_two_tables_and_none_when_released(spark):
+    table = [("A", i % 7, f"w{i % 5}", 1 + i % 3) for i in range(35)]
+    counts = spark.createDataFrame(table, "Group_Name string, Message_ID_int long, word string, n long")
+    before = tables(spark)
+    model = fit_topics(counts, k=2, max_iter=3)
+    assert len(tables(spark) - before) == 2
+    release_topics(model)
+    assert tables(spark) == before
 
 
 def test_written_rows_come_back_without_their_lineage(spark):

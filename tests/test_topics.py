@@ -1,6 +1,5 @@
 import pytest
 from conftest import rows
-from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 
 from parlance.operators import (
@@ -10,21 +9,17 @@ from parlance.operators import (
     fit_topics,
     gamma,
     message_word_counts,
-    term_vectors,
-    tokens,
     topic_assignment,
     topic_group_check,
     topic_purity,
     topic_top_terms,
-    topics,
     vocabulary,
-    without_stop_words,
 )
 
 
 @pytest.fixture(scope="module")
 def counts(messages, stops):
-    return message_word_counts(without_stop_words(tokens(messages), stops)).cache()
+    return message_word_counts(messages, stops).cache()
 
 
 @pytest.fixture(scope="module")
@@ -44,15 +39,9 @@ def two_subjects(spark):
     return spark.createDataFrame(table, "Group_Name string, Message_ID_int long, word string, n long").cache()
 
 
-@pytest.fixture(scope="module", params=["in memory", "by joins"])
-def fitted(request, two_subjects):
-    patch = pytest.MonkeyPatch()
-    if request.param == "by joins":
-        patch.setattr(topics, "MODEL_BYTES", 0)
-    try:
-        return fit_topics(two_subjects, k=2, max_iter=30, alpha=1.0)
-    finally:
-        patch.undo()
+@pytest.fixture(scope="module")
+def fitted(two_subjects):
+    return fit_topics(two_subjects, k=2, max_iter=30, alpha=1.5)
 
 
 def test_message_word_counts(counts):
@@ -74,18 +63,6 @@ def test_document_term_matrix(counts, either_join):
     assert {r["Message_ID_int"] for r in cells.collect()} == {1, 2, 3, 4, 5}
 
 
-def test_vectors_unpack_to_the_counts(counts):
-    words = vocabulary(counts)
-    cells = counts.where("word IS NOT NULL").join(words, "word")
-    found = {}
-    for row in term_vectors(cells, words.count()).collect():
-        vector = row["features"]
-        assert isinstance(vector, SparseVector) and vector.size == 8
-        for at, n in zip(vector.indices, vector.values):
-            found[row["Message_ID_int"], int(at) + 1] = int(n)
-    assert found == {(r["Message_ID_int"], r["term_index"]): r["n"] for r in cells.collect()}
-
-
 def test_shares_sum_to_one(fitted, two_subjects):
     per_topic = beta(fitted).groupBy("topic").agg(F.count("*"), F.round(F.sum("beta"), 9))
     assert rows(per_topic) == [(1, 10, 1.0), (2, 10, 1.0)]
@@ -106,40 +83,53 @@ def test_two_subjects_are_told_apart(fitted):
     }
 
 
-def test_joins_give_the_same_with_split_keys(two_subjects, no_broadcast, monkeypatch):
-    split = fit_with_joins(two_subjects, monkeypatch)
-    monkeypatch.undo()
-    plain = fit_with_joins(two_subjects, monkeypatch)
-    for key, share in (("term", "beta"), ("Message_ID_int", "gamma")):
-        table = beta if share == "beta" else gamma
-        a = {(r[key], r["topic"]): r[share] for r in table(split).collect()}
-        b = {(r[key], r["topic"]): r[share] for r in table(plain).collect()}
-        assert a == pytest.approx(b, abs=1e-9)
+def shares(model):
+    """All numbers of a model, exactly."""
+    terms = {(r["term"], r["topic"]): r["beta"] for r in beta(model).collect()}
+    return terms, {(r["Message_ID_int"], r["topic"]): r["gamma"] for r in gamma(model).collect()}
 
 
-def fit_with_joins(counts, monkeypatch):
-    monkeypatch.setattr(topics, "MODEL_BYTES", 0)
-    return fit_topics(counts, k=3, max_iter=3)
+def test_split_keys_and_other_partitions_change_no_digit(two_subjects, no_broadcast, monkeypatch):
+    split = shares(fit_topics(two_subjects.repartition(7), k=3, max_iter=3))
+    monkeypatch.undo()
+    assert split == shares(fit_topics(two_subjects.coalesce(1), k=3, max_iter=3))
 
 
-def test_message_keys_survive_the_joins(spark, monkeypatch):
+def test_message_keys_survive_the_joins(spark):
     table = [("A", 7, "x", 2), (None, 8, "x", 1), ("", 9, "y", 1), ("a\u0000b", 10, "y", 3), (None, 11, None, 1)]
     counts = spark.createDataFrame(table, "Group_Name string, Message_ID_int long, word string, n long")
-    found = fit_with_joins(counts, monkeypatch).messages.select("Message_ID_int", "Group_Name").collect()
+    found = fit_topics(counts, k=3, max_iter=3).messages.select("Message_ID_int", "Group_Name").collect()
     assert {(r["Group_Name"], r["Message_ID_int"]) for r in found} == {("A", 7), (None, 8), ("", 9), ("a\u0000b", 10)}
 
 
+def test_settings_reach_the_fit(two_subjects):
+    base = shares(fit_topics(two_subjects, k=2, max_iter=2))
+    for settings in ({"alpha": 30.0}, {"eta": 2.0}, {"seed": 5}, {"max_iter": 3}):
+        assert shares(fit_topics(two_subjects, **{"k": 2, "max_iter": 2, **settings})) != base
+    for settings in ({"alpha": 1.0}, {"eta": 0.5}):
+        with pytest.raises(ValueError, match="must exceed 1"):
+            fit_topics(two_subjects, k=2, **settings)
+
+
+def test_a_tolerance_ends_the_fit(two_subjects):
+    # with so wide a tolerance the second round ends it
+    assert shares(fit_topics(two_subjects, k=2, max_iter=9, tolerance=1.0)) == shares(fit_topics(two_subjects, k=2, max_iter=2))
+    assert shares(fit_topics(two_subjects, k=2, max_iter=3, tolerance=0.0)) == shares(fit_topics(two_subjects, k=2, max_iter=3))
+
+
+def test_repeated_ids_fail(messages, stops):
+    with pytest.raises(ValueError, match="unique"):
+        message_word_counts(messages.unionByName(messages), stops)
+
+
 def test_no_words_no_topics(spark):
     empty = spark.createDataFrame([("A", 1, None, 1)], "Group_Name string, Message_ID_int long, word string, n long")
     with pytest.raises(ValueError, match="no message has a word"):
         fit_topics(empty)
 
 
-def test_same_seed_same_fit(two_subjects):
-    first, second = (fit_topics(two_subjects, k=3, max_iter=5) for _ in range(2))
-    a = {(r["term"], r["topic"]): r["beta"] for r in beta(first).collect()}
-    b = {(r["term"], r["topic"]): r["beta"] for r in beta(second).collect()}
-    assert a == pytest.approx(b, abs=1e-9)
+def test_same_settings_same_digits(two_subjects):
+    assert shares(fit_topics(two_subjects, k=3, max_iter=5)) == shares(fit_topics(two_subjects, k=3, max_iter=5))
 
 
 def test_top_terms_keep_ties_and_are_placed_per_topic(spark):

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from conftest import rows
 
@@ -6,12 +8,15 @@ from parlance.operators import (
     frequent_words,
     in_group,
     inner_lookup,
-    label_counts,
+    labelled,
     lexicon_use,
+    message_sentiment,
     net_sentiment,
+    score_sums,
     sentiment_counts,
     sentiment_top_terms,
     spread,
+    spread_sentiment,
     tokens,
     top_n,
     with_position,
@@ -86,10 +91,33 @@ def test_group_word_sentiment(clean, bing, either_join):
     assert rows(other) == [("envious", "negative", 1), ("envious", "positive", 1)]
 
 
-def test_a_word_listed_twice_counts_twice(spark, clean):
-    lexicon = spark.createDataFrame([("good", "positive")] * 2 + [("good", "joy")], "word string, sentiment string")
-    assert rows(label_counts(lexicon)) == [("good", 0, 2)]
-    assert rows(word_sentiment(clean, lexicon)) == [("good", "positive", 6)]
+def test_every_label_counts(spark, clean, either_join):
+    """Labels beyond the two polarities, a null label and a label listed twice."""
+    entries = [("good", "positive")] * 2 + [("good", "joy"), ("bad", None), (None, "joy")]
+    lexicon = spark.createDataFrame(entries, "word string, sentiment string")
+    assert rows(word_sentiment(clean, lexicon)) == [
+        (None, "joy", 1), ("bad", None, 1), ("good", "joy", 3), ("good", "positive", 6),
+    ]
+    assert rows(sentiment_counts(clean, lexicon)) == [
+        ("A", 1, None, 1), ("A", 1, "joy", 2), ("A", 1, "positive", 4), ("A", 2, "joy", 1), ("A", 2, "positive", 2),
+        ("B", 2, "joy", 1),
+    ]
+    assert labelled(clean, lexicon).columns == [*clean.columns, "sentiment"]
+
+
+def test_wide_tables_refuse_labels_they_have_no_column_for(spark, clean, bing):
+    for label in ("joy", None):
+        lexicon = bing.union(spark.createDataFrame([("good", label)], "word string, sentiment string"))
+        with pytest.raises(Exception, match="must be among"):
+            net_sentiment(clean, lexicon).collect()
+        with pytest.raises(Exception, match="must be among"):
+            spread_sentiment(sentiment_counts(clean, lexicon)).collect()
+
+
+def test_scores(spark, clean, bing, either_join):
+    assert rows(message_sentiment(clean, bing)) == [(2, 1, 2, 1), (3, 0, 1, 1), (5, 1, 1, 0)]
+    afinn = spark.createDataFrame([("good", 3), ("bad", -3), ("work", 1), ("work", 1)], "word string, value int")
+    assert rows(score_sums(clean, afinn)) == [("A", 1, 7, 5), ("A", 2, 3, 1), ("B", 1, 2, 1), ("B", 2, 2, 1)]
 
 
 def test_top_terms_keep_ties(spark):
@@ -103,16 +131,23 @@ def test_top_terms_keep_ties(spark):
     ]
 
 
-def test_top_n_matches_rank(spark):
-    data = [(i % 3, (i * 7919) % 23, i) for i in range(2000)]
+@pytest.mark.parametrize("n", [1, 40, 5000])
+def test_top_n_matches_rank(spark, n):
+    data = [(None if i % 3 == 2 else i % 3, (i * 7919) % 23, i) for i in range(2000)]
     df = spark.createDataFrame(data, "g int, w int, i int").repartition(5)
     expected = []
     for g, w, i in data:
         rank = 1 + sum(1 for h, v, _ in data if h == g and v > w)
-        if rank <= 40:
+        if rank <= n:
             expected.append((g, w, i, rank))
-    assert rows(top_n(df, "g", [0, 1, 2], "w", 40)) == sorted(expected)
-    assert {r["g"] for r in top_n(df, "g", [1], "w", 40).collect()} == {1}
+    assert rows(top_n(df, "g", "w", n)) == sorted(expected, key=lambda row: [(v is not None, v) for v in row])
+
+
+def test_top_n_ranks_parts_before_panels(spark):
+    df = spark.range(100).selectExpr("id % 2 AS g", "id AS w")
+    for n in (15, 5000):
+        plan = top_n(df, "g", "w", n)._jdf.queryExecution().optimizedPlan().toString()
+        assert re.search(r"row_number\(\) windowspecdefinition\(g#\d+L, _part#", plan)
 
 
 def test_positions_are_a_total_order(spark):
@@ -134,6 +169,14 @@ def test_lexicon_use(raw, bing, custom, either_join):
     ]
 
 
+def test_lexicon_use_counts_hot_words_before_they_meet(spark):
+    df = spark.range(20_000).selectExpr("id", "if(id % 10 = 0, concat('w', id), 'hot') AS word")
+    lexicon = spark.createDataFrame([("hot", "x"), ("w10", "x"), ("none", "x")], "word string, lexicon string")
+    used = lexicon_use(df, lexicon)
+    assert rows(used) == [("hot", "x", 18_000), ("none", "x", 0), ("w10", "x", 1)]
+    assert "partial_count" in used._jdf.queryExecution().executedPlan().toString()
+
+
 def test_inner_lookup_keeps_every_row_of_a_hot_word(spark, either_join):
     words = ["hot"] * 5000 + [f"w{i % 700}" for i in range(2500)] + [None] * 800
     df = spark.createDataFrame(list(enumerate(words)), "id long, word string").repartition(6)
