@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm.spans import SPAN, Rule, of_kind, spans_of
 from parlance.llm.tables import text_or_empty
-from parlance.storage import table_path
+from parlance.storage import table_path, written
 
 LEDGER = f"blob binary, rules array<string>, spans array<{SPAN}>"
 
@@ -74,7 +74,8 @@ def scan(
     ]
     scanned = texts.select("blob", F.col("todo").alias("rules"), F.concat(*found).alias("spans"))
     scanned.write.mode("append").parquet(ledger)
-    results = (
+    # written, so that the join has plain exchanges on both sides and a hot blob can be split
+    results = written(
         read_ledger(spark, ledger)
         .dropDuplicates(["blob", "rules"])
         .select("blob", _of_current(rules).alias("spans"))

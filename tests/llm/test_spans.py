@@ -28,7 +28,7 @@ def plain(text, rules):
     """Base spans by Python's own matching: (start, place, kind, end), offsets in code points."""
     out = []
     for place, (kind, pattern, group, keep) in enumerate(rules):
-        for match in re.finditer(pattern, text):
+        for match in re.finditer(pattern, text, re.ASCII):
             if keep(match.group(group)):
                 out.append((match.start(), place, kind, match.end()))
     return ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(out))
