@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.tables import WORD, text_or_empty
+from parlance.llm.tables import WORD, text_or_empty, whole_row
 from parlance.storage import release, written
 
 LEAST_SHARE = 0.01
@@ -48,8 +48,8 @@ def rake(tokens: np.ndarray, labels: Sequence[np.ndarray], targets: Sequence[np.
     """Weights with the shares ``targets[d]`` of the labels ``labels[d]``, starting from the token shares.
 
     ``labels[d]`` has each cell's label number in kind ``d``. Each round scales the cells to the
-    shares of one kind after another, until a round changes no weight by more than a billionth of
-    a thousandth of it.
+    shares of one kind after another, until a round changes no weight by more than ``CLOSE`` of the
+    largest.
     """
     weights = tokens / tokens.sum()
     for _ in range(ROUNDS):
@@ -112,12 +112,13 @@ def sampled(
     seed: int = SEED,
 ) -> DataFrame:
     """The rows of ``docs`` that :func:`mixed` keeps, all columns as they are; texts are not shuffled."""
-    kinds = ["_source", "_lang", "_topic"]
-    labels = [column.alias(f"_{name}") for column, name in zip(_labels(text, source, lang), ("source", "lang", "topic"), strict=True)]
+    kinds = ["source", "lang", "topic"]
+    labels = _labels(text, source, lang)
     tokens = F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long").alias("tokens")
     cells = docs.select(*labels, tokens).groupBy(*kinds).agg(F.sum("tokens").alias("tokens"))
     rate = _rate_of(cells, kinds, targets, exponent)
-    return rate(docs.select("*", *labels)).where(_draw(seed, key) < F.col("_rate")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = rate(docs.select(whole_row(docs), F.col(key).alias("key"), *labels))
+    return rows.where(_draw(seed, "key") < F.col("_rate")).select("row.*")
 
 
 def _labels(text: str, source: str, lang: str) -> list[Column]:

@@ -24,6 +24,11 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def whole_row(rows: DataFrame) -> Column:
+    """All columns as one, named ``row``, so that none can clash with what is put beside it."""
+    return F.struct(*[F.col(f"`{name}`") for name in rows.columns]).alias("row")
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts together stay below ``chars`` bytes, if one row does."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)

@@ -2,7 +2,7 @@ import pytest
 
 CLASHING = (
     "row level name keys body path blob found spans size shard slot print group node doc line place removed "
-    "lang_pred score _rate _cell n_words base_failed rule kept h1 h2 first block ids key tokens topic"
+    "lang_pred score _rate _cell _cell_rate gone lines left c0 c1 n_words base_failed rule kept h1 h2 first block ids key tokens topic"
 ).split()
 
 AWKWARD = [
