@@ -21,7 +21,7 @@ from parlance.llm.tables import WORD, text_or_empty, whole_row
 from parlance.storage import release, written
 
 LEAST_SHARE = 0.01
-EXPONENT = 0.7
+EXPONENT = 0.9
 SEED = 20
 ROUNDS = 1000
 CLOSE = 1e-12
