@@ -18,9 +18,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.links import close_pairs, forest, groups, linked
+from parlance.llm.links import close_pairs, forest, groups, linked, spread
 from parlance.llm.near_texts import majority
-from parlance.llm.tables import slices
+from parlance.llm.tables import slices, whole_row
 from parlance.storage import release, written
 
 LEAST_WORDS = 5
@@ -30,6 +30,7 @@ BLOCK_BITS = (13, 13, 13, 13, 12)
 AGREE = len(BLOCK_BITS) - MOST_BITS
 LAST_KEY = (1 << 63) - 1
 LINE_BITS = 31
+_LINE_FACTOR, _USE_FACTOR, _MIX_FACTOR = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 _SPACES = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 _PLAIN = bytes.maketrans(b"0123456789" + _SPACES, b"0" * 10 + b" " * len(_SPACES))
 
@@ -67,21 +68,50 @@ def _measured(keys: list[int], texts: list[str | None]) -> pa.RecordBatch:
             hashes.extend([xxhash.xxh64_intdigest(word) for word in words])
             counts.append(len(words))
     halves = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
-    prints = majority(np.array(hashes, dtype=np.uint64), np.array(counts, dtype=np.int64)).view(np.int64)
+    prints = fingerprints(np.array(hashes, dtype=np.uint64), np.array(counts, dtype=np.int64))
     columns = [pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(prints)]
     return pa.RecordBatch.from_arrays(columns, names=["doc", "line", "h1", "h2", "print"])
 
 
+def fingerprints(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """SimHash of each run of ``counts`` words' hashes.
+
+    Each further use of a word in a line is a feature of its own, so frequent words do not draw
+    the fingerprints of all lines towards theirs.
+    """
+    line = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
+    order = np.argsort(hashes ^ line * _LINE_FACTOR, kind="stable")
+    same = np.zeros(len(hashes), dtype=bool)
+    same[1:] = (hashes[order][1:] == hashes[order][:-1]) & (line[order][1:] == line[order][:-1])
+    places = np.arange(len(hashes))
+    use = np.empty(len(hashes), dtype=np.uint64)
+    use[order] = places - np.maximum.accumulate(np.where(same, 0, places))
+    features = (hashes + use * _USE_FACTOR) * _MIX_FACTOR
+    return majority(features ^ features >> np.uint64(32), counts).view(np.int64)
+
+
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST_KEY)).alias("doc"), F.col(text).alias("text"))
+    return docs.select(_key_or_last(key).alias("doc"), F.col(text).alias("text"))
+
+
+def _key_or_last(key: str) -> Column:
+    return F.coalesce(F.col(key).cast("long"), F.lit(LAST_KEY))
+
+
+_LINES = 1 << LINE_BITS
 
 
 def _place(doc: str, line: str) -> Column:
-    return (F.col(doc).cast("decimal(20,0)") * F.lit(1 << LINE_BITS).cast("decimal(10,0)") + F.col(line)).cast("decimal(38,0)")
+    """Key and line as one number, in their order."""
+    return (F.col(doc).cast("decimal(20,0)") * F.lit(_LINES).cast("decimal(10,0)") + F.col(line)).cast("decimal(38,0)")
+
+
+def _doc_of(place: str) -> Column:
+    return F.floor(F.col(place) / F.lit(_LINES).cast("decimal(10,0)")).cast("long")
 
 
-def _doc_of(place: Column) -> Column:
-    return F.floor(place / F.lit(1 << LINE_BITS).cast("decimal(10,0)")).cast("long")
+def _line_of(place: str) -> Column:
+    return (F.col(place) - _doc_of(place).cast("decimal(20,0)") * F.lit(_LINES).cast("decimal(10,0)")).cast("int")
 
 
 def index_lists(prints: DataFrame) -> DataFrame:
@@ -89,7 +119,7 @@ def index_lists(prints: DataFrame) -> DataFrame:
     starts = np.cumsum([0, *BLOCK_BITS])
     masks = [sum(((1 << BLOCK_BITS[at]) - 1) << int(starts[at]) for at in chosen) for chosen in combinations(range(len(BLOCK_BITS)), AGREE)]
     signed = [mask - (1 << 64) if mask >> 63 else mask for mask in masks]
-    chosen = prints.select("print", F.explode(F.array(*[F.lit(mask).cast("long") for mask in signed])).alias("mask"))
+    chosen = spread(prints, "print").select("print", F.explode(F.array(*[F.lit(mask).cast("long") for mask in signed])).alias("mask"))
     return chosen.select(F.xxhash64("mask", F.col("mask").bitwiseAND(F.col("print"))).alias("block"), "print")
 
 
@@ -174,56 +204,63 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     are taken for one document, lines at the same place in them tie and all stay.
     """
     lines = written(lines_of(docs, key, text))
-    different = written(lines.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("print").alias("print"), F.count("*").alias("n")))
-    links = linked(index_lists(different.select("print").distinct()), "print", _near_prints)
-    prints = groups(links)
-    near = different.join(prints, F.col("print") == F.col("node"), "left").select("h1", "h2", "first", "print", F.coalesce("group", "print").alias("group"))
-    shared = near.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("group")
-    members = written(near.join(shared, "group").select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "first", "print", "group"))
-    release(links, prints)
-    alike_links = linked(_texts_of(members, docs, key, text), "id", _alike_lines)
-    classes = groups(alike_links)
+    different = written(
+        lines.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("print").alias("print"), F.count("*").alias("n"))
+    )
+    members = _candidates(different)
+    links = linked(_texts_of(members, docs, key, text), "id", _alike_lines)
+    classes = groups(links)
     named = classes.withColumnRenamed("group", "class")
-    of_class = members.join(named, F.col("id") == F.col("node"), "left").select("h1", "h2", "first", F.coalesce("class", "id").alias("class"))
+    of_class = members.join(named, F.col("id") == F.col("node"), "left").select(
+        "h1", "h2", "first", F.coalesce("class", "id").alias("class")
+    )
     least = of_class.groupBy("class").agg(F.min("first").alias("kept"))
     moved = of_class.join(least, "class").select("h1", "h2", "kept")
-    keepers = written(different.join(moved, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("kept", "first").alias("kept"), "n", "first").where((F.col("n") > 1) | (F.col("kept") != F.col("first"))).select("h1", "h2", "kept"))
+    placed = different.join(moved, ["h1", "h2"], "left").withColumn("kept", F.coalesce("kept", "first"))
+    # written, so that the join below has plain exchanges on both sides and a hot line can be split
+    keepers = written(placed.where((F.col("n") > 1) | (F.col("kept") != F.col("first"))).select("h1", "h2", "kept"))
     gone = lines.join(keepers, ["h1", "h2"]).where(F.col("place") != F.col("kept"))
-    line = (F.col("place") - _doc_of(F.col("place")).cast("decimal(20,0)") * F.lit(1 << LINE_BITS).cast("decimal(10,0)")).cast("int")
-    first = _doc_of(F.col("kept"))
-    first_line = (F.col("kept") - first.cast("decimal(20,0)") * F.lit(1 << LINE_BITS).cast("decimal(10,0)")).cast("int")
-    entry = F.struct(line.alias("line"), first.alias("first_doc"), first_line.alias("first_line"))
-    found = gone.select(_doc_of(F.col("place")).alias("doc"), entry.alias("entry")).groupBy("doc").agg(F.array_sort(F.collect_set("entry")).alias("removed"))
-    result = written(found)
-    release(different, members, alike_links, classes, keepers, lines)
-    return result
+    entry = F.struct(_line_of("place").alias("line"), _doc_of("kept").alias("first_doc"), _line_of("kept").alias("first_line"))
+    by_doc = gone.select(_doc_of("place").alias("doc"), entry.alias("entry")).groupBy("doc")
+    found = written(by_doc.agg(F.array_sort(F.collect_set("entry")).alias("removed")))
+    release(lines, different, members, links, classes, keepers)
+    return found
+
+
+def _candidates(different: DataFrame) -> DataFrame:
+    """Different lines that another one may be like, numbered, with the group of their fingerprint."""
+    links = linked(index_lists(different.select("print").distinct()), "print", _near_prints)
+    prints = groups(links)
+    near = different.join(prints, F.col("print") == F.col("node"), "left").select(
+        "h1", "h2", "first", "print", F.coalesce("group", "print").alias("group")
+    )
+    shared = near.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("group")
+    found = written(near.join(shared, "group").withColumn("id", F.monotonically_increasing_id()))
+    release(links, prints)
+    return found
 
 
 def _texts_of(members: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """The normalised texts of the members, from the documents where they stand first; ``block`` is the group."""
-    wanted = members.select(
-        _doc_of(F.col("first")).alias("doc"),
-        F.struct(
-            (F.col("first") - _doc_of(F.col("first")).cast("decimal(20,0)") * F.lit(1 << LINE_BITS).cast("decimal(10,0)")).cast("int").alias("line"),
-            "id", "group", "print", "h1", "h2",
-        ).alias("member"),
-    )
+    member = F.struct(_line_of("first").alias("line"), "id", F.col("group").alias("block"), "print", "h1", "h2")
+    wanted = members.select(_doc_of("first").alias("doc"), member.alias("member"))
+    types = {"block": pa.int64(), "id": pa.int64(), "print": pa.int64(), "words": pa.binary()}
     per_doc = wanted.groupBy("doc").agg(F.collect_list("member").alias("members"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                out: dict[str, list] = {"block": [], "id": [], "print": [], "words": []}
+                out: dict[str, list] = {name: [] for name in types}
                 for body, some in zip(part.column("text").to_pylist(), part.column("members").to_pylist(), strict=True):
-                    found = normalised(body or "")
+                    lines = (body or "").split("\n")
                     for member in some:
-                        words = b" ".join(found[member["line"]]) if member["line"] < len(found) else b""
+                        words = b" ".join(normalised(lines[member["line"]])[0]) if member["line"] < len(lines) else b""
                         # another row with this key may have another text
                         if xxhash.xxh3_128_digest(words) == np.array([member["h1"], member["h2"]]).tobytes():
-                            for name, value in (("block", member["group"]), ("id", member["id"]), ("print", member["print"]), ("words", words)):
-                                out[name].append(value)
-                types = {"words": pa.binary()}
-                yield pa.RecordBatch.from_pydict({name: pa.array(values, types.get(name, pa.int64())) for name, values in out.items()})
+                            for name in ("block", "id", "print"):
+                                out[name].append(member[name])
+                            out["words"].append(words)
+                yield pa.RecordBatch.from_arrays([pa.array(out[name], kind) for name, kind in types.items()], names=list(types))
 
     found = _keyed(docs, key, text).join(per_doc, "doc").select("text", "members")
     return found.mapInArrow(read, "block long, id long, print long, words binary")
@@ -234,18 +271,16 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     All other columns stay as they are.
     """
-    removed = repeated_lines(docs, key, text).select(F.col("doc").alias("_doc"), F.transform("removed", lambda r: r["line"]).alias("_removed"))
-    joined = docs.join(removed, F.coalesce(F.col(key).cast("long"), F.lit(LAST_KEY)) == F.col("_doc"), "left")
-    lines = F.split(F.col(text), "\n", -1)
-    numbers = F.array_except(F.sequence(F.lit(0), F.size("_lines") - F.lit(1)), F.col("_removed"))
-    left = F.array_join(F.transform(numbers, lambda i: F.get(F.col("_lines"), i)), "\n")
-    columns = [F.when(F.col("_removed").isNull(), F.col(text)).otherwise(F.col("_left")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return (
-        joined.withColumn("_lines", lines)
-        .withColumn("_left", left)
-        .where(F.col("_removed").isNull() | F.col("_left").rlike(r"[^\x20\x09-\x0D]"))
-        .select(*columns)
+    removed = repeated_lines(docs, key, text).select("doc", F.transform("removed", lambda r: r["line"]).alias("gone"))
+    rows = docs.select(whole_row(docs), _key_or_last(key).alias("doc")).join(removed, "doc", "left")
+    numbers = F.array_except(F.sequence(F.lit(0), F.size("lines") - F.lit(1)), F.col("gone"))
+    left = F.array_join(F.transform(numbers, lambda i: F.get(F.col("lines"), i)), "\n")
+    texts = (
+        rows.withColumn("lines", F.split(F.col("row").getField(text), "\n", -1))
+        .withColumn("left", F.when(F.col("gone").isNull(), F.col("row").getField(text)).otherwise(left))
+        .where(F.col("gone").isNull() | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
     )
+    return texts.select(*[F.col("left").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -256,7 +291,7 @@ def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     removed = repeated_lines(docs, key, text)
     sizes = docs.select(
         F.col(key).alias(key),
-        F.coalesce(F.col(key).cast("long"), F.lit(LAST_KEY)).alias("doc"),
+        _key_or_last(key).alias("doc"),
         F.coalesce(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + F.lit(1), F.lit(0)).cast("long").alias("n_lines"),
     )
     nothing = F.array().cast(removed.schema["removed"].dataType)

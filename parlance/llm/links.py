@@ -17,6 +17,12 @@ from parlance.storage import release, written
 
 # Members of a list of candidates that are compared with each other in one block; longer lists make several blocks.
 CHUNK = 512
+LINKS_PER_TASK = 500_000
+
+
+def spread(prints: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over all shuffle partitions: few bytes now, many rows once each is put into its lists."""
+    return prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 Link = Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]
@@ -143,11 +149,11 @@ def groups(links: DataFrame) -> DataFrame:
     until nothing changes; no step gathers the links of a node, which are only compared with
     their least.
     """
-    edges = written(_pairs(links.select("a", "b")).distinct())
+    edges = written(_in_tasks(_pairs(links.select("a", "b")).distinct(), links.count()))
     mark = _mark(edges)
     while True:
-        large = written(_large_star(edges).distinct())
-        small = written(_small_star(large).distinct())
+        large = written(_in_tasks(_large_star(edges).distinct(), mark[0]))
+        small = written(_in_tasks(_small_star(large).distinct(), mark[0]))
         release(edges, large)
         edges, before = small, mark
         mark = _mark(edges)
@@ -157,6 +163,12 @@ def groups(links: DataFrame) -> DataFrame:
             return found
 
 
+def _in_tasks(edges: DataFrame, count: int) -> DataFrame:
+    """As many tasks as the number of links asks for: there are far fewer links than the shuffles are set up for."""
+    least = edges.sparkSession.sparkContext.defaultParallelism
+    return edges.coalesce(max(least, count // LINKS_PER_TASK))
+
+
 def _pairs(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 

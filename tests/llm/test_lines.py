@@ -21,7 +21,11 @@ def words_of(line):
 
 
 def fingerprint(words):
-    hashes = [xxhash.xxh64_intdigest(w) for w in words]
+    hashes = []
+    for at, word in enumerate(words):
+        value = xxhash.xxh64_intdigest(word) + words[:at].count(word) * 0xD6E8FEB86659FD93
+        value = value * 0xA0761D6478BD642F % 2**64
+        hashes.append(value ^ value >> 32)
     return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
 
 
