@@ -43,7 +43,8 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", block
     ids = _identities(rows, names)
     named = written(rows.select("row", key, "text_sha256").join(ids, "row"))
     release(rows, names, ids)
-    groups = named.groupBy("level", "name").agg(F.min(key).alias("keep_id"), F.count("*").alias("group_size"))
+    # written, so that the join has plain exchanges on both sides and a hot name can be split
+    groups = written(named.groupBy("level", "name").agg(F.min(key).alias("keep_id"), F.count("*").alias("group_size")))
     return named.join(groups, ["level", "name"]).select(
         key, "keep_id", "group_size", F.col(key).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
