@@ -77,8 +77,8 @@ def test_secrets_by_plain_matching(spark):
     found = digest(scanned(of_texts(spark, SECRET_TEXTS)), secrets.RULES)
     for key, text in enumerate(SECRET_TEXTS):
         assert found[key].base_sha256 == hashlib.sha256(plain(text, SECRETS).encode()).hexdigest(), text[:80]
-    assert found[3].spans == "assign:3:17,access:18:38" and (found[3].n_assign, found[3].n_access, found[3].n_hex) == (1, 1, 0)
-    assert found[12].spans == "code_host:0:44,chat:45:64"
+    assert found[3].spans == "assign:3:19,access:20:40" and (found[3].n_assign, found[3].n_access, found[3].n_hex) == (1, 1, 0)
+    assert found[12].spans == "code_host:0:44,hex:4:44,chat:45:64"
     assert found[13].spans.startswith("pem:0:31,web_token:32:")
 
 
