@@ -204,16 +204,11 @@ def dtm(spark, sf_dir):
 _models: dict[tuple, op.TopicModel] = {}
 
 
-def fit_model(spark, sf_dir, **settings):
-    """A fit of its own, for the caller to release."""
-    return op.fit_topics(message_word_counts(spark, sf_dir), **settings)
-
-
-def _model(spark, sf_dir, **settings):
+def fitted_model(spark, sf_dir, **settings):
     """One fit per application, state of the data and settings, shared by the topic queries."""
     key = (spark.sparkContext.applicationId, inputs.state(spark, sf_dir), *sorted(settings.items()))
     if key not in _models:
-        _models[key] = fit_model(spark, sf_dir, **settings)
+        _models[key] = op.fit_topics(message_word_counts(spark, sf_dir), **settings)
     return _models[key]
 
 
@@ -229,23 +224,23 @@ def _rounded(rows, name):
 
 @query
 def topic_beta(spark, sf_dir):
-    return _rounded(op.beta(_model(spark, sf_dir)), "beta")
+    return _rounded(op.beta(fitted_model(spark, sf_dir)), "beta")
 
 
 @query
 def topic_gamma(spark, sf_dir):
-    return _rounded(op.gamma(_model(spark, sf_dir)), "gamma")
+    return _rounded(op.gamma(fitted_model(spark, sf_dir)), "gamma")
 
 
 @query
 def topic_beta_sums(spark, sf_dir):
-    sums = op.beta(_model(spark, sf_dir)).groupBy("topic")
+    sums = op.beta(fitted_model(spark, sf_dir)).groupBy("topic")
     return sums.agg(F.count("*").alias("terms"), F.round(F.sum("beta"), 6).alias("beta_sum"))
 
 
 @query
 def topic_gamma_sums(spark, sf_dir):
-    sums = op.gamma(_model(spark, sf_dir)).groupBy("Message_ID_int")
+    sums = op.gamma(fitted_model(spark, sf_dir)).groupBy("Message_ID_int")
     return sums.agg(F.count("*").alias("topics"), F.round(F.sum("gamma"), 6).alias("gamma_sum"))
 
 
@@ -256,17 +251,17 @@ QUERIES["topic_gamma_sums_by_joins"] = topic_gamma_sums
 
 @query
 def topic_top_terms(spark, sf_dir):
-    return _rounded(op.topic_top_terms(_model(spark, sf_dir)), "beta")
+    return _rounded(op.topic_top_terms(fitted_model(spark, sf_dir)), "beta")
 
 
 @query
 def topic_assignment(spark, sf_dir):
-    return _rounded(op.topic_assignment(_model(spark, sf_dir)), "gamma")
+    return _rounded(op.topic_assignment(fitted_model(spark, sf_dir)), "gamma")
 
 
 @query
 def topic_group_check(spark, sf_dir):
-    return op.topic_group_check(_model(spark, sf_dir))
+    return op.topic_group_check(fitted_model(spark, sf_dir))
 
 
 @query
