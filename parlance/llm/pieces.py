@@ -32,8 +32,11 @@ UNKNOWN_PENALTY = 10.0
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 CELLS = 2_000_000
 LONG = 200
-WORDS_KEPT = 300_000
-PAIRS_KEPT = 1 << 20
+WORDS_KEPT = 600_000
+PAIR_BITS = 21
+LIKELY_BITS = 20
+SLICE_CHARS = 3_000_000
+_LIKELY_SHIFT = np.uint64(64 - LIKELY_BITS)
 _WORDS = re.compile(" *[^ ]+| +")
 
 
@@ -54,6 +57,8 @@ class Pieces:
         hashes = np.array([substring_hash(p) if p is not None else 0 for p in self.pieces], dtype=np.uint64)
         order = np.argsort(hashes[ids])
         self.keys, self.key_ids = hashes[ids][order], np.array(ids, dtype=np.int64)[order]
+        self.likely = np.zeros(1 << LIKELY_BITS, dtype=bool)
+        self.likely[self.keys >> _LIKELY_SHIFT] = True
         if len(np.unique(self.keys)) != len(self.keys):
             raise ValueError("two pieces share a hash")
         if any(re.search("[^ ] ", piece) for piece in self.ids_of):
@@ -90,16 +95,20 @@ class Pieces:
                     self.sizes[side, i, at] = len(part)
                     if at:
                         self.ended[side, i, at - 1] = self.scores[known]
-        self.pair_keys = np.full(PAIRS_KEPT, -1, dtype=np.int64)
-        self.pair_kept = np.zeros(PAIRS_KEPT, dtype=bool)
+        self.pair_keys = np.full(1 << PAIR_BITS, -1, dtype=np.int64)
+        self.pair_kept = np.zeros(1 << PAIR_BITS, dtype=bool)
 
     def probe(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each hash is that of a piece, and the piece's id (any id where not)."""
-        if not len(self.keys):
-            return np.zeros(len(hashes), dtype=bool), np.zeros(len(hashes), dtype=np.int64)
-        at = np.searchsorted(self.keys, hashes)
+        """The places of the hashes that are a piece's, and the ids of those pieces.
+
+        The first bits of a hash rule out most of what is no piece before the sorted keys are searched.
+        """
+        places = np.flatnonzero(self.likely[hashes >> _LIKELY_SHIFT])
+        some = hashes[places]
+        at = np.searchsorted(self.keys, some)
         at[at == len(self.keys)] = 0
-        return self.keys[at] == hashes, self.key_ids[at]
+        same = self.keys[at] == some if len(self.keys) else np.zeros(0, dtype=bool)
+        return places[same], self.key_ids[at[same]]
 
     def bytes_of(self, ids: np.ndarray) -> bytes:
         starts = self.bytes_at[ids]
@@ -115,7 +124,7 @@ class Pieces:
         Answers are kept by pair, the newer one where two pairs share a place.
         """
         pairs = left * np.int64(len(self.pieces)) + right
-        slot = (pairs.astype(np.uint64) * FACTOR >> np.uint64(64 - 20)).astype(np.int64)
+        slot = (pairs.astype(np.uint64) * FACTOR >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
         answer = self.pair_kept[slot]
         new = np.flatnonzero(self.pair_keys[slot] != pairs)
         if len(new):
@@ -139,11 +148,11 @@ class Pieces:
         i, j = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
         while len(rows):
             joined = self.edges[1, a, i] * self.powers[self.sizes[0, b, j]] + self.edges[0, b, j]
-            hit, ids = self.probe(joined)
-            hit &= self.sizes[1, a, i] + self.sizes[0, b, j] <= self.longest
-            due = np.where(hit, self.scores[ids], -np.inf)
+            hits, ids = self.probe(joined)
+            due = np.full(len(rows), -np.inf)
+            due[hits] = self.scores[ids]
             ends_left, ends_right = self.ended[1, a, i], self.ended[0, b, j]
-            falls = hit & (due > ends_left) & (due >= ends_right)
+            falls = (due > ends_left) & (due >= ends_right) & (due > -np.inf)
             answer[rows[falls]] = False
             on_left = ends_left >= ends_right
             going = ~falls & ((ends_left > -np.inf) | (ends_right > -np.inf))
@@ -255,13 +264,14 @@ def _advance(words: list[str], length: int, model: Pieces) -> tuple[np.ndarray,
         hashes[end] = hashes[end - 1] * FACTOR + codes[end - 1] + np.uint64(1)
         for size in range(min(end, model.longest), 0, -1):
             begin = end - size
-            hit, ids = model.probe(hashes[end] - hashes[begin] * model.powers[size])
+            rows, ids = model.probe(hashes[end] - hashes[begin] * model.powers[size])
             if size == 1:
-                single = hit
-            rows = np.flatnonzero(hit & (best[begin] > -np.inf))
+                single = np.zeros(n, dtype=bool)
+                single[rows] = True
+            reached = best[begin, rows] > -np.inf
+            rows, ids = rows[reached], ids[reached]
             if not len(rows):
                 continue
-            ids = ids[rows]
             score = best[begin, rows] + model.scores[ids]
             if model.kind == MERGES:
                 score[~model.stable(last[begin, rows], ids)] = -np.inf
@@ -292,9 +302,8 @@ def _walk(words: list[str], length: int, model: Pieces) -> tuple[np.ndarray, np.
         hits: list[list[tuple[int, int]]] = [[] for _ in range(length + 1)]
         for size in range(1, min(length, model.longest) + 1):
             window = window[: length - size + 1] * FACTOR + codes[size - 1 :] + np.uint64(1)
-            hit, found = model.probe(window)
-            for begin in np.flatnonzero(hit).tolist():
-                hits[begin + size].append((begin, int(found[begin])))
+            for begin, i in zip(*(x.tolist() for x in model.probe(window)), strict=True):
+                hits[begin + size].append((begin, i))
         best, back, last = [0.0], [0], [-1]
         for end in range(1, length + 1):
             top = (-np.inf, 0, -1)
@@ -360,6 +369,14 @@ def _merges(text: str, model: Pieces) -> list[list[str]]:
 # --- texts ---------------------------------------------------------------------------------------
 
 
+class _Numbers(dict):
+    """A number for each key, given when the key is first looked up."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class Encoder:
     """Encodes texts and remembers the words it has met, up to ``WORDS_KEPT`` of them."""
 
@@ -368,7 +385,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.numbers: dict[str, int] = {}
+        self.numbers = _Numbers()
         self.ids, self.at = np.empty(0, np.int32), np.zeros(1, np.int64)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -378,7 +395,7 @@ class Encoder:
         numbers, places, known = self.numbers, [], len(self.numbers)
         for text in texts:
             words = _WORDS.findall(f" {text}" if self.model.prefix and text else text)
-            places.append(np.array([numbers.setdefault(w, len(numbers)) for w in words], dtype=np.int64))
+            places.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words)))
         ids, at = encode_words(list(islice(numbers, known, None)), self.model)
         self.at = np.concatenate([self.at, self.at[-1] + at[1:]])
         self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
@@ -424,7 +441,7 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
         model = pieces.value
         encoder = Encoder(model)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_CHARS):
                 texts = part.column("text").to_pylist()
                 ids, offsets = encoder([t or "" for t in texts])
                 back = decode_texts(ids, offsets, model)
