@@ -29,7 +29,6 @@ LEAST_SIMILARITY = 0.8
 BLOCK_BITS = (13, 13, 13, 13, 12)
 AGREE = len(BLOCK_BITS) - MOST_BITS
 LAST_KEY = (1 << 63) - 1
-LINE_BITS = 31
 _LINE_FACTOR, _USE_FACTOR, _MIX_FACTOR = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 _SPACES = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 _PLAIN = bytes.maketrans(b"0123456789" + _SPACES, b"0" * 10 + b" " * len(_SPACES))
@@ -40,37 +39,48 @@ def normalised(text: str) -> list[list[bytes]]:
     return [line.split() for line in text.lower().encode().translate(_PLAIN).split(b"\n")]
 
 
-def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(place, h1, h2, print) of each line of ``LEAST_WORDS`` words or more.
+def numbered(docs: DataFrame, key: str, text: str, whole: bool = False) -> DataFrame:
+    """(number, doc, text) of each row, written once: ``number`` is the row's own, ``doc`` the key, or the largest long if that is null.
 
-    ``place`` orders lines by key (null last) and number; h1 and h2 are the halves of a 128-bit
-    hash of the normalised line.
+    With ``whole`` there is the column ``row`` of all columns instead of the text.
+    """
+    number = F.monotonically_increasing_id().alias("number")
+    return written(docs.select(number, _key_or_last(key).alias("doc"), whole_row(docs) if whole else F.col(text).alias("text")))
+
+
+def lines_of(rows: DataFrame) -> DataFrame:
+    """(place, h1, h2, print) of each line of ``LEAST_WORDS`` words or more of :func:`numbered` rows.
+
+    ``place`` orders lines by key (null last), row and line number; h1 and h2 are the halves of a
+    128-bit hash of the normalised line.
     """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield _measured(part.column("doc").to_pylist(), part.column("text").to_pylist())
+                yield _measured(*(part.column(name).to_pylist() for name in ("doc", "number", "text")))
 
-    found = _keyed(docs, key, text).mapInArrow(measure, "doc long, line int, h1 long, h2 long, print long")
-    return found.select(_place("doc", "line").alias("place"), "h1", "h2", "print")
+    found = rows.select("doc", "number", "text").mapInArrow(measure, "doc long, number long, line int, h1 long, h2 long, print long")
+    return found.select(F.struct("doc", "number", "line").alias("place"), "h1", "h2", "print")
 
 
-def _measured(keys: list[int], texts: list[str | None]) -> pa.RecordBatch:
-    docs, numbers, digests, hashes, counts = [], [], [], [], []
-    for key, text in zip(keys, texts, strict=True):
+def _measured(keys: list[int], rows: list[int], texts: list[str | None]) -> pa.RecordBatch:
+    docs, owners, numbers, digests, hashes, counts = [], [], [], [], [], []
+    for key, row, text in zip(keys, rows, texts, strict=True):
         for number, words in enumerate(normalised(text or "")):
             if len(words) < LEAST_WORDS:
                 continue
             docs.append(key)
+            owners.append(row)
             numbers.append(number)
             digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
             hashes.extend([xxhash.xxh64_intdigest(word) for word in words])
             counts.append(len(words))
     halves = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
     prints = fingerprints(np.array(hashes, dtype=np.uint64), np.array(counts, dtype=np.int64))
-    columns = [pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(prints)]
-    return pa.RecordBatch.from_arrays(columns, names=["doc", "line", "h1", "h2", "print"])
+    places = [pa.array(docs, pa.int64()), pa.array(owners, pa.int64()), pa.array(numbers, pa.int32())]
+    columns = [*places, pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(prints)]
+    return pa.RecordBatch.from_arrays(columns, names=["doc", "number", "line", "h1", "h2", "print"])
 
 
 def fingerprints(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -90,30 +100,10 @@ def fingerprints(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return majority(features ^ features >> np.uint64(32), counts).view(np.int64)
 
 
-def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(_key_or_last(key).alias("doc"), F.col(text).alias("text"))
-
-
 def _key_or_last(key: str) -> Column:
     return F.coalesce(F.col(key).cast("long"), F.lit(LAST_KEY))
 
 
-_LINES = 1 << LINE_BITS
-
-
-def _place(doc: str, line: str) -> Column:
-    """Key and line as one number, in their order."""
-    return (F.col(doc).cast("decimal(20,0)") * F.lit(_LINES).cast("decimal(10,0)") + F.col(line)).cast("decimal(38,0)")
-
-
-def _doc_of(place: str) -> Column:
-    return F.floor(F.col(place) / F.lit(_LINES).cast("decimal(10,0)")).cast("long")
-
-
-def _line_of(place: str) -> Column:
-    return (F.col(place) - _doc_of(place).cast("decimal(20,0)") * F.lit(_LINES).cast("decimal(10,0)")).cast("int")
-
-
 def index_lists(prints: DataFrame) -> DataFrame:
     """``block`` (names two blocks of bits and their values) and print, for each choice of blocks."""
     starts = np.cumsum([0, *BLOCK_BITS])
@@ -196,19 +186,27 @@ def distance(a: str, b: str) -> int:
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, removed): for each document with lines that go, an array of (line, first_doc, first_line), by line.
+    """(number, doc, removed): for each row with lines that go, an array of (line, first_doc, first_line), by line.
 
-    ``line`` counts from 0; ``first_doc`` and ``first_line`` tell the occurrence that stays. ``doc`` is
-    the key, or the largest long if that is null. Lines of fewer than five words always stay.
-    The first occurrence is that of the smallest key (null last) and line; rows that share a key
-    are taken for one document, lines at the same place in them tie and all stay.
+    ``line`` counts from 0; ``first_doc`` and ``first_line`` tell the occurrence that stays. ``number``
+    is the row's own; ``doc`` is the key, or the largest long if that is null. Lines of fewer than five
+    words always stay. The first occurrence is that of the smallest key (null last), row and line;
+    rows that share a key, or have none, each keep and lose lines of their own.
     """
-    lines = written(lines_of(docs, key, text))
+    rows = numbered(docs, key, text)
+    found = _removed(rows)
+    release(rows)
+    return found
+
+
+def _removed(rows: DataFrame) -> DataFrame:
+    """The lines that go of :func:`numbered` rows, see :func:`repeated_lines`."""
+    lines = written(lines_of(rows))
     different = written(
         lines.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("print").alias("print"), F.count("*").alias("n"))
     )
     members = _candidates(different)
-    links = linked(_texts_of(members, docs, key, text), "id", _alike_lines)
+    links = linked(_texts_of(members, rows), "id", _alike_lines)
     classes = groups(links)
     named = classes.withColumnRenamed("group", "class")
     of_class = members.join(named, F.col("id") == F.col("node"), "left").select(
@@ -220,9 +218,9 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # written, so that the join below has plain exchanges on both sides and a hot line can be split
     keepers = written(placed.where((F.col("n") > 1) | (F.col("kept") != F.col("first"))).select("h1", "h2", "kept"))
     gone = lines.join(keepers, ["h1", "h2"]).where(F.col("place") != F.col("kept"))
-    entry = F.struct(_line_of("place").alias("line"), _doc_of("kept").alias("first_doc"), _line_of("kept").alias("first_line"))
-    by_doc = gone.select(_doc_of("place").alias("doc"), entry.alias("entry")).groupBy("doc")
-    found = written(by_doc.agg(F.array_sort(F.collect_set("entry")).alias("removed")))
+    entry = F.struct(F.col("place.line").alias("line"), F.col("kept.doc").alias("first_doc"), F.col("kept.line").alias("first_line"))
+    by_row = gone.select("place.number", "place.doc", entry.alias("entry")).groupBy("number")
+    found = written(by_row.agg(F.first("doc").alias("doc"), F.array_sort(F.collect_set("entry")).alias("removed")))
     release(lines, different, members, links, classes, keepers)
     return found
 
@@ -240,12 +238,12 @@ def _candidates(different: DataFrame) -> DataFrame:
     return found
 
 
-def _texts_of(members: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The normalised texts of the members, from the documents where they stand first; ``block`` is the group."""
-    member = F.struct(_line_of("first").alias("line"), "id", F.col("group").alias("block"), "print", "h1", "h2")
-    wanted = members.select(_doc_of("first").alias("doc"), member.alias("member"))
+def _texts_of(members: DataFrame, rows: DataFrame) -> DataFrame:
+    """The normalised texts of the members, from the rows where they stand first; ``block`` is the group."""
+    member = F.struct(F.col("first.line").alias("line"), "id", F.col("group").alias("block"), "print")
+    wanted = members.select("first.number", member.alias("member"))
     types = {"block": pa.int64(), "id": pa.int64(), "print": pa.int64(), "words": pa.binary()}
-    per_doc = wanted.groupBy("doc").agg(F.collect_list("member").alias("members"))
+    per_row = wanted.groupBy("number").agg(F.collect_list("member").alias("members"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,15 +252,12 @@ def _texts_of(members: DataFrame, docs: DataFrame, key: str, text: str) -> DataF
                 for body, some in zip(part.column("text").to_pylist(), part.column("members").to_pylist(), strict=True):
                     lines = (body or "").split("\n")
                     for member in some:
-                        words = b" ".join(normalised(lines[member["line"]])[0]) if member["line"] < len(lines) else b""
-                        # another row with this key may have another text
-                        if xxhash.xxh3_128_digest(words) == np.array([member["h1"], member["h2"]]).tobytes():
-                            for name in ("block", "id", "print"):
-                                out[name].append(member[name])
-                            out["words"].append(words)
+                        for name in ("block", "id", "print"):
+                            out[name].append(member[name])
+                        out["words"].append(b" ".join(normalised(lines[member["line"]])[0]))
                 yield pa.RecordBatch.from_arrays([pa.array(out[name], kind) for name, kind in types.items()], names=list(types))
 
-    found = _keyed(docs, key, text).join(per_doc, "doc").select("text", "members")
+    found = rows.join(per_row, "number").select("text", "members")
     return found.mapInArrow(read, "block long, id long, print long, words binary")
 
 
@@ -271,8 +266,9 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     All other columns stay as they are.
     """
-    removed = repeated_lines(docs, key, text).select("doc", F.transform("removed", lambda r: r["line"]).alias("gone"))
-    rows = docs.select(whole_row(docs), _key_or_last(key).alias("doc")).join(removed, "doc", "left")
+    own = numbered(docs, key, text, whole=True)
+    found = _removed(own.select("number", "doc", F.col("row").getField(text).alias("text")))
+    rows = own.join(found.select("number", F.transform("removed", lambda r: r["line"]).alias("gone")), "number", "left")
     numbers = F.array_except(F.sequence(F.lit(0), F.size("lines") - F.lit(1)), F.col("gone"))
     left = F.array_join(F.transform(numbers, lambda i: F.get(F.col("lines"), i)), "\n")
     texts = (
@@ -288,12 +284,14 @@ def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     A null text has no lines; an empty one has one. See :func:`repeated_lines` for keys.
     """
-    removed = repeated_lines(docs, key, text)
-    sizes = docs.select(
-        F.col(key).alias(key),
-        _key_or_last(key).alias("doc"),
-        F.coalesce(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + F.lit(1), F.lit(0)).cast("long").alias("n_lines"),
-    )
+    rows = numbered(docs.select(F.col(key), F.col(text)), key, text, whole=True)
+    body = F.col("row").getField(text)
+    removed = _removed(rows.select("number", "doc", body.alias("text")))
+    n_lines = F.coalesce(F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + F.lit(1), F.lit(0)).cast("long")
+    # without the texts, so that these can go
+    sizes = written(rows.select("number", F.col("row").getField(key).alias(key), n_lines.alias("n_lines")))
+    release(rows)
     nothing = F.array().cast(removed.schema["removed"].dataType)
     found = F.coalesce("removed", nothing)
-    return sizes.join(removed, "doc", "left").select(key, "n_lines", F.size(found).cast("long").alias("n_removed"), found.alias("removed"))
+    report = sizes.join(removed.drop("doc"), "number", "left")
+    return report.select(key, "n_lines", F.size(found).cast("long").alias("n_removed"), found.alias("removed"))
