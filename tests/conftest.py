@@ -5,20 +5,11 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from support import BODIES  # noqa: E402
+
 from parlance.session import local_session  # noqa: E402
 from parlance.sources import LEXICONS, as_messages, custom_stop_words, lookup_table  # noqa: E402
 
-BODIES = [
-    (1, 1, "A", "I work here. I can't work!"),
-    (2, 1, "A", "Good good bad"),
-    (3, 2, "A", "See https://www.yammer.com good"),
-    (4, 1, "B", "work"),
-    (5, 2, "B", "the envious work"),
-    (6, 2, "B", None),
-    (7, 2, "B", ""),
-]
-
-
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(4, memory="6g", app="parlance-tests")
@@ -63,8 +54,3 @@ def either_join(request):
     if request.param == "split":
         request.getfixturevalue("no_broadcast")
     return request.param
-
-
-def rows(df):
-    """Rows as a sorted list of tuples, nulls first."""
-    return sorted((tuple(row) for row in df.collect()), key=lambda row: [(v is not None, v) for v in row])

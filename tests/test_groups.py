@@ -3,7 +3,7 @@ import random
 from collections import Counter
 
 import pytest
-from conftest import rows
+from support import rows
 from pyspark.sql import functions as F
 
 from parlance.operators import (

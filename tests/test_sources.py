@@ -1,5 +1,5 @@
 import pytest
-from conftest import BODIES, rows
+from support import BODIES, rows
 from pyspark.sql import functions as F
 
 from parlance.plans.oracle import STOP_WORDS

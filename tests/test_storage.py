@@ -1,7 +1,7 @@
 from types import SimpleNamespace
 
 import pytest
-from conftest import rows
+from support import rows
 
 from parlance import storage
 from parlance.operators import fit_topics, release_topics

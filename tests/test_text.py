@@ -3,7 +3,7 @@ import re
 
 import pytest
 import regex
-from conftest import rows
+from support import rows
 from pyspark.sql import functions as F
 
 from parlance.functions import ngrams, words

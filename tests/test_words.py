@@ -1,7 +1,7 @@
 import re
 
 import pytest
-from conftest import rows
+from support import rows
 
 from parlance.operators import (
     count,
