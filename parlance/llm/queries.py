@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from parlance.llm import (
+    alignment,
     block_names,
     fuzzy_lines,
     languages,
     mixing,
     near_texts,
+    packing,
+    periods,
     pieces,
     private_data,
     quality,
@@ -65,6 +70,35 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identified(docs, languages.learn(docs))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    digest = found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.placed(digest)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    found = alignment.aligned(table(spark, sf_dir, "documents"), *paths)
+    return alignment.scored(found, alignment.link_table(found)).withColumnRenamed("key", "doc_id").drop("row")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
+    best = F.array_min(F.transform("runs", lambda run: F.struct((-run.length).alias("minus"), run.start.alias("start"), run.period.alias("period"))))
+    line = F.transform("runs", lambda run: F.concat(run.start, F.lit(","), run.length, F.lit(","), run.period, F.lit("\n")))
+    length = -F.col("best.minus")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        length.alias("length"),
+        "best.period",
+        F.floor(F.lit(1000) * length / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", line), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -78,6 +112,9 @@ QUERIES = {
         op8_fuzzy_lines,
         op9_exact_dedup,
         op10_language_id,
+        op11_best_fit_packing,
+        op12_token_alignment,
+        op13_periodic_runs,
     )
 }
 
