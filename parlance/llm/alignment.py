@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.tables import slices, text_or_empty
-from parlance.llm.units import UnitIds, one_thread, taken
+from parlance.llm.units import UnitIds, byte_signs, one_thread, taken
 from parlance.operators.joins import BROADCAST_ROWS, fits_broadcast
 from parlance.storage import release, written
 
@@ -49,7 +49,7 @@ class Pair:
         self._a = Tokenizer.from_file(path_a)
         self._a.encode_special_tokens = True
         self._b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        plain = {char: byte for byte, char in _byte_signs().items()}
+        plain = {char: byte for byte, char in byte_signs().items()}
         names = [self._a.id_to_token(i) or "" for i in range(self._a.get_vocab_size())]
         special = {i for i, token in self._a.get_added_tokens_decoder().items() if token.special}
         self.bytes_a = [b"" if i in special else bytes(plain[c] for c in name) for i, name in enumerate(names)]
@@ -97,13 +97,6 @@ def _by_text(counts: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.diff(ends)
 
 
-def _byte_signs() -> dict[int, str]:
-    """The printable sign that byte-level vocabularies write for each byte: its own, or one from U+0100 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [byte for byte in range(256) if byte not in set(own)]
-    return {byte: chr(byte) for byte in own} | {byte: chr(256 + at) for at, byte in enumerate(rest)}
-
-
 def pair_type(size_b: int, size_a: int) -> str:
     return "int" if size_a * size_b < 1 << 31 else "long"
 

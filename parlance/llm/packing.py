@@ -19,13 +19,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parlance.llm.tables import slices, text_or_empty
-from parlance.llm.units import UnitIds, one_thread
+from parlance.llm.units import UnitIds, byte_signs, one_thread, taken
 from parlance.operators.joins import fits_broadcast
 from parlance.storage import release, written
 
@@ -34,33 +35,65 @@ END_ID = 1
 PIECE_COLUMNS = "piece int, start long, length long, ids binary"
 
 
+# Punctuation that the tokenizer splits from the letters before it, as one run.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_BEYOND_LATIN = "\u0250"
+BATCH = 4_000_000
+
+
 @lru_cache(maxsize=4)
 def _word_ids(path: str) -> UnitIds:
-    """Ids of words between white space, where the tokenizer always starts anew."""
+    """Ids of words between white space, where the tokenizer always starts anew.
+
+    A lower-case word of Latin letters is what the tokenizer's normalisation and splitting make of
+    it, so it goes to its merges at once, and so does such a word before a run of marks; any other goes
+    through the whole tokenizer.
+    """
     from tokenizers import Tokenizer
 
     one_thread()
     tokenizer = Tokenizer.from_file(path)
-
-    def encode(words: list[bytes]) -> list[list[list[int]]]:
-        found = tokenizer.encode_batch_fast([word.decode() for word in words], add_special_tokens=False)
-        return [[one.ids for one in found]]
+    merge, signs = tokenizer.model.tokenize, byte_signs()
+    after: dict[str, list[int]] = {"": []}
+
+    def encode(words: list[str]) -> list[list[list[int]]]:
+        found: list[list[int] | None] = [None] * len(words)
+        other = []
+        for at, word in enumerate(words):
+            letters = word.rstrip(_MARKS)
+            if letters.isalpha() and max(letters) < _BEYOND_LATIN and letters == letters.lower():
+                plain = letters if letters.isascii() else letters.encode().decode("latin-1").translate(signs)
+                marks = word[len(letters) :]
+                if marks not in after:
+                    if len(after) > 100_000:
+                        after.clear()
+                    after[marks] = tokenizer.encode(marks, add_special_tokens=False).ids
+                found[at] = [token.id for token in merge(plain)] + after[marks]
+            else:
+                other.append(at)
+        for at, one in zip(other, tokenizer.encode_batch_fast([words[at] for at in other], add_special_tokens=False), strict=True):
+            found[at] = one.ids
+        return [found]
 
     return UnitIds(encode)
 
 
-def _words(text: str) -> list[bytes]:
+def _words(texts: pa.Array) -> pa.ListArray:
     """Words between ASCII white space; lower case as the tokenizer makes it, unless a special token may be written out."""
-    data = text.encode()
-    return data.split() if b"<|" in data else data.lower().split()
+    as_they_are = pc.match_substring(texts, "<|")
+    return pc.ascii_split_whitespace(pc.if_else(as_they_are, texts, pc.ascii_lower(texts)))
 
 
-def encoded(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+def encoded(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, and how many each has; ``path`` is a lower-casing word-end vocabulary file."""
-    words = [_words(text) for text in texts]
-    [(ids, per_word)] = _word_ids(path).of([word for text in words for word in text])
+    words = _words(texts)
+    flat = words.flatten().dictionary_encode()
+    [(ids, counts)] = _word_ids(path).of(flat.dictionary.to_pylist())
+    at = flat.indices.to_numpy()
+    per_word = counts[at]
+    ids = taken(ids, (np.cumsum(counts) - counts)[at], per_word)
     ends = np.concatenate([[0], np.cumsum(per_word)])
-    last = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    last = np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))
     return ids, np.diff(np.concatenate([[0], ends[last]]))
 
 
@@ -74,7 +107,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, chars=BATCH):
                 yield _cut(part, path, room, end)
 
     rows = docs.select(F.col(f"`{key}`").alias("key"), text_or_empty(f"`{text}`").alias("text"))
@@ -83,7 +116,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
 
 def _cut(batch: pa.RecordBatch, path: str, room: int, end: int) -> pa.RecordBatch:
-    ids, counts = encoded(batch.column("text").to_pylist(), path)
+    ids, counts = encoded(batch.column("text"), path)
     ids = np.insert(ids, np.cumsum(counts), end)
     counts = counts + 1
     many = -(-counts // room)

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Sequence
+from itertools import repeat
 
 import numpy as np
 
 # Bounds of the tables of one worker.
-MOST_UNITS = 300_000
-MOST_CHARS = 24_000_000
+MOST_UNITS = 700_000
+MOST_CHARS = 32_000_000
 
 Encode = Callable[[list], list[Sequence[Sequence[int]]]]
 
@@ -49,10 +50,12 @@ class UnitIds:
         """For each stream the ids of all units in a row, and how many each unit has."""
         if len(self._place) > MOST_UNITS or self._chars > MOST_CHARS:
             self._clear()
-        new = [unit for unit in dict.fromkeys(units) if unit not in self._place]
-        if new:
-            self._add(new)
-        at = np.fromiter(map(self._place.__getitem__, units), np.int64, len(units))
+        at = np.fromiter(map(self._place.get, units, repeat(-1)), np.int64, len(units))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            unknown = [units[i] for i in missing.tolist()]
+            self._add(list(dict.fromkeys(unknown)))
+            at[missing] = np.fromiter(map(self._place.__getitem__, unknown), np.int64, len(unknown))
         return [(taken(self._flat[s], self._starts[s][at], self._counts[s][at]), self._counts[s][at]) for s in range(self._streams)]
 
 
@@ -63,6 +66,13 @@ def taken(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarra
 
 
 
+def byte_signs() -> dict[int, str]:
+    """The printable sign that byte-level vocabularies write for each byte: its own, or one from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [byte for byte in range(256) if byte not in set(own)]
+    return {byte: chr(byte) for byte in own} | {byte: chr(256 + at) for at, byte in enumerate(rest)}
+
+
 def one_thread() -> None:
     """Keep the tokenizer library to the task's own core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

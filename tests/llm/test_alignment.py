@@ -10,6 +10,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from parlance.llm import alignment, queries
+from parlance.llm.units import byte_signs
 
 PATHS = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
 
@@ -19,7 +20,7 @@ def plain():
     a = Tokenizer.from_file(PATHS[0])
     a.encode_special_tokens = True
     b = sentencepiece.SentencePieceProcessor(model_file=PATHS[1])
-    signs = {char: byte for byte, char in alignment._byte_signs().items()}
+    signs = {char: byte for byte, char in byte_signs().items()}
 
     def tokens(text):
         """[(id, bytes)] by A and by B, or nothing."""
