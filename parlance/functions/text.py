@@ -11,10 +11,22 @@ from pyspark.sql import functions as F
 _RUN = r"[\p{L}\p{M}\p{N}_]"
 TOKEN = rf"{_RUN}++(?:['’.]{_RUN}++)*+"
 
+# Scripts written without spaces, whose letters are words of one letter each, as no
+# boundary between words can be told without a dictionary: ideographs, Hiragana, and the letters of Thai,
+# Lao, Myanmar and Khmer; and the signs of Katakana, whose runs are words.
+_SINGLE = (
+    r"\p{IsHan}\p{IsHiragana}\u0E01-\u0E30\u0E32\u0E33\u0E40-\u0E46\u0E81-\u0EB0\u0EB2\u0EB3\u0EBD\u0EC0-\u0EC6\u0EDC-\u0EDF"
+    r"\u1000-\u102A\u103F\u1050-\u1055\u1780-\u17B3\u17D7\u17DC"
+)
+_KATAKANA = r"\p{IsKatakana}\u30A0\u30FC\uFF70\u3031-\u3035\u309B\u309C"
+
 # Closer to the Unicode word boundaries: a joint needs letters on both sides or digits on both
-# sides, digits may also be joined by commas and semicolons, and underscores alone are no word.
+# sides, digits may also be joined by commas and semicolons, and underscores alone are no word. Marks
+# stay with what they follow.
 _JOINT = r"(?:(?<=[\p{L}\p{M}])['’‘.·‧](?=\p{L})|(?<=\p{N})['’‘.,;](?=\p{N}))"
-UAX_TOKEN = rf"(?=_*+[\p{{L}}\p{{M}}\p{{N}}]){_RUN}++(?:{_JOINT}{_RUN}++)*+"
+_SPACED = rf"[\p{{L}}\p{{M}}\p{{N}}_&&[^{_SINGLE}{_KATAKANA}]]"
+_SPACED_WORD = rf"(?=_*+[\p{{L}}\p{{M}}\p{{N}}&&[^{_SINGLE}{_KATAKANA}]]){_SPACED}++(?:{_JOINT}{_SPACED}++)*+"
+UAX_TOKEN = rf"{_SPACED_WORD}|[{_SINGLE}]\p{{M}}*+|(?:[{_KATAKANA}]\p{{M}}*+)++"
 
 _PATTERNS = {"plain": TOKEN, "uax": UAX_TOKEN}
 

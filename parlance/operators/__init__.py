@@ -1,5 +1,7 @@
-from parlance.operators.counts import count, frequent_words, in_group, spread, word_cloud
+from parlance.operators.agreement import agreement
+from parlance.operators.counts import count, frequent_words, in_group, labels_of, spread, spread_found, word_cloud
 from parlance.operators.joins import anti_lookup, attach, attach_split, fits_broadcast, inner_lookup
+from parlance.operators.priors import dirichlet_prior
 from parlance.operators.ranks import top_n, with_position
 from parlance.operators.sentiment import (
     labelled,
@@ -12,6 +14,7 @@ from parlance.operators.sentiment import (
     spread_sentiment,
     word_sentiment,
 )
+from parlance.operators.stop_scores import proposed_stop_words, word_spread
 from parlance.operators.tfidf import bind_tf_idf, group_totals, group_words
 from parlance.operators.tokens import (
     ngrams,
@@ -39,12 +42,14 @@ from parlance.operators.topics import (
 
 __all__ = [
     "TopicModel",
+    "agreement",
     "anti_lookup",
     "attach",
     "attach_split",
     "beta",
     "bind_tf_idf",
     "count",
+    "dirichlet_prior",
     "document_term_matrix",
     "fit_topics",
     "fits_broadcast",
@@ -55,18 +60,21 @@ __all__ = [
     "in_group",
     "inner_lookup",
     "labelled",
+    "labels_of",
     "lexicon_use",
     "message_sentiment",
     "message_word_counts",
     "net_sentiment",
     "ngrams",
     "ngrams_without",
+    "proposed_stop_words",
     "release_topics",
     "score_sums",
     "sentiment_counts",
     "sentiment_top_terms",
     "separate",
     "spread",
+    "spread_found",
     "spread_sentiment",
     "tokens",
     "top_n",
@@ -80,5 +88,6 @@ __all__ = [
     "without_stop_words",
     "word_cloud",
     "word_sentiment",
+    "word_spread",
     "word_uses",
 ]

@@ -48,3 +48,34 @@ def spread(rows: DataFrame, key: str, value: str, labels: Sequence[str], fill: i
     return rows.groupBy(*kept).agg(
         *[F.coalesce(column, F.lit(fill)).alias(label) for column, label in zip(wide, labels)]
     )
+
+
+def labels_of(rows: DataFrame, key: str, most: int = 200) -> list[str | None]:
+    """The different values of ``key`` in order, null last; more than ``most`` fail.
+
+    At most ``most`` + 1 values of each task, and as many in all, are ever held.
+    """
+    found = [row[0] for row in rows.select(F.col(key).cast("string")).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{key} has more than {most} different values; a table this wide is to be asked for by name")
+    return sorted(found, key=lambda label: (label is None, label))
+
+
+def spread_found(
+    rows: DataFrame, key: str, value: str, fill: int = 0, most: int = 200, null_label: str = "NA"
+) -> DataFrame:
+    """:func:`spread` over the labels that ``key`` has in ``rows``, in order; null gets a column ``null_label``.
+
+    The labels are looked for first, so pass rows that are cheap to read twice, such as a written
+    table. A label that is also the name of a kept column, or of the column for null, fails, as do
+    more than ``most`` labels. No rows give the kept columns alone.
+    """
+    labels = labels_of(rows, key, most)
+    kept = [name for name in rows.columns if name not in (key, value)]
+    names = [null_label if label is None else label for label in labels]
+    if repeated := {name for name in names if names.count(name) > 1 or name in kept}:
+        raise ValueError(f"labels of {key} need columns of their own: {', '.join(sorted(repeated))}")
+    wide = [F.max(F.when(F.col(key).eqNullSafe(F.lit(label)), F.col(value))) for label in labels]
+    columns = [F.coalesce(column, F.lit(fill)).alias(name) for column, name in zip(wide, names, strict=True)]
+    grouped = rows.groupBy(*[F.col(f"`{name}`") for name in kept])
+    return grouped.agg(*columns) if columns else rows.select(*kept).distinct()

@@ -11,7 +11,7 @@ from parlance.operators.counts import count
 from parlance.operators.joins import anti_lookup, attach
 from parlance.operators.ranks import top_n, with_position
 from parlance.operators.tokens import word_uses
-from parlance.operators.topic_joins import fit_by_joins
+from parlance.operators.topic_blocks import Priors, fit_by_blocks
 from parlance.storage import release, written
 
 
@@ -21,11 +21,13 @@ class TopicModel:
 
     ``terms``: term, weights (share of the term in each topic).
     ``messages``: Message_ID_int, Group_Name, weights (share of each topic in the message).
+    ``alphas``: the prior of each round, if it was estimated.
     """
 
     k: int
     terms: DataFrame
     messages: DataFrame
+    alphas: tuple[float, ...] = ()
 
 
 def message_word_counts(messages: DataFrame, stop_words: DataFrame) -> DataFrame:
@@ -64,12 +66,14 @@ def fit_topics(
     alpha: float | None = None,
     eta: float = 1.1,
     tolerance: float | None = None,
+    estimate_alpha: bool = False,
 ) -> TopicModel:
     """Fit ``k`` topics to :func:`message_word_counts`, every word counting, for a vocabulary of any size.
 
     ``alpha`` (50/k + 1) and ``eta`` are the priors of messages and words and must exceed 1. The fit
     takes ``max_iter`` rounds, or fewer if a ``tolerance`` is given: it then ends when a round raises
-    the log likelihood by less than that share of it. Equal counts and settings give equal
+    the log likelihood by less than that share of it. With ``estimate_alpha`` the messages' prior is
+    fitted to the data, a step a round; ``alpha`` less 1 (50/k), a Dirichlet prior, is then where it starts. Equal counts and settings give equal
     models. Release the model with :func:`release_topics` when no result of it is read any more.
     """
     counts = written(counts)
@@ -78,13 +82,16 @@ def fit_topics(
     )
     if cells.isEmpty():
         raise ValueError("no message has a word to fit topics to")
-    terms, mixed = fit_by_joins(cells, k, seed, max_iter, 50 / k + 1 if alpha is None else alpha, eta, tolerance)
+    alpha = 50 / k + 1 if alpha is None else alpha
+    if alpha <= 1 or eta <= 1:
+        raise ValueError(f"alpha and eta must exceed 1, not {alpha} and {eta}")
+    terms, mixed, alphas = fit_by_blocks(cells, k, seed, max_iter, Priors(alpha - 1, eta - 1, estimate_alpha), tolerance)
     groups = counts.select(F.col("Message_ID_int").alias("message"), "Group_Name").dropDuplicates(["message"])
     messages = written(
         mixed.join(groups, "message").select(F.col("message").alias("Message_ID_int"), "Group_Name", "weights")
     )
     release(counts, cells, mixed)
-    return TopicModel(k, terms, messages)
+    return TopicModel(k, terms, messages, tuple(alphas))
 
 
 def release_topics(model: TopicModel) -> None:

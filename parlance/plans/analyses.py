@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from parlance import operators as op
 from parlance import sources
 from parlance.plans import inputs
+from parlance.storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -90,6 +91,12 @@ def emotions_by_group_month(spark, sf_dir):
     return op.sentiment_counts(tokens_clean(spark, sf_dir), inputs.nrc(spark))
 
 
+@query
+def emotions_spread(spark, sf_dir):
+    """The same made wide, one column for each emotion that the messages turn out to have."""
+    return op.spread_found(written(emotions_by_group_month(spark, sf_dir)), "sentiment", "n")
+
+
 @query
 def word_emotions(spark, sf_dir):
     return op.word_sentiment(tokens_clean(spark, sf_dir), inputs.nrc(spark))
@@ -131,6 +138,12 @@ def custom_stop_words(spark, sf_dir):
     return op.lexicon_use(op.tokens(inputs.messages(spark, sf_dir)), _custom(spark))
 
 
+@query
+def proposed_stop_words(spark, sf_dir):
+    """Words that groups and messages use most evenly, a list to choose custom stop words from."""
+    return op.proposed_stop_words(inputs.messages(spark, sf_dir))
+
+
 @query
 def group_word_counts(spark, sf_dir):
     return op.count(op.tokens(inputs.messages(spark, sf_dir)), "Group_Name", "word", sort=True)
@@ -249,6 +262,14 @@ QUERIES["topic_beta_sums_by_joins"] = topic_beta_sums
 QUERIES["topic_gamma_sums_by_joins"] = topic_gamma_sums
 
 
+@query
+def topic_alpha(spark, sf_dir):
+    """The messages' prior after each round of a fit that estimates it."""
+    alphas = fitted_model(spark, sf_dir, estimate_alpha=True).alphas
+    found = spark.createDataFrame(list(enumerate(alphas, 1)), "round int, alpha double")
+    return found.withColumn("alpha", F.round("alpha", 6))
+
+
 @query
 def topic_top_terms(spark, sf_dir):
     return _rounded(op.topic_top_terms(fitted_model(spark, sf_dir)), "beta")
@@ -273,3 +294,10 @@ def topic_group_messages(spark, sf_dir):
 @query
 def topic_purity(spark, sf_dir):
     return op.topic_purity(topic_group_check(spark, sf_dir))
+
+
+@query
+def topic_agreement(spark, sf_dir):
+    """How far the topics are the groups, corrected for chance."""
+    found = op.agreement(topic_group_check(spark, sf_dir))
+    return found.select("n", *[F.round(name, 9).alias(name) for name in found.columns[1:]])

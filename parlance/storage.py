@@ -24,10 +24,27 @@ def written(rows: DataFrame, schema: StructType | None = None, path: str | None
     return table
 
 
+def bucketed(rows: DataFrame, key: str, buckets: int) -> DataFrame:
+    """:func:`written` as a table whose rows are kept by the hash of ``key``, one file a bucket.
+
+    Groupings and joins by ``key`` that take it as it lies do not shuffle it.
+    """
+    spark = rows.sparkSession
+    path = table_path(spark)
+    name = f"parlance_{uuid.uuid4().hex}"
+    writer = rows.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key)
+    writer.option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    table.written_path, table.written_name = path, name
+    return table
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables made by :func:`written` that no result reads any more; other frames are left alone."""
     for table in tables:
         path = getattr(table, "written_path", None)
+        if (name := getattr(table, "written_name", None)) is not None:
+            table.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         if path is not None:
             context = table.sparkSession.sparkContext
             place = context._jvm.org.apache.hadoop.fs.Path(path)
