@@ -21,20 +21,25 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.tables import slices, text_or_empty
-from parlance.llm.units import UnitIds, byte_signs, one_thread, taken
+from parlance.llm.units import Kept, Stream, UnitIds, byte_signs, latin_and_marks, one_thread, spelled_out, stream, taken
 from parlance.operators.joins import BROADCAST_ROWS, fits_broadcast
 from parlance.storage import release, written
 
 RANGE = 65_536
 FAN = 16
+BATCH = 2_000_000
 PIECE_SPACE = "▁"
 # Links of a group are listed one by one up to this number; beyond it, by its different ids.
 MANY_LINKS = 4096
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+# White space, a run of which is no border, at the start (after the space put there), at the end, or beside more of it.
+_SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_WHITE_RUN = rf"^$|^[^ ]|{_SPACES}{_SPACES}|{_SPACES}$"
 _CUT_BYTES = re.compile(rb"(?<=[!-~])(?=[ \n][!-~])")
 
 
@@ -55,8 +60,12 @@ class Pair:
         self.bytes_a = [b"" if i in special else bytes(plain[c] for c in name) for i, name in enumerate(names)]
         self.bytes_b = [self._piece_bytes(i) for i in range(self._b.get_piece_size())]
         self.size_a, self.size_b = (np.fromiter(map(len, table), np.int64, len(table)) for table in (self.bytes_a, self.bytes_b))
+        signs = [[f"{sign}{i}" for i in range(max(len(self.size_a), len(self.size_b)))] for sign in ",|;"]
+        self.written = [*signs[0], *signs[1], *signs[2]]
+        self._after = Kept(lambda marks: self._a.encode(marks, add_special_tokens=False).ids if marks else [])
+        self._sign_of_space = byte_signs()[32]
         self._space = self._b.piece_to_id(PIECE_SPACE)
-        self._units = UnitIds(self._encode, streams=3)
+        self._known = UnitIds(self._encode, streams=3)
 
     def _piece_bytes(self, i: int) -> bytes:
         if self._b.is_control(i) or self._b.is_unknown(i):
@@ -64,29 +73,80 @@ class Pair:
         piece = self._b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self._b.is_byte(i) else piece.replace(PIECE_SPACE, " ").encode()
 
-    def _encode(self, units: list[str]) -> list[list[list[int]]]:
-        """Ids by A and by B of new units, and a mark (one number) in place of both if their bytes are not the unit's."""
-        of_a = [found.ids for found in self._a.encode_batch_fast(units, add_special_tokens=False)]
-        of_b = self._b.encode([unit[unit.startswith(" ") :] for unit in units], num_threads=1)
-        a, b, bad = [], [], []
-        for unit, ids_a, ids_b in zip(units, of_a, of_b, strict=True):
-            if not unit.startswith(" ") and ids_b[:1] == [self._space]:
-                ids_b = ids_b[1:]
-            data = unit.encode()
-            right = b"".join([self.bytes_a[i] for i in ids_a]) == data == b"".join([self.bytes_b[i] for i in ids_b])
-            a.append(ids_a if right else [])
-            b.append(ids_b if right else [])
-            bad.append([] if right else [1])
-        return [a, b, bad]
-
-    def tokens(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+    def _ids_a(self, units: list[str]) -> list[list[int]]:
+        """A space and Latin letters are what the word pattern makes of them: they go to the merges at once."""
+        found: list[list[int] | None] = [None] * len(units)
+        other = []
+        merge, after, space = self._a.model.tokenize, self._after, self._sign_of_space
+        for at, unit in enumerate(units):
+            split = latin_and_marks(unit[1:]) if unit[0] == " " else None
+            if split is None:
+                other.append(at)
+            else:
+                found[at] = [token.id for token in merge(space + split[0])] + after[split[1]]
+        for at, one in zip(other, self._a.encode_batch_fast([units[at] for at in other], add_special_tokens=False), strict=True):
+            found[at] = one.ids
+        return found
+
+    def _encode(self, units: list[str]) -> list[Stream]:
+        """Ids by A and by B of new units, and a mark in place of both for a unit whose tokens do not give it back."""
+        ids_a = self._ids_a(units)
+        ids_b = self._b.encode([unit[unit.startswith(" ") :] for unit in units], num_threads=1)
+        ids_b = [
+            ids if unit.startswith(" ") or ids[:1] != [self._space] else ids[1:] for unit, ids in zip(units, ids_b, strict=True)
+        ]
+        a, b = stream(ids_a), stream(ids_b)
+        whole = [unit.encode() for unit in units]
+        sizes = np.fromiter(map(len, whole), np.int64, len(whole))
+        joined = b"".join(whole)
+        right = all(
+            (sizes == _by_text(size[flat], counts)).all() and b"".join(map(table.__getitem__, flat.tolist())) == joined
+            for (flat, counts), size, table in ((a, self.size_a, self.bytes_a), (b, self.size_b, self.bytes_b))
+        )
+        if right:
+            return [a, b, (np.empty(0, np.int32), np.zeros(len(units), np.int64))]
+        wrong = [
+            b"".join(map(self.bytes_a.__getitem__, x)) != data or b"".join(map(self.bytes_b.__getitem__, y)) != data
+            for x, y, data in zip(ids_a, ids_b, whole, strict=True)
+        ]
+        marked = [[[] if bad else ids for bad, ids in zip(wrong, side, strict=True)] for side in (ids_a, ids_b)]
+        return [*map(stream, marked), stream([[1] if bad else [] for bad in wrong])]
+
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
         """(ids a, counts a, ids b, counts b, whether the text has a wrong unit) of texts made of whole units."""
-        units = [_CUT.split(text) if text else [] for text in texts]
-        (a, by_a), (b, by_b), (_, bad) = self._units.of([unit for text in units for unit in text])
-        many = np.fromiter(map(len, units), np.int64, len(units))
+        units, many = _units(texts)
+        (a, by_a), (b, by_b), (_, bad) = (
+            spelled_out(found, units.indices.to_numpy()) for found in self._known.of(units.dictionary.to_pylist())
+        )
         return a, _by_text(by_a, many), b, _by_text(by_b, many), _by_text(bad, many) > 0
 
 
+def _units(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The units of all texts in a row, by name, and how many each text has.
+
+    Where a text begins with a space and all other white space is one space or line break between two
+    other signs, Arrow cuts it; other texts are cut by the pattern, which means the same.
+    """
+    plain = pc.invert(pc.match_substring_regex(texts, _WHITE_RUN))
+    simple = pc.split_pattern(pc.replace_substring(pc.utf8_slice_codeunits(texts.filter(plain), 1), "\n", " \n"), " ")
+    cut = simple.flatten().dictionary_encode()
+    names = [unit if unit[:1] == "\n" else " " + unit for unit in cut.dictionary.to_pylist()]
+    counts = np.zeros(len(texts), np.int64)
+    is_plain = plain.to_numpy(zero_copy_only=False)
+    counts[is_plain] = simple.value_lengths().to_numpy(zero_copy_only=False)
+    if is_plain.all():
+        return pa.DictionaryArray.from_arrays(cut.indices, pa.array(names, pa.string())), counts
+    others = [_CUT.split(text) if text else [] for text in texts.filter(pc.invert(plain)).to_pylist()]
+    counts[~is_plain] = list(map(len, others))
+    more = pa.array([unit for units in others for unit in units], pa.string()).dictionary_encode()
+    # both in the order of the texts
+    place = np.empty(int(counts.sum()), np.int64)
+    of_plain = np.repeat(is_plain, counts)
+    place[of_plain] = cut.indices.to_numpy()
+    place[~of_plain] = more.indices.to_numpy() + len(names)
+    return pa.DictionaryArray.from_arrays(pa.array(place), pa.array(names + more.dictionary.to_pylist(), pa.string())), counts
+
+
 @lru_cache(maxsize=2)
 def pair(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
@@ -97,7 +157,7 @@ def _by_text(counts: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.diff(ends)
 
 
-def pair_type(size_b: int, size_a: int) -> str:
+def pair_type(size_a: int, size_b: int) -> str:
     return "int" if size_a * size_b < 1 << 31 else "long"
 
 
@@ -123,22 +183,30 @@ def group_numbers(end_a: np.ndarray, end_b: np.ndarray, total: int) -> tuple[np.
     return both[end_a], both[end_b]
 
 
-def group_texts(a: np.ndarray, group_a: np.ndarray, b: np.ndarray, group_b: np.ndarray, owner: np.ndarray, rows: int) -> list[str]:
-    """For each row its groups as ``a1,a2|b1;a3|b2,b3``; ``owner`` is the row of each group (numbers from 0)."""
-    side = np.concatenate([np.zeros(len(a), np.int8), np.ones(len(b), np.int8)])
-    group = np.concatenate([group_a, group_b])
-    order = np.lexsort((side, group))
-    ids, side, group = np.concatenate([a, b])[order].tolist(), side[order], group[order]
-    first = np.ones(len(ids), bool)
-    first[1:] = (group[1:] != group[:-1]) | (side[1:] != side[:-1])
-    sign = np.where(~first, ",", np.where(side == 1, "|", ";")).tolist()
-    parts = [f"{mark}{i}" for mark, i in zip(sign, ids, strict=True)]
-    stops = np.searchsorted(owner[group] if len(group) else owner[:0], np.arange(rows), side="right").tolist()
-    return ["".join(parts[start:stop])[1:] for start, stop in zip([0, *stops], stops, strict=False)]
+def group_texts(
+    a: np.ndarray, group_a: np.ndarray, b: np.ndarray, group_b: np.ndarray, owner: np.ndarray, rows: int, written_out: list[str]
+) -> list[str]:
+    """For each row its groups as ``a1,a2|b1;a3|b2,b3``; ``owner`` is the row of each group (numbers from 0).
+
+    ``written_out`` has the ids after a comma, after a bar and after a semicolon.
+    """
+    of_a, of_b = np.bincount(group_a, minlength=len(owner)), np.bincount(group_b, minlength=len(owner))
+    start = np.cumsum(of_a + of_b) - of_a - of_b
+    place_a = np.arange(len(a)) - (np.cumsum(of_a) - of_a - start)[group_a]
+    place_b = np.arange(len(b)) - (np.cumsum(of_b) - of_b - start - of_a)[group_b]
+    codes = np.empty(len(a) + len(b), np.int64)
+    codes[place_a], codes[place_b] = a, b
+    ids = len(written_out) // 3
+    codes[start[of_a > 0]] += 2 * ids
+    codes[(start + of_a)[of_b > 0]] += ids
+    parts = list(map(written_out.__getitem__, codes.tolist()))
+    per_row = np.bincount(owner, weights=of_a + of_b, minlength=rows).astype(np.int64)
+    stops = np.cumsum(per_row).tolist()
+    return ["".join(parts[first:stop])[1:] for first, stop in zip([0, *stops], stops, strict=False)]
 
 
 def link_counts(
-    a: np.ndarray, group_a: np.ndarray, b: np.ndarray, group_b: np.ndarray, owner: np.ndarray, rows: int, size_b: int
+    a: np.ndarray, group_a: np.ndarray, b: np.ndarray, group_b: np.ndarray, owner: np.ndarray, rows: int, size_a: int, size_b: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(pair, uses) of all rows in a row, pairs of a row sorted; the number of pairs and of links of each row."""
     groups = len(owner)
@@ -149,7 +217,13 @@ def link_counts(
     plain = ~large[group_a]
     own, more = group_a[plain], of_b[group_a[plain]]
     keys = [np.repeat(a[plain].astype(np.int64), more) * size_b + taken(b, start_b[own], more)]
-    owners, uses = [np.repeat(owner[own], more)], [np.ones(len(keys[0]), np.int64)]
+    owners = [np.repeat(owner[own], more)]
+    span = size_a * size_b
+    if not large.any() and rows < (1 << 62) // span:
+        both = np.sort(owners[0] * span + keys[0])
+        at = np.flatnonzero(np.diff(both, prepend=-1))
+        return both[at] % span, np.diff(at, append=len(both)), np.bincount(both[at] // span, minlength=rows), links
+    uses = [np.ones(len(keys[0]), np.int64)]
     for one in np.flatnonzero(large):
         ids_a, times_a = np.unique(a[group_a == one].astype(np.int64), return_counts=True)
         ids_b, times_b = np.unique(b[group_b == one].astype(np.int64), return_counts=True)
@@ -168,64 +242,77 @@ def link_counts(
 def fragments(part: pa.RecordBatch, tokenizers: Pair) -> pa.RecordBatch:
     """Fragments of ranges: columns row, key, no, text (whole units), ``low`` and ``high`` (the range within its bytes)."""
     rows = part.num_rows
-    a, count_a, b, count_b, bad = tokenizers.tokens(part.column("text").to_pylist())
+    a, count_a, b, count_b, bad = tokenizers.tokens(part.column("text"))
     row_a, row_b = np.repeat(np.arange(rows), count_a), np.repeat(np.arange(rows), count_b)
-    no = part.column("no").to_numpy()
-    low, high = part.column("low").to_numpy(), part.column("high").to_numpy()
-    sizes = np.bincount(row_a, weights=tokenizers.size_a[a], minlength=rows).astype(np.int64)
-    base = np.cumsum(sizes) - sizes
-    end_a, end_b = np.cumsum(tokenizers.size_a[a]), np.cumsum(tokenizers.size_b[b])
-    sure_a, sure_b = ~bad[row_a], ~bad[row_b]
     if bad.any():  # such a text has no tokens
+        sure_a, sure_b = ~bad[row_a], ~bad[row_b]
         a, row_a, b, row_b = a[sure_a], row_a[sure_a], b[sure_b], row_b[sure_b]
-        sizes[bad] = 0
-        base = np.cumsum(sizes) - sizes
-        end_a, end_b = np.cumsum(tokenizers.size_a[a]), np.cumsum(tokenizers.size_b[b])
-    own_a = (end_a - base[row_a] > low[row_a]) & (end_a - base[row_a] <= high[row_a])
-    own_b = (end_b - base[row_b] > low[row_b]) & (end_b - base[row_b] <= high[row_b])
-    a, row_a, end_a, b, row_b, end_b = a[own_a], row_a[own_a], end_a[own_a], b[own_b], row_b[own_b], end_b[own_b]
-    group_a, group_b = group_numbers(end_a, end_b, int(sizes.sum()))
-    # a group is named by row and number, as an open end has the number of the next row's first group
-    width = int(max(group_a.max(initial=0), group_b.max(initial=0))) + 1
-    name_a, name_b = row_a * width + group_a, row_b * width + group_b
-    names, at = np.unique(np.concatenate([name_a, name_b]), return_inverse=True)
-    group_a, group_b = at[: len(a)], at[len(a) :]
-    owner = names // width
-    ends = np.full(len(names), -1)
-    np.maximum.at(ends, group_a, end_a)
-    other = np.full(len(names), -2)
-    np.maximum.at(other, group_b, end_b)
-    is_closed = ends == other
-    first_closed = np.full(rows, -1)
-    places = np.flatnonzero(is_closed)[::-1]
-    first_closed[owner[places]] = places
-    closed = (first_closed >= 0) | (no == 0)
-    is_head = (~closed[owner]) | ((np.arange(len(names)) == first_closed[owner]) & (no[owner] > 0))
-    is_tail = ~is_closed & closed[owner]
-    inner = ~is_head & ~is_tail
-
-    def some(kind: np.ndarray) -> list[pa.ListArray]:
+    no, low, high = (part.column(name).to_numpy() for name in ("no", "low", "high"))
+    end_a, end_b = np.cumsum(tokenizers.size_a[a]), np.cumsum(tokenizers.size_b[b])
+    stops = np.concatenate([[0], end_a])[np.cumsum(np.bincount(row_a, minlength=rows))]
+    sizes = np.diff(stops, prepend=0)
+    in_part = (no > 0) | (high < sizes)
+    if in_part.any():
+        base = stops - sizes
+        own_a, own_b = (
+            (end - base[row] > low[row]) & (end - base[row] <= high[row]) for end, row in ((end_a, row_a), (end_b, row_b))
+        )
+        a, row_a, end_a, b, row_b, end_b = a[own_a], row_a[own_a], end_a[own_a], b[own_b], row_b[own_b], end_b[own_b]
+    group_a, group_b = group_numbers(end_a, end_b, int(stops[-1]) if rows else 0)
+    closed, inner = np.ones(rows, bool), None
+    if in_part.any():
+        group_a, group_b, owner, closed, is_head, is_tail = _open_ends(row_a, group_a, end_a, row_b, group_b, end_b, no)
+        inner = ~is_head & ~is_tail
+    else:
+        owner = row_a[np.flatnonzero(np.diff(group_a, prepend=-1))]
+
+    def some(kind: np.ndarray | None) -> list[pa.ListArray]:
+        if kind is None:
+            return [_lists(np.empty(0, np.int32), np.zeros(rows, np.int64), pa.int32())] * 2
         return [
             _lists(ids[kind[group]], np.bincount(row[kind[group]], minlength=rows), pa.int32())
             for ids, group, row in ((a, group_a, row_a), (b, group_b, row_b))
         ]
 
-    renamed = np.cumsum(inner) - 1
-    in_a, in_b = inner[group_a], inner[group_b]
-    groups = (a[in_a], renamed[group_a[in_a]], b[in_b], renamed[group_b[in_b]], owner[inner], rows)
-    pairs, uses, per_row, links = link_counts(*groups, len(tokenizers.size_b))
-    kind = pa.int32() if pair_type(len(tokenizers.size_b), len(tokenizers.size_a)) == "int" else pa.int64()
-    counted = [np.bincount(row, minlength=rows).astype(np.int64) for row in (row_a, row_b, owner[inner])]
+    ends = some(None) * 2 if inner is None else some(is_head) + some(is_tail)
+    groups = (a, group_a, b, group_b, owner, rows)
+    if inner is not None:
+        renamed = np.cumsum(inner) - 1
+        in_a, in_b = inner[group_a], inner[group_b]
+        groups = (a[in_a], renamed[group_a[in_a]], b[in_b], renamed[group_b[in_b]], owner[inner], rows)
+    sizes_of = (len(tokenizers.size_a), len(tokenizers.size_b))
+    pairs, uses, per_row, links = link_counts(*groups, *sizes_of)
+    kind = pa.int32() if pair_type(*sizes_of) == "int" else pa.int64()
+    counted = [np.bincount(row, minlength=rows).astype(np.int64) for row in (row_a, row_b, groups[4])]
     columns = {
         "row": part.column("row"), "key": part.column("key"), "no": part.column("no"), "bad": pa.array(bad),
         "n_a": pa.array(counted[0]), "n_b": pa.array(counted[1]), "n_groups": pa.array(counted[2]), "n_links": pa.array(links),
-        "closed": pa.array(closed), **dict(zip(("head_a", "head_b", "tail_a", "tail_b"), some(is_head) + some(is_tail), strict=True)),
-        "body": pa.array(group_texts(*groups), pa.string()),
+        "closed": pa.array(closed), **dict(zip(("head_a", "head_b", "tail_a", "tail_b"), ends, strict=True)),
+        "body": pa.array(group_texts(*groups, tokenizers.written), pa.string()),
         "pairs": _lists(pairs, per_row, kind), "uses": _lists(uses, per_row, pa.int32()),
     }
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
+def _open_ends(row_a, group_a, end_a, row_b, group_b, end_b, no) -> tuple[np.ndarray, ...]:
+    """Groups of ranges, some of which are open: numbers by token, owners, whether a range has a byte where both end, heads, tails."""
+    # a group is named by row and number, as an open end has the number of the next row's first group
+    width = int(max(group_a.max(initial=0), group_b.max(initial=0))) + 1
+    names, at = np.unique(np.concatenate([row_a * width + group_a, row_b * width + group_b]), return_inverse=True)
+    group_a, group_b = at[: len(group_a)], at[len(group_a) :]
+    owner = names // width
+    last_a, last_b = np.full(len(names), -1), np.full(len(names), -2)
+    np.maximum.at(last_a, group_a, end_a)
+    np.maximum.at(last_b, group_b, end_b)
+    is_closed = last_a == last_b
+    first_closed = np.full(len(no), -1)
+    places = np.flatnonzero(is_closed)[::-1]
+    first_closed[owner[places]] = places
+    closed = (first_closed >= 0) | (no == 0)
+    is_head = ~closed[owner] | ((np.arange(len(names)) == first_closed[owner]) & (no[owner] > 0))
+    return group_a, group_b, owner, closed, is_head, ~is_closed & closed[owner]
+
+
 def ranges(text: str, size: int) -> Iterator[tuple[int, str, int, int]]:
     """(no, text of whole units, low, high) of the ranges of a long text, a space put before it.
 
@@ -310,15 +397,15 @@ def seam_groups(found: DataFrame, fan: int = FAN) -> DataFrame:
     return kept
 
 
-def _seam_parts(batches: Iterator[pa.RecordBatch], size_b: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _seam_parts(batches: Iterator[pa.RecordBatch], tokenizers: Pair, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch.column("head_a"), batch.column("head_b")
         rows = batch.num_rows
         ids = [side.flatten().to_numpy() for side in (a, b)]
         group = [np.repeat(np.arange(rows), side.value_lengths().to_numpy()) for side in (a, b)]
         groups = (ids[0], group[0], ids[1], group[1], np.arange(rows), rows)
-        pairs, uses, per_row, links = link_counts(*groups, size_b)
-        arrays = [batch.column("row"), batch.column("at"), pa.array(links), pa.array(group_texts(*groups), pa.string())]
+        pairs, uses, per_row, links = link_counts(*groups, len(tokenizers.size_a), len(tokenizers.size_b))
+        arrays = [batch.column("row"), batch.column("at"), pa.array(links), pa.array(group_texts(*groups, tokenizers.written), pa.string())]
         arrays += [_lists(pairs, per_row, kind), _lists(uses, per_row, pa.int32())]
         yield pa.RecordBatch.from_arrays(arrays, names=["row", "at", "n_links", "body", "pairs", "uses"])
 
@@ -370,7 +457,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text
     """
     loaded = pair(path_a, path_b)
     size_a, size_b = len(loaded.size_a), len(loaded.size_b)
-    kind = pair_type(size_b, size_a)
+    kind = pair_type(size_a, size_b)
     arrow_kind = pa.int32() if kind == "int" else pa.int64()
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), text_or_empty(f"`{text}`").alias("text")
@@ -380,7 +467,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, chars=BATCH):
                 yield fragments(part, pair(path_a, path_b))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,7 +494,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text
     good = found.join(bad, "row", "left_anti")
     seams = seam_groups(found)
     seam_schema = f"row long, at int, n_links long, body string, pairs array<{kind}>, uses array<int>"
-    closed = written(seams.mapInArrow(lambda batches: _seam_parts(batches, size_b, arrow_kind), seam_schema).join(bad, "row", "left_anti"))
+    closed = written(seams.mapInArrow(lambda batches: _seam_parts(batches, pair(path_a, path_b), arrow_kind), seam_schema).join(bad, "row", "left_anti"))
     release(seams)
     places = good.select("row", F.col("no").alias("at"), F.lit(1).alias("side"), "body").unionByName(
         closed.select("row", "at", F.lit(0).alias("side"), "body")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parlance.llm.tables import slices, text_or_empty
-from parlance.llm.units import UnitIds, byte_signs, one_thread, taken
+from parlance.llm.units import Kept, Stream, UnitIds, latin_and_marks, one_thread, spelled_out, stream
 from parlance.operators.joins import fits_broadcast
 from parlance.storage import release, written
 
@@ -35,9 +35,6 @@ END_ID = 1
 PIECE_COLUMNS = "piece int, start long, length long, ids binary"
 
 
-# Punctuation that the tokenizer splits from the letters before it, as one run.
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_BEYOND_LATIN = "\u0250"
 BATCH = 4_000_000
 
 
@@ -53,27 +50,21 @@ def _word_ids(path: str) -> UnitIds:
 
     one_thread()
     tokenizer = Tokenizer.from_file(path)
-    merge, signs = tokenizer.model.tokenize, byte_signs()
-    after: dict[str, list[int]] = {"": []}
+    merge = tokenizer.model.tokenize
+    after = Kept(lambda marks: tokenizer.encode(marks, add_special_tokens=False).ids if marks else [])
 
-    def encode(words: list[str]) -> list[list[list[int]]]:
+    def encode(words: list[str]) -> list[Stream]:
         found: list[list[int] | None] = [None] * len(words)
         other = []
         for at, word in enumerate(words):
-            letters = word.rstrip(_MARKS)
-            if letters.isalpha() and max(letters) < _BEYOND_LATIN and letters == letters.lower():
-                plain = letters if letters.isascii() else letters.encode().decode("latin-1").translate(signs)
-                marks = word[len(letters) :]
-                if marks not in after:
-                    if len(after) > 100_000:
-                        after.clear()
-                    after[marks] = tokenizer.encode(marks, add_special_tokens=False).ids
-                found[at] = [token.id for token in merge(plain)] + after[marks]
-            else:
+            split = latin_and_marks(word)
+            if split is None or word != word.lower():
                 other.append(at)
+            else:
+                found[at] = [token.id for token in merge(split[0])] + after[split[1]]
         for at, one in zip(other, tokenizer.encode_batch_fast([words[at] for at in other], add_special_tokens=False), strict=True):
             found[at] = one.ids
-        return [found]
+        return [stream(found)]
 
     return UnitIds(encode)
 
@@ -88,10 +79,8 @@ def encoded(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, and how many each has; ``path`` is a lower-casing word-end vocabulary file."""
     words = _words(texts)
     flat = words.flatten().dictionary_encode()
-    [(ids, counts)] = _word_ids(path).of(flat.dictionary.to_pylist())
-    at = flat.indices.to_numpy()
-    per_word = counts[at]
-    ids = taken(ids, (np.cumsum(counts) - counts)[at], per_word)
+    [found] = _word_ids(path).of(flat.dictionary.to_pylist())
+    ids, per_word = spelled_out(found, flat.indices.to_numpy())
     ends = np.concatenate([[0], np.cumsum(per_word)])
     last = np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))
     return ids, np.diff(np.concatenate([[0], ends[last]]))

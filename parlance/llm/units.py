@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Sequence
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -17,11 +17,17 @@ import numpy as np
 MOST_UNITS = 700_000
 MOST_CHARS = 32_000_000
 
-Encode = Callable[[list], list[Sequence[Sequence[int]]]]
+# The ids of all units in a row, and how many each has.
+Stream = tuple[np.ndarray, np.ndarray]
+Encode = Callable[[list], list[Stream]]
+
+
+def stream(ids: Sequence[Sequence[int]]) -> Stream:
+    return np.array(list(chain.from_iterable(ids)), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
 
 
 class UnitIds:
-    """Ids of units in one or more streams: ``encode`` gives, for new units, a list of ids per unit and stream."""
+    """Ids of units in one or more streams, which ``encode`` gives for new units."""
 
     def __init__(self, encode: Encode, streams: int = 1):
         self._encode, self._streams = encode, streams
@@ -38,16 +44,14 @@ class UnitIds:
         first = len(self._place)
         self._place.update(zip(new, range(first, first + len(new)), strict=True))
         self._chars += sum(map(len, new))
-        for stream, ids in enumerate(self._encode(new)):
-            counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for unit in ids for i in unit), np.int32, int(counts.sum()))
-            starts = len(self._flat[stream]) + np.cumsum(counts) - counts
-            self._flat[stream] = np.concatenate([self._flat[stream], flat])
-            self._counts[stream] = np.concatenate([self._counts[stream], counts])
-            self._starts[stream] = np.concatenate([self._starts[stream], starts])
-
-    def of(self, units: list) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each stream the ids of all units in a row, and how many each unit has."""
+        for at, (flat, counts) in enumerate(self._encode(new)):
+            starts = len(self._flat[at]) + np.cumsum(counts) - counts
+            self._flat[at] = np.concatenate([self._flat[at], flat])
+            self._counts[at] = np.concatenate([self._counts[at], counts])
+            self._starts[at] = np.concatenate([self._starts[at], starts])
+
+    def of(self, units: list) -> list[Stream]:
+        """The streams of the units."""
         if len(self._place) > MOST_UNITS or self._chars > MOST_CHARS:
             self._clear()
         at = np.fromiter(map(self._place.get, units, repeat(-1)), np.int64, len(units))
@@ -73,6 +77,41 @@ def byte_signs() -> dict[int, str]:
     return {byte: chr(byte) for byte in own} | {byte: chr(256 + at) for at, byte in enumerate(rest)}
 
 
+# Marks that tokenizers split, as one run, from the letters before them; an apostrophe is not among them.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_BEYOND_LATIN = "\u0250"
+_SIGNS = byte_signs()
+
+
+def latin_and_marks(word: str) -> tuple[str, str] | None:
+    """A word of Latin letters in the signs of byte-level vocabularies, and the marks after it; else nothing."""
+    letters = word.rstrip(MARKS)
+    if not letters.isalpha() or max(letters) >= _BEYOND_LATIN:
+        return None
+    return letters if letters.isascii() else letters.encode().decode("latin-1").translate(_SIGNS), word[len(letters) :]
+
+
+class Kept(dict):
+    """Results of ``make`` by argument, forgotten when there are too many."""
+
+    def __init__(self, make: Callable, most: int = 100_000):
+        super().__init__()
+        self._make, self._most = make, most
+
+    def __missing__(self, key):
+        if len(self) >= self._most:
+            self.clear()
+        found = self[key] = self._make(key)
+        return found
+
+
+def spelled_out(found: Stream, at: np.ndarray) -> Stream:
+    """The stream of the units numbered ``at``, from that of different units."""
+    flat, counts = found
+    many = counts[at]
+    return taken(flat, (np.cumsum(counts) - counts)[at], many), many
+
+
 def one_thread() -> None:
     """Keep the tokenizer library to the task's own core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
