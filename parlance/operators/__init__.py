@@ -25,6 +25,7 @@ from parlance.operators.tokens import (
     without_stop_words,
     word_uses,
 )
+from parlance.operators.top_words import most_frequent
 from parlance.operators.topics import (
     TopicModel,
     beta,
@@ -64,6 +65,7 @@ __all__ = [
     "lexicon_use",
     "message_sentiment",
     "message_word_counts",
+    "most_frequent",
     "net_sentiment",
     "ngrams",
     "ngrams_without",

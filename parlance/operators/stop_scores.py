@@ -9,8 +9,9 @@ from parlance.operators.joins import attach
 from parlance.operators.tokens import word_uses
 from parlance.storage import written
 
-# Terms are added up in whole parts of this unit, so that sums do not depend on the order of rows.
+# Terms are added up in whole parts of this unit, and rates as decimals, so that sums do not depend on the order of rows.
 _PARTS = 1e9
+_SHARE = "decimal(38,18)"
 
 
 def word_spread(messages: DataFrame, mode: str = "uax") -> DataFrame:
@@ -39,10 +40,10 @@ def word_spread(messages: DataFrame, mode: str = "uax") -> DataFrame:
         F.sum("messages").alias("messages"),
         F.count("*").alias("groups"),
         F.sum("_terms").alias("_terms"),
-        F.sum(_parts("_rate")).alias("_rates"),
-        F.sum(_parts(F.col("_rate") * F.log("_rate"))).alias("_rate_terms"),
+        F.sum(F.col("_rate").cast(_SHARE)).cast("double").alias("_rates"),
+        F.sum((F.col("_rate") * F.log("_rate")).cast(_SHARE)).cast("double").alias("_rate_terms"),
     )
-    of_groups = _entropy(F.col("_rates") / F.lit(_PARTS), F.col("_rate_terms") / F.lit(_PARTS))
+    of_groups = _entropy(F.col("_rates"), F.col("_rate_terms"))
     of_messages = _entropy(F.col("n").cast("double"), F.col("_terms") / F.lit(_PARTS))
     scored = by_word.select(
         "word", "n", "messages", "groups", _share(of_groups, groups).alias("group_evenness"), _share(of_messages, every).alias("message_evenness")
@@ -63,9 +64,8 @@ def proposed_stop_words(messages: DataFrame, n: int = 100, digits: int = 6, mode
     return top.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "*")
 
 
-def _parts(value: Column | str) -> Column:
-    column = F.col(value) if isinstance(value, str) else value
-    return F.floor(column * F.lit(_PARTS) + F.lit(0.5))
+def _parts(value: Column) -> Column:
+    return F.floor(value * F.lit(_PARTS) + F.lit(0.5))
 
 
 def _entropy(whole: Column, terms: Column) -> Column:

@@ -67,13 +67,15 @@ def fit_topics(
     eta: float = 1.1,
     tolerance: float | None = None,
     estimate_alpha: bool = False,
+    settled: int = 10,
 ) -> TopicModel:
     """Fit ``k`` topics to :func:`message_word_counts`, every word counting, for a vocabulary of any size.
 
     ``alpha`` (50/k + 1) and ``eta`` are the priors of messages and words and must exceed 1. The fit
     takes ``max_iter`` rounds, or fewer if a ``tolerance`` is given: it then ends when a round raises
     the log likelihood by less than that share of it. With ``estimate_alpha`` the messages' prior is
-    fitted to the data, a step a round; ``alpha`` less 1 (50/k), a Dirichlet prior, is then where it starts. Equal counts and settings give equal
+    fitted to the data, a step a round after the first ``settled``; ``alpha`` less 1 (50/k), a Dirichlet prior, is
+    then where it starts. Equal counts and settings give equal
     models. Release the model with :func:`release_topics` when no result of it is read any more.
     """
     counts = written(counts)
@@ -85,7 +87,7 @@ def fit_topics(
     alpha = 50 / k + 1 if alpha is None else alpha
     if alpha <= 1 or eta <= 1:
         raise ValueError(f"alpha and eta must exceed 1, not {alpha} and {eta}")
-    terms, mixed, alphas = fit_by_blocks(cells, k, seed, max_iter, Priors(alpha - 1, eta - 1, estimate_alpha), tolerance)
+    terms, mixed, alphas = fit_by_blocks(cells, k, seed, max_iter, Priors(alpha - 1, eta - 1, settled if estimate_alpha else None), tolerance)
     groups = counts.select(F.col("Message_ID_int").alias("message"), "Group_Name").dropDuplicates(["message"])
     messages = written(
         mixed.join(groups, "message").select(F.col("message").alias("Message_ID_int"), "Group_Name", "weights")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from parlance import operators as op
 from parlance import sources
 from parlance.plans import inputs
-from parlance.storage import written
+from parlance.storage import folder, unscoped, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -33,6 +33,22 @@ def _focus(spark, sf_dir):
     return op.in_group(inputs.messages(spark, sf_dir), inputs.FOCUS_GROUP)
 
 
+@query
+def messages_from_parquet(spark, sf_dir):
+    """The messages as a Parquet table with the other name of the month, read and checked."""
+    path = folder(spark)
+    inputs.messages(spark, sf_dir).withColumnRenamed("Month_Index", "Month_ID_int").write.parquet(path)
+    return sources.read_messages(spark, path)
+
+
+@query
+def messages_from_csv(spark, sf_dir):
+    """The messages as CSV files with a header, bodies with line breaks and quotes among them, read and checked."""
+    path = folder(spark)
+    inputs.messages(spark, sf_dir).write.option("header", True).option("escape", '"').csv(path)
+    return sources.read_messages(spark, path, "csv", multi_line=True)
+
+
 @query
 def tokens(spark, sf_dir):
     return op.tokens(inputs.messages(spark, sf_dir))
@@ -58,6 +74,12 @@ def word_cloud(spark, sf_dir):
     return op.word_cloud(op.count(tokens_clean(spark, sf_dir), "word"))
 
 
+@query
+def word_cloud_by_thresholds(spark, sf_dir):
+    """The same words, found without a shuffle of the whole vocabulary."""
+    return op.most_frequent(tokens_clean(spark, sf_dir))
+
+
 @query
 def sentiment_counts(spark, sf_dir):
     return op.sentiment_counts(tokens_clean(spark, sf_dir), inputs.bing(spark))
@@ -107,6 +129,14 @@ def group_sentiment(spark, sf_dir):
     return op.net_sentiment(_clean(_focus(spark, sf_dir)), inputs.bing(spark))
 
 
+@query
+def stored_group_sentiment(spark, sf_dir):
+    """The same from messages stored by group and month, of which only the group's files are read."""
+    path = folder(spark)
+    sources.store_messages(inputs.messages(spark, sf_dir), path)
+    return op.net_sentiment(_clean(sources.read_stored(spark, path, inputs.FOCUS_GROUP)), inputs.bing(spark))
+
+
 @query
 def group_word_sentiment(spark, sf_dir):
     return op.word_sentiment(_clean(_focus(spark, sf_dir)), inputs.bing(spark))
@@ -221,7 +251,8 @@ def fitted_model(spark, sf_dir, **settings):
     """One fit per application, state of the data and settings, shared by the topic queries."""
     key = (spark.sparkContext.applicationId, inputs.state(spark, sf_dir), *sorted(settings.items()))
     if key not in _models:
-        _models[key] = op.fit_topics(message_word_counts(spark, sf_dir), **settings)
+        with unscoped():
+            _models[key] = op.fit_topics(message_word_counts(spark, sf_dir), **settings)
     return _models[key]
 
 

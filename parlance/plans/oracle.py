@@ -168,10 +168,10 @@ def _next_prior(turn: int, k: int) -> list[str]:
     ]
 
 
-def topic_fit(k: int = TOPICS, seed: int = 1234, rounds: int = 20, eta: float = 1.1, estimate: bool = False) -> str:
+def topic_fit(k: int = TOPICS, seed: int = 1234, rounds: int = 20, eta: float = 1.1, estimate: bool = False, settled: int = 10) -> str:
     """The fit, round by round: tables beta (topic, term, beta) and gamma (Message_ID_int, Group_Name, topic, gamma).
 
-    With ``estimate`` the messages' prior takes a step before each round, and table priors (round, a) lists it.
+    With ``estimate`` the messages' prior takes a step before each round after the first ``settled``, and table priors (round, a) lists it.
     """
     topics = range(1, k + 1)
     for_message, for_word = _number(50 / k + 1 - 1), _number(eta - 1)
@@ -202,7 +202,7 @@ def topic_fit(k: int = TOPICS, seed: int = 1234, rounds: int = 20, eta: float =
             f"totals{turn} AS MATERIALIZED (SELECT {sums} FROM words{turn})",
         ]
         if turn < rounds and estimate:
-            tables += _next_prior(turn + 1, k)
+            tables += _next_prior(turn + 1, k) if turn >= settled else [f"prior{turn + 1} AS MATERIALIZED (FROM prior{turn})"]
             for_message = f"prior{turn + 1}.a"
         if turn < rounds:
             likely = [
@@ -269,16 +269,21 @@ ESTIMATED_SELECTS = {
 }
 
 SELECTS = {
+    "messages_from_parquet": "SELECT * FROM messages",
+    "messages_from_csv": "SELECT * FROM messages",
     "tokens": "SELECT * FROM tokens",
     "tokens_clean": "SELECT * FROM tokens_clean",
     "word_counts": "SELECT * FROM word_counts ORDER BY n DESC, word",
     "frequent_words": "SELECT word, n, row_number() OVER (ORDER BY n, word) AS ord FROM word_counts WHERE n > 1500",
     "word_cloud": "SELECT * FROM word_counts WHERE n >= 3 ORDER BY n DESC, word LIMIT 500",
+    "word_cloud_by_thresholds": "SELECT * FROM word_counts WHERE n >= 3 ORDER BY n DESC, word LIMIT 500",
     "sentiment_counts": "SELECT * FROM sentiment_counts",
     "sentiment_by_group_month": "SELECT *, positive - negative AS sentiment FROM net",
     "sentiment_spread": "SELECT *, positive - negative AS sentiment FROM net",
     "group_sentiment": f"""
         SELECT *, positive - negative AS sentiment FROM net WHERE Group_Name = {_text(FOCUS_GROUP)}""",
+    "stored_group_sentiment": f"""
+        SELECT *, positive - negative AS sentiment FROM net WHERE Group_Name = {_text(FOCUS_GROUP)}""",
     "group_word_sentiment": "SELECT * FROM group_word_sentiment ORDER BY n DESC, word, sentiment",
     "sentiment_top_terms": """
         SELECT word, sentiment, n, "rank", dense_rank() OVER (ORDER BY mean, word) AS ord
@@ -307,7 +312,8 @@ SELECTS = {
         totals AS (SELECT Group_Name, sum(n) AS whole FROM counts GROUP BY ALL),
         by_word AS (
           SELECT word, sum(n) AS n, CAST(sum(messages) AS BIGINT) AS messages, count(*) AS groups, sum(terms) / 1e9 AS terms,
-                 sum({_parts('rate')}) / 1e9 AS rates, sum({_parts('rate * ln(rate)')}) / 1e9 AS rate_terms
+                 CAST(sum(CAST(rate AS DECIMAL(38, 18))) AS DOUBLE) AS rates,
+                 CAST(sum(CAST(rate * ln(rate) AS DECIMAL(38, 18))) AS DOUBLE) AS rate_terms
           FROM (SELECT c.*, n / whole AS rate FROM counts c JOIN totals t ON c.Group_Name IS NOT DISTINCT FROM t.Group_Name) GROUP BY word),
         spread AS (
           SELECT word, CAST(n AS BIGINT) AS n, messages, groups,

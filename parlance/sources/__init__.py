@@ -8,6 +8,7 @@ from parlance.sources.lexicons import (
     stop_words,
 )
 from parlance.sources.messages import MESSAGES, as_messages, read_messages, spread_out
+from parlance.sources.store import read_stored, store_messages
 
 __all__ = [
     "CUSTOM_WORDS",
@@ -19,6 +20,8 @@ __all__ = [
     "lookup_table",
     "read_lexicon",
     "read_messages",
+    "read_stored",
     "spread_out",
     "stop_words",
+    "store_messages",
 ]

@@ -1,13 +1,84 @@
-"""Intermediate results kept in the folder that all executors share."""
+"""Intermediate results kept in the folder that all executors share, and who deletes them.
+
+An operator writes what it reads more than once, and its result goes on reading some of those tables, so
+the operator cannot delete them. A :class:`Scope` can: it holds every table written inside it, and
+deletes them when the caller has written the result::
+
+    with storage.Scope():
+        op.bind_tf_idf(counts).write.parquet(path)
+"""
 
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+_scope: ContextVar[Scope | None] = ContextVar("scope", default=None)
+
+
+class Scope:
+    """Tables written while it is entered (in the same thread), deleted when it is left, or at :meth:`release`.
+
+    Tables that are released before are forgotten. Scopes nest: a table belongs to the innermost one.
+    """
+
+    def __init__(self):
+        self._tables: dict[str, DataFrame] = {}
+        self._entered: list = []
+
+    def __enter__(self) -> Scope:
+        self._entered.append(_scope.set(self))
+        return self
+
+    def __exit__(self, *error) -> None:
+        _scope.reset(self._entered.pop())
+        self.release()
+
+    @contextmanager
+    def open(self):
+        """Hold what is written inside, and keep it until :meth:`release`: for results that are read later."""
+        token = _scope.set(self)
+        try:
+            yield self
+        finally:
+            _scope.reset(token)
+
+    @property
+    def tables(self) -> list[DataFrame]:
+        return list(self._tables.values())
+
+    def release(self) -> None:
+        release(*self.tables)
+
+    def hold(self, table: DataFrame) -> None:
+        self._tables[table.written_path] = table
+        table.written_scope = self
+
+    def forget(self, path: str) -> None:
+        self._tables.pop(path, None)
+
+
+@contextmanager
+def unscoped():
+    """Tables written inside belong to no scope: for models that outlive the query that makes them."""
+    token = _scope.set(None)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+
+
+def _held(table: DataFrame) -> DataFrame:
+    if (scope := _scope.get()) is not None:
+        scope.hold(table)
+    return table
+
+
 def written(rows: DataFrame, schema: StructType | None = None, path: str | None = None) -> DataFrame:
     """Compute ``rows`` once into a table in the checkpoint folder, and read it from there ever after.
 
@@ -21,7 +92,7 @@ def written(rows: DataFrame, schema: StructType | None = None, path: str | None
     rows.write.mode("overwrite").parquet(path)
     table = spark.read.schema(schema or rows.schema).parquet(path)
     table.written_path = path
-    return table
+    return _held(table)
 
 
 def bucketed(rows: DataFrame, key: str, buckets: int) -> DataFrame:
@@ -36,7 +107,7 @@ def bucketed(rows: DataFrame, key: str, buckets: int) -> DataFrame:
     writer.option("path", path).saveAsTable(name)
     table = spark.table(name)
     table.written_path, table.written_name = path, name
-    return table
+    return _held(table)
 
 
 def release(*tables: DataFrame) -> None:
@@ -45,12 +116,21 @@ def release(*tables: DataFrame) -> None:
         path = getattr(table, "written_path", None)
         if (name := getattr(table, "written_name", None)) is not None:
             table.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+        if (scope := getattr(table, "written_scope", None)) is not None:
+            scope.forget(path)
         if path is not None:
             context = table.sparkSession.sparkContext
             place = context._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def folder(spark: SparkSession) -> str:
+    """A new path in the checkpoint folder for files that are not a table of :func:`written`; a scope deletes it, too."""
+    place = spark.range(0)
+    place.written_path = table_path(spark)
+    return _held(place).written_path
+
+
 def table_path(spark: SparkSession) -> str:
     return f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
 

@@ -10,6 +10,7 @@ from support import BODIES  # noqa: E402
 from parlance.session import local_session  # noqa: E402
 from parlance.sources import LEXICONS, as_messages, custom_stop_words, lookup_table  # noqa: E402
 
+
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(4, memory="6g", app="parlance-tests")

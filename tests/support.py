@@ -1,5 +1,7 @@
 """What the test modules share beside the fixtures; a conftest is no place to import from."""
 
+from parlance import storage
+
 BODIES = [
     (1, 1, "A", "I work here. I can't work!"),
     (2, 1, "A", "Good good bad"),
@@ -11,6 +13,13 @@ BODIES = [
 ]
 
 
+def tables(spark):
+    """Names of what lies in the checkpoint folder."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(storage.checkpoint_folder(spark))
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {str(status.getPath().getName()) for status in system.listStatus(folder)}
+
+
 def rows(df):
     """Rows as a sorted list of tuples, nulls first."""
     return sorted((tuple(row) for row in df.collect()), key=lambda row: [(v is not None, v) for v in row])

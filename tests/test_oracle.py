@@ -7,7 +7,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
-from parlance.plans import oracle_queries
+from parlance import storage
+from parlance.plans import analyses, oracle_queries
+from support import tables
 
 SF = os.environ.get("PARLANCE_TEST_SF", "/root/testdata/sf0.001")
 
@@ -20,9 +22,23 @@ def duck():
     return connection
 
 
+def models(spark):
+    """Tables of the topic models, which outlive the queries that read them."""
+    return {place(table.written_path) for model in analyses._models.values() for table in (model.terms, model.messages)}
+
+
+def place(path):
+    return path.rsplit("/", 1)[-1]
+
+
 @pytest.mark.parametrize("name", list(oracle_queries()))
 def test_same_rows(spark, duck, name):
-    found = driver.queries()[name](spark, SF).toArrow()
+    before = tables(spark)
+    with storage.Scope() as scope:
+        found = driver.queries()[name](spark, SF).toArrow()
+    assert not scope.tables
+    left = tables(spark) - models(spark)
+    assert not left - before, "the query's tables are gone with its scope"
     expected = duck.sql(driver.oracle_sql()[name]).to_arrow_table()
     assert sorted(found.column_names) == sorted(expected.column_names)
     columns = sorted(found.column_names)

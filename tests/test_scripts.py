@@ -1,0 +1,54 @@
+"""Words of scripts that are written without spaces, beside those that are not."""
+
+import duckdb
+import pytest
+
+from parlance.operators import tokens
+from parlance.plans.oracle import COMMON
+
+# one line per case: text and its words
+CASES = [
+    ("Hello, World", ["hello", "world"]),
+    ("日本語 学", ["日", "本", "語", "学"]),
+    ("これはペンです", ["こ", "れ", "は", "ペン", "で", "す"]),
+    ("カタカナ・テスト ｶﾀｶﾅ", ["カタカナ", "テスト", "ｶﾀｶﾅ"]),
+    ("コーヒーを2杯", ["コーヒー", "を", "2", "杯"]),
+    ("한국어 문장", ["한국어", "문장"]),
+    ("Привет, мир", ["привет", "мир"]),
+    ("مرحبا بالعالم", ["مرحبا", "بالعالم"]),
+    ("नमस्ते दुनिया", ["नमस्ते", "दुनिया"]),
+    ("ภาษาไทย ๑๒", ["ภ", "า", "ษ", "า", "ไ", "ท", "ย", "๑๒"]),
+    ("ที่", ["ที่"]),
+    ("ພາສາ", ["ພ", "າ", "ສ", "າ"]),
+    ("abc日本def", ["abc", "日", "本", "def"]),
+    ("a.日 b.c", ["a", "日", "b.c"]),
+    ("x_日_カ _ _1", ["x_", "日", "カ", "_1"]),
+    ("か\u3099き", ["か\u3099", "き"]),
+    ("www.例え.com", ["www", "例", "え", "com"]),
+]
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    rows = [(at, 1, "g", text) for at, (text, _) in enumerate(CASES)]
+    return spark.createDataFrame(rows, "Message_ID_int long, Month_Index int, Group_Name string, Message_Body string")
+
+
+def by_message(found):
+    words = {}
+    for row in found:
+        words.setdefault(row[0], []).append(row[1])
+    return [words.get(at, []) for at in range(len(CASES))]
+
+
+def test_words_by_script(table):
+    found = tokens(table.coalesce(1)).select("Message_ID_int", "word").collect()
+    assert by_message(found) == [words for _, words in CASES]
+
+
+def test_the_same_words_in_sql(table):
+    duck = duckdb.connect()
+    documents = table.selectExpr("Message_ID_int AS doc_id", "Group_Name AS source", "Message_Body AS text").toArrow()
+    duck.register("documents", documents)
+    found = duck.sql(COMMON + "SELECT Message_ID_int, unnest(ws), generate_subscripts(ws, 1) AS at FROM texts ORDER BY 1, 3").fetchall()
+    assert by_message(found) == [words for _, words in CASES]

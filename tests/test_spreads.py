@@ -1,0 +1,126 @@
+"""Spreading over found labels, stop-word proposals, agreement of labellings."""
+
+import math
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from support import rows
+
+from parlance.operators import agreement, labels_of, proposed_stop_words, spread_found, word_spread
+
+
+@pytest.fixture(scope="module")
+def long_table(spark):
+    table = [("A", "joy", 2), ("A", "fear", 1), ("B", None, 4), (None, "joy", 3), (None, "", 5)]
+    return spark.createDataFrame(table, "g string, label string, n long")
+
+
+def test_found_labels_become_columns_in_order(long_table):
+    wide = spread_found(long_table, "label", "n")
+    assert wide.columns == ["g", "", "fear", "joy", "NA"]
+    assert rows(wide) == [(None, 5, 0, 3, 0), ("A", 0, 1, 2, 0), ("B", 0, 0, 0, 4)]
+    assert labels_of(long_table, "label") == ["", "fear", "joy", None]
+
+
+def test_too_many_labels_fail(long_table):
+    with pytest.raises(ValueError, match="more than 3 different values"):
+        spread_found(long_table, "label", "n", most=3)
+    assert len(spread_found(long_table, "label", "n", most=4).columns) == 5
+
+
+def test_labels_that_are_columns_already_fail(spark, long_table):
+    with pytest.raises(ValueError, match="columns of their own: joy"):
+        spread_found(long_table, "label", "n", null_label="joy")
+    clash = spark.createDataFrame([("A", "g", 1)], "g string, label string, n long")
+    with pytest.raises(ValueError, match="columns of their own: g"):
+        spread_found(clash, "label", "n")
+
+
+def test_no_rows_spread_to_no_columns(long_table):
+    assert spread_found(long_table.where("false"), "label", "n").columns == ["g"]
+
+
+def brute_spread(messages):
+    """word -> (n, messages, groups, group evenness, message evenness)."""
+    uses, sizes = Counter(), Counter()
+    for at, (group, text) in enumerate(messages):
+        for word in (text or "").split():
+            uses[word, group, at] += 1
+            sizes[group] += 1
+    of_word = defaultdict(list)
+    for (word, group, _), n in uses.items():
+        of_word[word].append((group, n))
+    found = {}
+    for word, some in of_word.items():
+        n = sum(x for _, x in some)
+        in_group = Counter()
+        for group, x in some:
+            in_group[group] += x / sizes[group]
+        rate = sum(in_group.values())
+        of_groups = -sum(r / rate * math.log(r / rate) for r in in_group.values())
+        of_messages = -sum(x / n * math.log(x / n) for _, x in some)
+        evenness = of_groups / math.log(len(sizes)) if len(sizes) > 1 else 1.0
+        found[word] = (n, len(some), len(in_group), evenness, of_messages / math.log(len(messages)))
+    return found
+
+
+def test_word_spread_matches_brute_force(spark, either_join):
+    draw = random.Random(8)
+    messages = []
+    for at in range(300):
+        group = "big" if at % 3 else draw.choice(["x", "y", None, ""])
+        words = ["the"] * draw.randint(1, 3) + [f"w{int(draw.paretovariate(0.6)) % 50}" for _ in range(draw.randint(0, 12))]
+        if group == "x":
+            words += ["only"] * 4
+        messages.append((group, " ".join(words) if at % 50 else None))
+    table = spark.createDataFrame(
+        [(at, 1, group, text) for at, (group, text) in enumerate(messages)],
+        "Message_ID_int long, Month_Index int, Group_Name string, Message_Body string",
+    )
+    expected = brute_spread(messages)
+    found = {row["word"]: row for row in word_spread(table).collect()}
+    assert set(found) == set(expected)
+    for word, (n, many, groups, of_groups, of_messages) in expected.items():
+        row = found[word]
+        assert (row["n"], row["messages"], row["groups"]) == (n, many, groups)
+        assert row["group_evenness"] == pytest.approx(of_groups, abs=1e-7)
+        assert row["message_evenness"] == pytest.approx(of_messages, abs=1e-7)
+        assert row["score"] == pytest.approx(of_groups * of_messages, abs=1e-7)
+    top = proposed_stop_words(table, 5).collect()
+    assert [row["rank"] for row in top] == [1, 2, 3, 4, 5] and top[0]["word"] == "the"
+    assert "only" not in {row["word"] for row in top}
+
+
+def test_no_messages_propose_nothing(messages):
+    assert proposed_stop_words(messages.where("false")).collect() == []
+
+
+def brute_agreement(pairs):
+    n = len(pairs)
+    cells, first, second = Counter(pairs), Counter(a for a, _ in pairs), Counter(b for _, b in pairs)
+    same = sum(x * (x - 1) / 2 for x in cells.values())
+    in_first, in_second = (sum(x * (x - 1) / 2 for x in side.values()) for side in (first, second))
+    expected, most = in_first * in_second / (n * (n - 1) / 2), (in_first + in_second) / 2
+    information = sum(x / n * math.log(x * n / (first[a] * second[b])) for (a, b), x in cells.items())
+    entropies = [-sum(x / n * math.log(x / n) for x in side.values()) for side in (first, second)]
+    purity = sum(max(x for (a, _), x in cells.items() if a == one) for one in first) / n
+    return n, purity, (same - expected) / (most - expected), information, information / (sum(entropies) / 2)
+
+
+@pytest.mark.parametrize("noise", [0.0, 0.3, 1.0])
+def test_agreement_matches_brute_force(spark, noise):
+    draw = random.Random(2)
+    pairs = []
+    for _ in range(500):
+        topic = draw.randrange(6)
+        pairs.append((topic, draw.choice(["a", "b", None]) if draw.random() < noise else [None, "a", "b", "c", "d", "e"][topic]))
+    table = [(a, b, n) for (a, b), n in Counter(pairs).items()]
+    found = agreement(spark.createDataFrame(table, "topic int, Group_Name string, n long")).first()
+    assert tuple(found) == pytest.approx(brute_agreement(pairs), abs=1e-9)
+
+
+def test_agreement_of_one_label_and_of_nothing(spark):
+    one = spark.createDataFrame([(1, "a", 5)], "topic int, Group_Name string, n long")
+    assert tuple(agreement(one).first()) == pytest.approx((5, 1.0, 1.0, 0.0, 1.0), abs=1e-9)
+    assert tuple(agreement(one.where("false")).first()) == (0, None, None, None, None)

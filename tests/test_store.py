@@ -1,0 +1,52 @@
+"""Messages stored by group and month: whole, and pruned when one group is read."""
+
+import re
+
+import pytest
+from support import rows
+from pyspark.sql import functions as F
+
+from parlance.sources import read_messages, read_stored, store_messages
+
+ODD = [
+    (1, 1, "A", "one"), (2, 2, "A", None), (3, 1, None, "three"), (4, None, "", "four"), (5, 3, "null", "five"),
+    (6, 3, "a/b=c %", "six"), (7, 3, "x" * 300, "seven"), (8, 3, "x" * 301, "eight"), (9, 12, "01", "nine"), (10, 1, "g-A", ""),
+]
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("store") / "messages")
+    messages = spark.createDataFrame(ODD, "Message_ID_int long, Month_Index int, Group_Name string, Message_Body string")
+    store_messages(messages, path)
+    return path
+
+
+def test_all_messages_come_back(spark, stored):
+    assert rows(read_stored(spark, stored)) == rows(spark.createDataFrame(ODD, read_stored(spark, stored).schema))
+
+
+@pytest.mark.parametrize("group", [row[2] for row in ODD])
+def test_one_group(spark, stored, group):
+    expected = [row[0] for row in ODD if row[2] == group]
+    assert sorted(row[0] for row in read_stored(spark, stored, group).collect()) == expected
+
+
+def test_only_the_groups_folders_are_read(spark, stored):
+    found = read_stored(spark, stored, "A", months=[2])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    filters = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters", plan).group(1)
+    assert "in_group" in filters and "in_month" in filters
+    assert [row[0] for row in found.collect()] == [2]
+    folders = {"/".join(row[0].split("/")[-3:-1]) for row in read_stored(spark, stored, "A").select(F.input_file_name()).collect()}
+    assert folders == {"in_group=g-A/in_month=1", "in_group=g-A/in_month=2"}
+    read = read_stored(spark, stored, "A")
+    read.collect()
+    files = read._jdf.queryExecution().executedPlan().collectLeaves().head()
+    files = files.executedPlan().collectLeaves().head() if "Adaptive" in files.getClass().getName() else files
+    assert files.metrics().apply("numFiles").value() == 2
+
+
+def test_the_reader_takes_the_other_name_of_the_month(spark, tmp_path):
+    spark.createDataFrame(ODD, "Message_ID_int long, Month_ID_int int, Group_Name string, Message_Body string").write.parquet(str(tmp_path / "p"))
+    assert read_messages(spark, str(tmp_path / "p")).columns == ["Message_ID_int", "Month_Index", "Group_Name", "Message_Body"]

@@ -1,0 +1,61 @@
+"""Most frequent words by thresholds: the same rows as by counting everything."""
+
+import random
+
+import pytest
+
+from parlance.operators import count, most_frequent, word_cloud
+from parlance.operators import top_words
+
+
+@pytest.fixture(scope="module")
+def uses(spark):
+    """Words in tasks of very different make: some words in one task only, many rare ones in all."""
+    draw = random.Random(6)
+    rows = []
+    for task in range(6):
+        rows += [(task, f"common{int(draw.paretovariate(0.7)) % 40}") for _ in range(600)]
+        rows += [(task, f"own{task}")] * (40 * task)
+        rows += [(task, f"rare{draw.randrange(5000)}") for _ in range(300)]
+        rows += [(task, None)] * 25 + [(task, "")] * 20
+    return spark.createDataFrame(rows, "task int, word string").repartition(6, "task").select("word").cache()
+
+
+@pytest.mark.parametrize("most", [1, 3, 20, 100, 100_000])
+@pytest.mark.parametrize("least", [1, 3, 50])
+def test_same_rows_as_counting_everything(uses, most, least):
+    expected = word_cloud(count(uses, "word"), most, least).collect()
+    assert most_frequent(uses, most, least).collect() == expected
+
+
+def test_merging_within_a_task(uses, monkeypatch):
+    expected = word_cloud(count(uses, "word"), 50, 1).collect()
+    monkeypatch.setattr(top_words, "_MERGE_ROWS", 10)
+    assert most_frequent(uses, 50, 1).collect() == expected
+
+
+def test_equal_counts_go_by_word(spark):
+    words = spark.createDataFrame([(f"w{at % 30:02}",) for at in range(300)], "word string").repartition(4)
+    found = [row["word"] for row in most_frequent(words, 7).collect()]
+    assert found == [f"w{at:02}" for at in range(7)]
+
+
+def test_no_words(uses):
+    assert most_frequent(uses.where("false")).collect() == []
+    with pytest.raises(ValueError, match="at least 1"):
+        most_frequent(uses, 0)
+
+
+def test_rows_added_up_do_not_grow_with_the_vocabulary(spark):
+    def shuffled(rare):
+        rows = [(f"c{at % 20}",) for at in range(20_000)] + [(f"r{at}",) for at in range(rare)]
+        words = spark.createDataFrame(rows, "word string").repartition(4).cache()
+        local = top_words.local_counts(words, 10).cache()
+        tasks, counts = 4, local.count()
+        first = local.where("top").count()
+        share = -(-top_words._last(local.where("top").groupBy("word").sum("n").withColumnRenamed("sum(n)", "n"), "n", 10) // tasks)
+        return counts, first + local.where(f"n >= {share}").count()
+
+    few, few_rows = shuffled(1_000)
+    many, many_rows = shuffled(50_000)
+    assert many > 10 * few and many_rows == few_rows
