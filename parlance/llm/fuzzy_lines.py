@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from parlance.llm.links import close_pairs, forest, groups, linked, spread
 from parlance.llm.near_texts import majority
 from parlance.llm.tables import slices, whole_row
-from parlance.storage import release, written
+from parlance.storage import bucketed, release, written
 
 LEAST_WORDS = 5
 MOST_BITS = 3
@@ -39,13 +39,15 @@ def normalised(text: str) -> list[list[bytes]]:
     return [line.split() for line in text.lower().encode().translate(_PLAIN).split(b"\n")]
 
 
-def numbered(docs: DataFrame, key: str, text: str, whole: bool = False) -> DataFrame:
-    """(number, doc, text) of each row, written once: ``number`` is the row's own, ``doc`` the key, or the largest long if that is null.
+def numbered(docs: DataFrame, key: str) -> DataFrame:
+    """(number, doc, row) of each row, written once: ``number`` is the row's own, ``doc`` the key, or the largest long if that is null.
 
-    With ``whole`` there is the column ``row`` of all columns instead of the text.
+    ``row`` has all columns. Rows lie in buckets by number, so that what is found about them, which is
+    narrow, comes to them and no text is shuffled again.
     """
     number = F.monotonically_increasing_id().alias("number")
-    return written(docs.select(number, _key_or_last(key).alias("doc"), whole_row(docs) if whole else F.col(text).alias("text")))
+    rows = docs.select(number, _key_or_last(key).alias("doc"), whole_row(docs))
+    return bucketed(rows, "number", int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def lines_of(rows: DataFrame) -> DataFrame:
@@ -193,8 +195,8 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     words always stay. The first occurrence is that of the smallest key (null last), row and line;
     rows that share a key, or have none, each keep and lose lines of their own.
     """
-    rows = numbered(docs, key, text)
-    found = _removed(rows)
+    rows = numbered(docs.select(F.col(key), F.col(text)), key)
+    found = _removed(rows.select("number", "doc", F.col("row").getField(text).alias("text")))
     release(rows)
     return found
 
@@ -257,7 +259,7 @@ def _texts_of(members: DataFrame, rows: DataFrame) -> DataFrame:
                         out["words"].append(b" ".join(normalised(lines[member["line"]])[0]))
                 yield pa.RecordBatch.from_arrays([pa.array(out[name], kind) for name, kind in types.items()], names=list(types))
 
-    found = rows.join(per_row, "number").select("text", "members")
+    found = rows.join(per_row.hint("shuffle_hash"), "number").select("text", "members")
     return found.mapInArrow(read, "block long, id long, print long, words binary")
 
 
@@ -266,9 +268,10 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     All other columns stay as they are.
     """
-    own = numbered(docs, key, text, whole=True)
+    own = numbered(docs, key)
     found = _removed(own.select("number", "doc", F.col("row").getField(text).alias("text")))
-    rows = own.join(found.select("number", F.transform("removed", lambda r: r["line"]).alias("gone")), "number", "left")
+    gone = found.select("number", F.transform("removed", lambda r: r["line"]).alias("gone"))
+    rows = own.join(gone.hint("shuffle_hash"), "number", "left")
     numbers = F.array_except(F.sequence(F.lit(0), F.size("lines") - F.lit(1)), F.col("gone"))
     left = F.array_join(F.transform(numbers, lambda i: F.get(F.col("lines"), i)), "\n")
     texts = (
@@ -284,7 +287,7 @@ def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     A null text has no lines; an empty one has one. See :func:`repeated_lines` for keys.
     """
-    rows = numbered(docs.select(F.col(key), F.col(text)), key, text, whole=True)
+    rows = numbered(docs.select(F.col(key), F.col(text)), key)
     body = F.col("row").getField(text)
     removed = _removed(rows.select("number", "doc", body.alias("text")))
     n_lines = F.coalesce(F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + F.lit(1), F.lit(0)).cast("long")

@@ -3,7 +3,8 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from parlance.llm import alike_texts
+from parlance.llm.near_texts import fingerprints
+from support import tables
 
 
 def words(seed, n=60):
@@ -23,15 +24,6 @@ def test_one_row_of_each_group_stays(spark):
     assert left(spark, rows) == sorted([(1, a), (7, b), (8, d), (None, c)], key=str)
 
 
-def runs(text):
-    split = text.lower().split()
-    return {" ".join(split[i : i + 5]) for i in range(max(len(split) - 4, 1))}
-
-
-def similarity(a, b):
-    return len(runs(a) & runs(b)) / len(runs(a) | runs(b))
-
-
 def edited(draw, text, most):
     split = text.split()
     for _ in range(draw.randrange(most + 1)):
@@ -39,7 +31,7 @@ def edited(draw, text, most):
     return " ".join(split)
 
 
-def test_near_copies_by_jaccard_of_all_pairs(spark):
+def test_groups_are_those_of_the_fingerprints(spark):
     draw = random.Random(4)
     rows = []
     for group in range(25):
@@ -47,33 +39,24 @@ def test_near_copies_by_jaccard_of_all_pairs(spark):
         rows += [(len(rows) + i, edited(draw, base, max(len(base.split()) // 40, 1))) for i in range(8)]
     draw.shuffle(rows)
     texts = dict(rows)
+    prints = dict(zip(texts, fingerprints(list(texts.values())).view(np.uint64).tolist(), strict=True))
     label = {k: k for k in texts}
-    far = 0
-    prints = dict(zip(texts, corpus_prints(list(texts.values()))))
     for i in texts:
         for j in texts:
-            if i < j and similarity(texts[i], texts[j]) >= 0.8:
-                far += (prints[i] ^ prints[j]).bit_count() > 4
+            if i < j and (prints[i] ^ prints[j]).bit_count() <= 4:
                 low, high = sorted((label[i], label[j]))
                 label = {k: low if x == high else x for k, x in label.items()}
-    assert far > 50  # near copies that the fingerprints of op2 tell apart
+    assert 0 < sum(label[k] != k for k in label)
     assert left(spark, rows) == sorted(((k, t) for k, t in rows if label[k] == k), key=str)
 
 
-def corpus_prints(texts):
-    from parlance.llm.near_texts import fingerprints
-
-    return fingerprints(texts).view(np.uint64).tolist()
-
-
-def test_lists_miss_hardly_a_pair():
-    draw = random.Random(5)
-    met = pairs = 0
-    for seed in range(400):
-        base = words(seed, 200)
-        other = edited(draw, base, 6)
-        if 0.8 <= similarity(base, other) < 0.9:
-            pairs += 1
-            names = alike_texts.band_names([alike_texts.shingles(base), alike_texts.shingles(other)])
-            met += bool((names[0] == names[1]).any())
-    assert pairs > 50 and met == pairs
+def test_tables_of_a_stage_go_when_the_next_is_called(spark, documents):
+    before = tables(spark)
+    first = corpus_pipeline.without_repeated_lines(spark, documents, "")
+    held = tables(spark) - before
+    assert held and first.count() > 0
+    second = corpus_pipeline.one_of_near_copies(spark, documents, "")
+    assert not held & tables(spark) and second.count() > 0
+    corpus_pipeline.at_target_weights(spark, documents.limit(0), "").count()
+    corpus_pipeline._behind.pop(spark.sparkContext.applicationId).release()
+    assert not tables(spark) - before
