@@ -1,10 +1,13 @@
 """Language by cross-parsing: the language whose text needs the fewest phrases to spell a document.
 
 For each language a suffix automaton is built over a bounded sample of labelled text. A document is
-parsed from left to right into the longest phrases that occur in that sample (Ziv and Merhav's
-cross-parsing); phrases over length estimates the cross entropy, and the smallest wins.
+parsed from left to right, from its start to its end, into the longest phrases that occur in that
+sample (Ziv and Merhav's cross-parsing). In a longer sample phrases are longer, by its logarithm, so
+phrases times the logarithm of the sample's length estimate the cross entropy, and the smallest wins.
 
 Automata are walked for all documents of a batch and all languages at once, one step per position.
+The moves of a language's most frequent letters are a table; those of all other letters of its sample,
+of which a large script has thousands, are a sorted list that is searched.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +29,12 @@ from parlance.llm.tables import slices
 SAMPLE_TEXTS = 50
 SAMPLE_CHARS = 800
 MOST_LANGUAGES = 100
-LETTERS_KEPT = 200
-SEGMENT = 1024
+# Letters of a language whose moves are in its table; the others' are in its list, to the same effect.
+TABLE_LETTERS = 64
+BATCH = 8_000_000
 UNKNOWN_LANGUAGE = "und"
 HELD_OUT = 2
+_PARTS = 64
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -38,49 +44,74 @@ def held_out(key: str = "doc_id") -> Column:
 
 @dataclass
 class Automata:
-    """Languages in alphabetic order and their automata in one table.
-
-    ``classes`` maps a code point to its column: 0 for anything but a letter, ``width - 1`` for a
-    letter that no sample has. An entry of ``table`` is twice the place of the next state's row,
-    plus 1 if the character starts a new phrase. ``roots`` are the places of the first states.
+    """Languages in alphabetic order and their automata.
+
+    ``classes`` numbers the letters of all samples by code point: 0 for anything but a letter,
+    ``unknown`` for a letter that no sample has. ``columns`` has a row per language: the column of
+    its table for each number; the last column but one is for letters that its sample lacks, the last
+    for letters that its list has. An entry of a table is twice the place of the next state's row, plus 1
+    if the letter starts a new phrase; places count from the language's part of ``table``, which
+    starts at ``base``. ``listed`` has per language the sorted keys (state's place times ``unknown``
+    plus 1, plus the letter) of its list, ``moves`` their entries, and ``fresh`` per number the entry
+    from the first state. ``scale`` is the logarithm of each sample's length.
     """
 
     languages: list[str]
     classes: np.ndarray
-    width: int
+    unknown: int
+    columns: np.ndarray
     table: np.ndarray
-    roots: np.ndarray
+    base: np.ndarray
+    widths: np.ndarray
+    listed: list[np.ndarray]
+    moves: list[np.ndarray]
+    fresh: list[np.ndarray]
+    scale: np.ndarray
 
     def folded(self, text: str) -> np.ndarray:
-        """Columns of the lower-cased text, each run of characters that are no letters made one."""
-        codes = np.frombuffer(text.lower().encode("utf-32-le"), dtype=np.uint32)
-        found = self.classes[codes]
-        keep = np.ones(len(found), dtype=bool)
-        keep[1:] = (found[1:] != 0) | (found[:-1] != 0)
-        return found[keep]
+        """Numbers of the letters of the lower-cased text, each run of characters that are no letters made one."""
+        return _folded(self.classes, text)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each text (rows) in each language; long texts are parsed in segments."""
-        parts = [(at, t[i : i + SEGMENT]) for at, t in enumerate(texts) for i in range(0, len(t), SEGMENT)]
-        parts.sort(key=lambda part: -len(part[1]))
-        owner = np.array([at for at, _ in parts], dtype=np.int64)
-        lengths = np.array([len(t) for _, t in parts], dtype=np.int64)
+        """Phrases of each text (rows) in each language."""
+        lengths = np.array([len(t) for t in texts], dtype=np.int64)
         total = np.zeros((len(texts), len(self.languages)), dtype=np.int64)
-        if not len(parts):
+        if not len(texts) or not lengths.max():
             return total
-        columns = np.zeros((int(lengths[0]), len(parts)), dtype=np.int32)
-        for i, (_, t) in enumerate(parts):
-            columns[: len(t), i] = t
-        state = np.repeat(self.roots[:, None], len(parts), axis=1)
-        starts = np.zeros(state.shape, dtype=np.int32)
-        going = np.searchsorted(-lengths, -np.arange(1, int(lengths[0]) + 1), side="right")
+        order = np.argsort(-lengths, kind="stable")
+        letters = np.concatenate([texts[at] for at in order])
+        starts = np.cumsum(lengths[order]) - lengths[order]
+        rare = np.array([(self.columns[:, number] == self.widths - 1).any() for number in range(self.unknown + 1)])
+        base = self.base[:, None]
+        state = np.zeros((len(self.languages), len(texts)), dtype=np.int64)
+        found = np.zeros(state.shape, dtype=np.int64)
+        going = np.searchsorted(-lengths[order], -np.arange(1, int(lengths.max()) + 1), side="right")
         for step, n in enumerate(going.tolist()):
-            entry = self.table.take(state[:, :n] + columns[step, :n])
-            starts[:, :n] += entry & 1
+            now = letters[starts[:n] + step]
+            entry = self.table.take(base + state[:, :n] + self.columns[:, now])
+            if rare[now].any():
+                self._search(entry, state[:, :n], now)
+            found[:, :n] += entry & 1
             state[:, :n] = entry >> 1
-        np.add.at(total, owner, starts.T)
+        total[order] = found.T
         return total
 
+    def _search(self, entry: np.ndarray, state: np.ndarray, now: np.ndarray) -> None:
+        """Put in the entries of letters that are in a language's list."""
+        for at, (keys, moves, fresh) in enumerate(zip(self.listed, self.moves, self.fresh, strict=True)):
+            some = np.flatnonzero(self.columns[at, now] == self.widths[at] - 1)
+            if len(some):
+                wanted = state[at, some] * (self.unknown + 1) + now[some]
+                place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                entry[at, some] = np.where(keys[place] == wanted, moves[place], fresh[now[some]])
+
+
+def _folded(classes: np.ndarray, text: str) -> np.ndarray:
+    found = classes[np.frombuffer(text.lower().encode("utf-32-le"), dtype=np.uint32)]
+    keep = np.ones(len(found), dtype=bool)
+    keep[1:] = (found[1:] != 0) | (found[:-1] != 0)
+    return found[keep]
+
 
 def suffix_automaton(sequence: list[int]) -> list[dict[int, int]]:
     """Transitions of the automaton of all substrings; state 0 is the first."""
@@ -113,38 +144,77 @@ def suffix_automaton(sequence: list[int]) -> list[dict[int, int]]:
     return following
 
 
-def build(samples: dict[str, list[str]]) -> Automata:
+Samples = tuple[tuple[str, tuple[str, ...]], ...]
+
+
+def sampled(samples: dict[str, list[str]]) -> Samples:
+    return tuple((language, tuple(texts)) for language, texts in sorted(samples.items()))
+
+
+@lru_cache(maxsize=1)
+def _is_letter() -> np.ndarray:
+    return np.array([chr(code).isalpha() for code in range(0x110000)])
+
+
+@lru_cache(maxsize=2)
+def build(samples: Samples) -> Automata:
     """Automata of the sampled texts of each language; texts are kept apart by a sign of their own."""
-    lowered = {language: [text.lower() for text in texts] for language, texts in sorted(samples.items())}
-    letters = Counter(c for texts in lowered.values() for text in texts for c in text if c.isalpha())
-    known = sorted(letters, key=lambda c: (-letters[c], c))[:LETTERS_KEPT]
-    # columns: 0 no letter, then the known letters, a border between texts, a letter unknown
-    border, width = len(known) + 1, len(known) + 3
-    classes = np.zeros(0x110000, dtype=np.uint8)
-    classes[[c for c in range(0x110000) if chr(c).isalpha()]] = width - 1
-    for column, c in enumerate(known, 1):
-        classes[ord(c)] = column
-    empty = Automata([], classes, width, np.empty(0, np.int32), np.empty(0, np.int32))
-    tables, roots, rows = [], [], 0
-    for texts in lowered.values():
+    lowered = [(language, [text.lower() for text in texts]) for language, texts in samples]
+    known = sorted({c for _, texts in lowered for text in texts for c in text if c.isalpha()})
+    # numbers: 0 no letter, then the letters, one for all others
+    unknown = len(known) + 1
+    classes = np.where(_is_letter(), unknown, 0).astype(np.int32)
+    classes[[ord(c) for c in known]] = np.arange(1, unknown)
+    border = unknown + 1
+    columns = np.zeros((len(lowered), unknown + 1), dtype=np.int64)
+    tables, bases, widths, listed, moves, fresh, scale, rows = [], [], [], [], [], [], [], 0
+    for at, (_, texts) in enumerate(lowered):
         sequence: list[int] = []
         for text in texts:
-            sequence.extend(empty.folded(text).tolist())
+            sequence.extend(_folded(classes, text).tolist())
             sequence.append(border)
+        uses = Counter(number for number in sequence if 0 < number < unknown)
+        often = sorted(uses, key=lambda number: (-uses[number], number))[:TABLE_LETTERS]
+        # columns: 0 no letter, the frequent letters, letters that the sample lacks, letters in the list
+        width = len(often) + 3
+        columns[at] = width - 2
+        columns[at, [0, *often]] = np.arange(len(often) + 1)
+        columns[at, [number for number in uses if number not in set(often)]] = width - 1
+        column = {number: int(columns[at, number]) for number in [0, *uses]}
         following = suffix_automaton(sequence)
-        first = rows * width
-        fresh = np.full(width, 2 * first + 1, dtype=np.int32)
+        first = np.full(width, 1, dtype=np.int32)
+        entries = np.ones(unknown + 1, dtype=np.int64)
+        keys: list[int] = []
+        targets: list[int] = []
         for symbol, target in following[0].items():
-            fresh[symbol] = 2 * (first + target * width) + 1
-        table = np.tile(fresh, (len(following), 1))
-        for state, targets in enumerate(following[1:], 1):
-            for symbol, target in targets.items():
-                table[state, symbol] = 2 * (first + target * width)
+            if symbol != border:
+                entries[symbol] = 2 * target * width + 1
+                if column[symbol] < width - 1:
+                    first[column[symbol]] = entries[symbol]
+        table = np.tile(first, (len(following), 1))
+        for state, those in enumerate(following[1:], 1):
+            for symbol, target in those.items():
+                if symbol == border:
+                    continue
+                if column[symbol] < width - 1:
+                    table[state, column[symbol]] = 2 * target * width
+                else:
+                    keys.append(state * width * (unknown + 1) + symbol)
+                    targets.append(2 * target * width)
+        order = np.argsort(np.array(keys, dtype=np.int64))
+        listed.append(np.append(np.array(keys, dtype=np.int64)[order], np.iinfo(np.int64).max))
+        moves.append(np.append(np.array(targets, dtype=np.int64)[order], 0))
         tables.append(table.ravel())
-        roots.append(first)
-        rows += len(following)
+        bases.append(rows)
+        widths.append(width)
+        fresh.append(entries)
+        scale.append(np.log(max(len(sequence), 2)))
+        rows += table.size
     table = np.concatenate(tables) if tables else np.empty(0, np.int32)
-    return Automata(list(lowered), classes, width, table, np.array(roots, dtype=np.int32))
+    return Automata(
+        [language for language, _ in lowered], classes, unknown, columns, table, np.array(bases, dtype=np.int64),
+        np.array(widths, dtype=np.int64), listed, moves, fresh, np.array(scale),
+    )
 
 
 def learn(
@@ -155,8 +225,8 @@ def learn(
     texts: int = SAMPLE_TEXTS,
     chars: int = SAMPLE_CHARS,
     languages: int = MOST_LANGUAGES,
-) -> Automata:
-    """Automata from at most ``texts`` different texts of each of the ``languages`` most frequent labels.
+) -> Samples:
+    """Samples of at most ``texts`` different texts of each of the ``languages`` most frequent labels.
 
     Only text and label of documents that are not :func:`held_out` are learned from. The texts
     with the smallest hashes are taken, and ``chars`` characters of each, so the driver gets at
@@ -167,8 +237,12 @@ def learn(
     labelled = docs.where(usable).select(F.col(lang).alias("lang"), F.xxhash64(text).alias("draw"), F.col(text).alias("text"))
     each = labelled.groupBy("lang", "draw").agg(F.count("*").alias("n"))
     most = each.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+    # first of parts of a language, then of what is left of it: a hot language is no one's task
+    part = F.pmod("draw", F.lit(_PARTS))
+    of_part = F.row_number().over(Window.partitionBy("lang", part).orderBy("draw"))
+    best = each.join(F.broadcast(most), "lang").select("lang", "draw", of_part.alias("place")).where(F.col("place") <= texts)
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
-    picked = each.join(F.broadcast(most), "lang").select("lang", "draw", place.alias("place")).where(F.col("place") <= texts)
+    picked = best.select("lang", "draw", place.alias("place")).where(F.col("place") <= texts)
     excerpts = (
         labelled.join(F.broadcast(picked.select("lang", "draw")), ["lang", "draw"])
         .groupBy("lang", "draw")
@@ -177,27 +251,27 @@ def learn(
     samples: dict[str, list[str]] = {}
     for row in sorted(excerpts.collect()):
         samples.setdefault(row["lang"], []).append(row["excerpt"])
-    return build(samples)
+    return sampled(samples)
 
 
 def predict(texts: list[str | None], model: Automata) -> tuple[list[str], np.ndarray]:
-    """The language of each text and how sure it is: 1 less the ratio of its phrases to the runner-up's."""
+    """The language of each text and how sure it is: 1 less the ratio of its normalised phrases to the runner-up's."""
     folded = [model.folded(t or "") for t in texts]
     spelled = np.array([bool(f.any()) for f in folded], dtype=bool)
     score = np.zeros(len(texts))
     if not model.languages or not len(texts):
         return [UNKNOWN_LANGUAGE] * len(texts), score
-    phrases = model.phrases(folded)
+    phrases = model.phrases(folded) * model.scale
     best = phrases.argmin(axis=1)
     if len(model.languages) == 1:
         score[spelled] = 1.0
     else:
-        two = np.partition(phrases, 1, axis=1)[:, :2].astype(float)
+        two = np.partition(phrases, 1, axis=1)[:, :2]
         score[spelled] = 1 - two[spelled, 0] / two[spelled, 1]
     return [model.languages[b] if ok else UNKNOWN_LANGUAGE for b, ok in zip(best.tolist(), spelled.tolist(), strict=True)], score
 
 
-def identified(docs: DataFrame, model: Automata, key: str = "doc_id", text: str = "text") -> DataFrame:
+def identified(docs: DataFrame, model: Samples, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, held_out, lang_pred, score.
 
     The prediction looks at the whole text and at nothing else. A null text or one without a
@@ -209,7 +283,7 @@ def identified(docs: DataFrame, model: Automata, key: str = "doc_id", text: str
     return found.select(key, held_out(key).alias("held_out"), "lang_pred", "score")
 
 
-def with_language(docs: DataFrame, model: Automata, text: str = "text", lang: str = "lang") -> DataFrame:
+def with_language(docs: DataFrame, model: Samples, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs``, all columns in place, with the predicted language as ``lang``."""
     own = [c for c in docs.columns if c not in (text, lang)]
     # numbered names, so that no column of the caller's can clash with those added here
@@ -219,14 +293,17 @@ def with_language(docs: DataFrame, model: Automata, text: str = "text", lang: st
     return found.select(*[F.col(place[c]).alias(c) for c in docs.columns])
 
 
-def _parsed(rows: DataFrame, model: Automata, *kept: str) -> DataFrame:
-    """The columns ``kept`` of rows that have a column text, and lang_pred and score."""
+def _parsed(rows: DataFrame, model: Samples, *kept: str) -> DataFrame:
+    """The columns ``kept`` of rows that have a column text, and lang_pred and score.
+
+    What is broadcast is the sample, whose bounds :func:`learn` states; each Python worker builds its automata once.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                found, score = predict(part.column("text").to_pylist(), shared.value)
+            for part in slices(batch, "text", BATCH):
+                found, score = predict(part.column("text").to_pylist(), build(shared.value))
                 columns = [*(part.column(name) for name in kept), pa.array(found, pa.string()), pa.array(score)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lang_pred", "score"])
 
