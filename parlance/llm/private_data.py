@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.spans import Rule, spans_of
+from parlance.llm.spans import Rule, as_words, spans_of
 from parlance.llm.tables import text_or_empty
 
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -57,6 +57,24 @@ _SQL_MOD_97 = (
     "lambda a, n: (a * CASE WHEN n > 9 THEN 100 ELSE 10 END + n) % 97) = 1"
 )
 
+# Characters of an account number by the country that starts it.
+ACCOUNT_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _account(length: int, countries: str) -> str:
+    """Account numbers of one length, with or without a space after every four characters."""
+    fours, rest = divmod(length - 4, 4)
+    last = rf"\x20?[A-Z0-9]{{{rest}}}" if rest else ""
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{fours}}}{last}"
+
+
+_ACCOUNT = "(?:" + "|".join(_account(length, countries) for length, countries in ACCOUNT_LENGTHS.items()) + ")"
+
 # The first four are fixed; account numbers and national numbers are added, the latter only near words that name them.
 RULES = (
     Rule(
@@ -66,7 +84,7 @@ RULES = (
         sql_pattern=rf"{_LOCAL}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
         base=True,
         score=90,
-        context="mail|contact|write|address",
+        context=as_words("e?-?mails?|contact|write|address"),
         context_score=10,
     ),
     Rule(
@@ -78,7 +96,7 @@ RULES = (
         sql_valid=f"regexp_matches(s.value, '{_IP_PARTS}')",
         base=True,
         score=60,
-        context="address|host|server|login|visit|ip",
+        context=as_words("address|hosts?|servers?|login|visit|ip"),
         context_score=30,
     ),
     Rule(
@@ -90,7 +108,7 @@ RULES = (
         sql_valid=f"CASE WHEN length({_sql_digits('s.value')}) BETWEEN 14 AND 19 THEN {_SQL_LUHN} ELSE false END",
         base=True,
         score=70,
-        context="card|visa|credit|pay",
+        context=as_words("cards?|visa|credit|pay"),
         context_score=30,
     ),
     Rule(
@@ -101,17 +119,17 @@ RULES = (
         sql_valid=f"length({_sql_digits('s.value')}) BETWEEN 10 AND 15",
         base=True,
         score=60,
-        context="phone|call|tel|mobile|fax",
+        context=as_words("phone|call|tel|mobile|fax"),
         context_score=30,
     ),
     Rule(
         "iban",
-        "[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]{4}){2,7}(?:\\x20?[A-Z0-9]{1,3})?",
+        _ACCOUNT,
         needs="[A-Z]{2}[0-9]{2}\\x20?[A-Z0-9]{4}",
-        valid=lambda value: F.length(F.regexp_replace(value, " ", "")).between(15, 34) & mod_97(value),
-        sql_valid=f"CASE WHEN length(replace(s.value, ' ', '')) BETWEEN 15 AND 34 THEN {_SQL_MOD_97} ELSE false END",
+        valid=mod_97,
+        sql_valid=_SQL_MOD_97,
         score=80,
-        context="iban|account|bank|transfer",
+        context=as_words("iban|account|bank|transfer"),
         context_score=20,
         least=50,
     ),
@@ -120,7 +138,7 @@ RULES = (
         "[0-9]{3}-[0-9]{2}-[0-9]{4}",
         needs="[0-9]{3}-[0-9]{2}-[0-9]{4}",
         score=40,
-        context="ssn|social security|national id|tax",
+        context=as_words("ssn|social security|national id|tax"),
         context_score=50,
         least=60,
     ),

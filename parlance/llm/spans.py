@@ -8,6 +8,7 @@ Offsets count code points from 0; ends are exclusive.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -46,36 +47,92 @@ class Rule:
 
 
 def spans_of(rule: Rule, place: int, text: Column) -> Column:
-    """Array of :data:`SPAN` of one rule; leftmost non-overlapping matches, the invalid dropped."""
-    whole = F.lit(rf"(?s)\G(.*?)({rule.pattern})")
-    gaps = F.regexp_extract_all(text, whole, F.lit(1))
-    found = F.regexp_extract_all(text, whole, F.lit(2))
-    values = F.regexp_extract_all(text, whole, F.lit(2 + rule.value)) if rule.value else found
-    matches = F.arrays_zip(gaps.alias("gap"), found.alias("found"), values.alias("value"))
-    nothing = F.array().cast(f"array<{SPAN}>")
-    start = F.struct(F.lit(0).alias("at"), nothing.alias("spans"))
-
-    def step(sofar: Column, match: Column) -> Column:
-        begin = sofar["at"] + F.length(match["gap"])
-        end = begin + F.length(match["found"])
-        score = _score(rule, match, end, text)
-        span = F.struct(begin.alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), end.alias("end"), score.alias("score"))
-        kept = rule.valid(match["value"]) if rule.base else rule.valid(match["value"]) & (score >= rule.least)
-        spans = F.when(kept, F.concat(sofar["spans"], F.array(span))).otherwise(sofar["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
-
-    spans = F.aggregate(matches, start, step, lambda sofar: sofar["spans"])
-    return F.when(text.rlike(rule.needs), spans).otherwise(nothing)
-
-
-def _score(rule: Rule, match: Column, end: Column, text: Column) -> Column:
+    """Array of :data:`SPAN` of one rule; leftmost non-overlapping matches, the invalid dropped.
+
+    What follows a match is taken by the search itself, so no match walks the text again, and ends are
+    running sums made in two levels: the work grows with the text and its matches.
+    """
+    after = rf"(?=(.{{0,{CONTEXT_CHARS}}}))" if rule.context is not None else ""
+    whole = rf"(?s)\G(.*?)({rule.pattern}){after}"
+    gaps, found = (F.regexp_extract_all(text, F.lit(whole), F.lit(group)) for group in (1, 2))
+    fields = [gaps.alias("gap"), found.alias("found")]
+    if rule.value:
+        fields.append(F.regexp_extract_all(text, F.lit(whole), F.lit(2 + rule.value)).alias("value"))
+    if rule.context is not None:
+        fields.append(F.regexp_extract_all(text, F.lit(whole), F.lit(re.compile(_plain(whole)).groups)).alias("after"))
+    matches = F.arrays_zip(*fields)
+
+    def span(match: Column, end: Column) -> Column:
+        begin = end - F.length(match["found"])
+        return F.struct(
+            F.struct(
+                begin.alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), end.alias("end"), _score(rule, match).alias("score")
+            ).alias("span"),
+            match["value" if rule.value else "found"].alias("value"),
+        )
+
+    def kept(one: Column) -> Column:
+        return rule.valid(one["value"]) if rule.base else rule.valid(one["value"]) & (one["span"]["score"] >= rule.least)
+
+    def placed(all_: Column) -> Column:
+        ends = running_sums(F.transform(all_, lambda match: F.length(match["gap"]) + F.length(match["found"])))
+        return F.transform(F.filter(F.zip_with(all_, ends, span), kept), lambda one: one["span"])
+
+    spans = let(matches, f"array<{SPAN}>", placed)
+    return F.when(text.rlike(rule.needs), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def _plain(pattern: str) -> str:
+    """The pattern without what Python's syntax lacks, for counting its groups."""
+    return re.sub(r"\\G", "", pattern)
+
+
+def running_sums(numbers: Column, chunk: int = 256) -> Column:
+    """Sums of the array's first 1, 2, ... elements.
+
+    A fold that appends copies what it has; so chunks are summed on their own and then raised by
+    what comes before them, which copies each element about ``chunk`` times at most.
+    """
+    nothing = F.array().cast("array<int>")
+
+    def within(some: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), nothing.alias("sums"))
+        return F.aggregate(
+            some, first, lambda had, n: F.struct((had["at"] + n).alias("at"), F.concat(had["sums"], F.array(had["at"] + n)).alias("sums")), lambda had: had["sums"]
+        )
+
+    def raised(had: Column, sums: Column) -> Column:
+        more = F.transform(sums, lambda one: one + had["at"])
+        return F.struct((had["at"] + F.element_at(sums, -1)).alias("at"), F.concat(had["parts"], F.array(more)).alias("parts"))
+
+    def summed(all_: Column) -> Column:
+        size = F.size(all_)
+        starts = F.when(size > 0, F.sequence(F.lit(0), size - 1, F.lit(chunk))).otherwise(F.array().cast("array<int>"))
+        sums = F.transform(starts, lambda at: within(F.slice(all_, at + F.lit(1), F.lit(chunk))))
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("parts"))
+        return F.flatten(F.aggregate(sums, first, raised, lambda had: had["parts"]))
+
+    return let(numbers, "array<int>", summed)
+
+
+def let(value: Column, kind: str, make: Callable[[Column], Column]) -> Column:
+    """``make`` of the value, of type ``kind``, the value being evaluated once however often it is named."""
+    return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, one: make(one))
+
+
+def _score(rule: Rule, match: Column) -> Column:
     if rule.context is None:
         return F.lit(rule.score)
     before = F.substring(match["gap"], -CONTEXT_CHARS, CONTEXT_CHARS)
-    near = F.lower(F.concat_ws(" ", before, F.substr(text, end + F.lit(1), F.lit(CONTEXT_CHARS))))
+    near = F.lower(F.concat_ws(" ", before, match["after"]))
     return F.when(near.rlike(rule.context), F.lit(rule.score + rule.context_score)).otherwise(F.lit(rule.score))
 
 
+def as_words(names: str) -> str:
+    """A pattern for any of ``names`` (in lower case, joined by bars) that is no part of a longer word."""
+    return f"(?:^|[^a-z0-9_])(?:{names})(?:$|[^a-z0-9_])"
+
+
 def listed(spans: Column) -> Column:
     """``kind:start:end`` joined by commas, in the order of the array."""
     parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))

@@ -153,3 +153,42 @@ def test_same_rows_in_sql(spark, name):
     duck.register("expected", expected)
     for a, b in (("found", "expected"), ("expected", "found")):
         assert duck.execute(f"SELECT count(*) FROM (FROM {a} EXCEPT ALL FROM {b})").fetchall() == [(0,)]
+
+
+def test_many_matches_in_one_text(spark):
+    """The work grows with the text: 32,000 addresses in one row, and their places."""
+    import time
+
+    one = "ab@c.de "
+    docs = of_texts(spark, [one * 2_000, "x"]).coalesce(1)
+    digest(private_data.personal_data(docs), private_data.RULES)
+    start = time.perf_counter()
+    found = digest(private_data.personal_data(of_texts(spark, [one * 32_000]).coalesce(1)), private_data.RULES)[0]
+    assert time.perf_counter() - start < 10
+    assert found.n_email == 32_000
+    assert found.spans == ",".join(f"email:{8 * at}:{8 * at + 7}" for at in range(32_000))
+
+
+def test_context_goes_by_whole_words(spark):
+    texts = ["syntax 123-45-6789", "tax 123-45-6789", "ssn:123-45-6789", "xssn 123-45-6789", "123-45-6789 (national id)"]
+    found = digest(private_data.personal_data(of_texts(spark, texts)), private_data.RULES)
+    assert [bool(found[at].spans) for at in range(5)] == [False, True, True, False, True]
+
+
+def test_account_numbers_end_where_their_country_says(spark):
+    texts = [
+        "ES91 2100 0418 4502 0005 1332 EUR", "BE68 5390 0754 7034 BANK", "pay NO93 8601 1117 947 NOW", "DE89370400440532013000X",
+        "XX82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 33",
+    ]
+    found = digest(private_data.personal_data(of_texts(spark, texts)), private_data.RULES)
+    spans_found = [found[at].spans for at in range(len(texts))]
+    assert [[one for one in some.split(",") if one.startswith("iban")] for some in spans_found] == [
+        ["iban:0:29"], ["iban:0:19"], ["iban:4:22"], ["iban:0:22"], [], [],
+    ]
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 1000])
+def test_running_sums(spark, n):
+    numbers = [(7 * at) % 11 for at in range(n)]
+    row = spark.createDataFrame([(numbers,)], "n array<int>").select(spans.running_sums(spans.F.col("n"))).first()
+    assert row[0] == [sum(numbers[: at + 1]) for at in range(n)]
