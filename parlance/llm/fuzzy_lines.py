@@ -259,7 +259,7 @@ def _texts_of(members: DataFrame, rows: DataFrame) -> DataFrame:
                         out["words"].append(b" ".join(normalised(lines[member["line"]])[0]))
                 yield pa.RecordBatch.from_arrays([pa.array(out[name], kind) for name, kind in types.items()], names=list(types))
 
-    found = rows.join(per_row.hint("shuffle_hash"), "number").select("text", "members")
+    found = rows.join(per_row, "number").select("text", "members")
     return found.mapInArrow(read, "block long, id long, print long, words binary")
 
 
@@ -271,7 +271,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     own = numbered(docs, key)
     found = _removed(own.select("number", "doc", F.col("row").getField(text).alias("text")))
     gone = found.select("number", F.transform("removed", lambda r: r["line"]).alias("gone"))
-    rows = own.join(gone.hint("shuffle_hash"), "number", "left")
+    rows = own.join(gone, "number", "left")
     numbers = F.array_except(F.sequence(F.lit(0), F.size("lines") - F.lit(1)), F.col("gone"))
     left = F.array_join(F.transform(numbers, lambda i: F.get(F.col("lines"), i)), "\n")
     texts = (
