@@ -61,7 +61,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     order = F.struct(F.col("key").isNull().alias("last"), "key", "number")
     first = groups.join(rows.select("number", "key"), "number").groupBy("component_id").agg(F.min(order).alias("first"))
     stay = first.select(F.col("first.number").alias("number"))
-    return rows.join(stay.hint("shuffle_hash"), "number", "left_semi").select("row.*")
+    return rows.join(stay, "number", "left_semi").select("row.*")
 
 
 @stage
