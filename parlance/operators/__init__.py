@@ -1,6 +1,7 @@
 from parlance.operators.agreement import agreement
 from parlance.operators.counts import count, frequent_words, in_group, labels_of, spread, spread_found, word_cloud
 from parlance.operators.joins import anti_lookup, attach, attach_split, fits_broadcast, inner_lookup
+from parlance.operators.packed_ngrams import packed_ngram_counts
 from parlance.operators.priors import dirichlet_prior
 from parlance.operators.ranks import top_n, with_position
 from parlance.operators.sentiment import (
@@ -17,6 +18,7 @@ from parlance.operators.sentiment import (
 from parlance.operators.stop_scores import proposed_stop_words, word_spread
 from parlance.operators.tfidf import bind_tf_idf, group_totals, group_words
 from parlance.operators.tokens import (
+    ngram_columns,
     ngrams,
     ngrams_without,
     separate,
@@ -67,8 +69,10 @@ __all__ = [
     "message_word_counts",
     "most_frequent",
     "net_sentiment",
+    "ngram_columns",
     "ngrams",
     "ngrams_without",
+    "packed_ngram_counts",
     "proposed_stop_words",
     "release_topics",
     "score_sums",

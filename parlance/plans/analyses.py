@@ -223,6 +223,12 @@ def bigram_counts(spark, sf_dir):
     return op.count(bigrams_filtered(spark, sf_dir), "word1", "word2", sort=True)
 
 
+@query
+def bigram_counts_packed(spark, sf_dir):
+    """The same pairs, numbers while they are counted."""
+    return op.packed_ngram_counts(inputs.messages(spark, sf_dir), sources.stop_words(spark), 2, sort=True)
+
+
 @query
 def bigrams_united(spark, sf_dir):
     return op.unite(bigrams_filtered(spark, sf_dir), "bigram", ["word1", "word2"])
@@ -234,6 +240,11 @@ def trigram_counts(spark, sf_dir):
     return op.count(triples, "word1", "word2", "word3", sort=True)
 
 
+@query
+def trigram_counts_packed(spark, sf_dir):
+    return op.packed_ngram_counts(inputs.messages(spark, sf_dir), _custom(spark), 3, sort=True)
+
+
 @query
 def message_word_counts(spark, sf_dir):
     return op.message_word_counts(inputs.messages(spark, sf_dir), sources.stop_words(spark))

@@ -368,6 +368,9 @@ SELECTS = {
 }
 
 
+SELECTS |= {f"{name}_packed": SELECTS[name] for name in ("bigram_counts", "trigram_counts")}
+
+
 def oracle_queries() -> dict[str, str]:
     fit = topic_fit()
     plain = {name: COMMON + select for name, select in SELECTS.items()}

@@ -68,19 +68,13 @@ def read_messages(spark: SparkSession, path: str, format: str = "parquet", multi
 def spread_out(messages: DataFrame) -> DataFrame:
     """Use every core on a small input of few files: tokenising works inside the scan's partitions.
 
-    Only an input that makes fewer splits than there are cores is dealt out, by id, and only as far
-    as its files are known: a plan on anything but files is left alone. Smaller
+    Only an input that makes fewer splits than there are cores is dealt out, by id. A plan on anything
+    but files, or one that shuffles already, is left alone. Smaller
     ``spark.sql.files.maxPartitionBytes`` is the way for a large input of splittable files.
     """
-    spark = messages.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = messages.inputFiles()
-    if not files or len(files) >= cores:
-        return messages
-    size = int(str(messages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.files.maxPartitionBytes")
-    )
-    if size >= cores * split:
+    cores = messages.sparkSession.sparkContext.defaultParallelism
+    plan = messages.select("*")._jdf.queryExecution()
+    of_files = plan.optimizedPlan().collectLeaves().head().nodeName() == "LogicalRelation"
+    if not of_files or "Adaptive" in plan.executedPlan().nodeName() or plan.toRdd().getNumPartitions() >= cores:
         return messages
     return messages.repartition(cores, "Message_ID_int")
