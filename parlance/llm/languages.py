@@ -31,7 +31,7 @@ SAMPLE_CHARS = 800
 MOST_LANGUAGES = 100
 # Letters of a language whose moves are in its table; the others' are in its list, to the same effect.
 TABLE_LETTERS = 64
-BATCH = 8_000_000
+BATCH = 3_000_000
 UNKNOWN_LANGUAGE = "und"
 HELD_OUT = 2
 _PARTS = 64
@@ -101,7 +101,7 @@ class Automata:
         for at, (keys, moves, fresh) in enumerate(zip(self.listed, self.moves, self.fresh, strict=True)):
             some = np.flatnonzero(self.columns[at, now] == self.widths[at] - 1)
             if len(some):
-                wanted = state[at, some] * (self.unknown + 1) + now[some]
+                wanted = state[at, some] * (self.unknown + 1) + now[some].astype(np.int64)
                 place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
                 entry[at, some] = np.where(keys[place] == wanted, moves[place], fresh[now[some]])
 
@@ -163,7 +163,7 @@ def build(samples: Samples) -> Automata:
     known = sorted({c for _, texts in lowered for text in texts for c in text if c.isalpha()})
     # numbers: 0 no letter, then the letters, one for all others
     unknown = len(known) + 1
-    classes = np.where(_is_letter(), unknown, 0).astype(np.int32)
+    classes = np.where(_is_letter(), unknown, 0).astype(np.int16 if unknown < 32_767 else np.int32)
     classes[[ord(c) for c in known]] = np.arange(1, unknown)
     border = unknown + 1
     columns = np.zeros((len(lowered), unknown + 1), dtype=np.int64)
@@ -201,6 +201,7 @@ def build(samples: Samples) -> Automata:
                 else:
                     keys.append(state * width * (unknown + 1) + symbol)
                     targets.append(2 * target * width)
+        del following
         order = np.argsort(np.array(keys, dtype=np.int64))
         listed.append(np.append(np.array(keys, dtype=np.int64)[order], np.iinfo(np.int64).max))
         moves.append(np.append(np.array(targets, dtype=np.int64)[order], 0))
