@@ -15,9 +15,13 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+BUCKET_BYTES = 64 * 1024 * 1024
+UNKNOWN_BYTES = 1 << 50
+
 _scope: ContextVar[Scope | None] = ContextVar("scope", default=None)
 
 
@@ -95,21 +99,35 @@ def written(rows: DataFrame, schema: StructType | None = None, path: str | None
     return _held(table)
 
 
-def bucketed(rows: DataFrame, key: str, buckets: int) -> DataFrame:
+def bucketed(rows: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
     """:func:`written` as a table whose rows are kept by the hash of ``key``, one file a bucket.
 
-    Groupings and joins by ``key`` that take it as it lies do not shuffle it.
+    Groupings and joins by ``key`` that take it as it lies do not shuffle it. Without ``buckets`` there are
+    as many as the size of the input of ``rows`` asks for.
     """
     spark = rows.sparkSession
+    buckets = buckets or bucket_count(rows)
     path = table_path(spark)
     name = f"parlance_{uuid.uuid4().hex}"
-    writer = rows.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key)
-    writer.option("path", path).saveAsTable(name)
+    dealt = rows.repartitionById(buckets, F.pmod(F.hash(key), F.lit(buckets)))
+    dealt.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
     table = spark.table(name)
     table.written_path, table.written_name = path, name
     return _held(table)
 
 
+def bucket_count(rows: DataFrame) -> int:
+    """One bucket for each ``BUCKET_BYTES`` that the plan of ``rows`` expects, and two a core at least.
+
+    A plan on rows of unknown size, which says a number beyond ``UNKNOWN_BYTES``, has as many as shuffles have partitions.
+    """
+    spark = rows.sparkSession
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= UNKNOWN_BYTES:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(2 * spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables made by :func:`written` that no result reads any more; other frames are left alone."""
     for table in tables:
