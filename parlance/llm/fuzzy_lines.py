@@ -47,7 +47,7 @@ def numbered(docs: DataFrame, key: str) -> DataFrame:
     """
     number = F.monotonically_increasing_id().alias("number")
     rows = docs.select(number, _key_or_last(key).alias("doc"), whole_row(docs))
-    return bucketed(rows, "number", int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return bucketed(rows, "number")
 
 
 def lines_of(rows: DataFrame) -> DataFrame:
