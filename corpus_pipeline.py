@@ -55,8 +55,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Rows lie in buckets by a number of their own, so that only numbers are shuffled to find who stays.
     """
     number = F.monotonically_increasing_id().alias("number")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = bucketed(docs.select(number, F.col("doc_id").alias("key"), whole_row(docs)), "number", buckets)
+    rows = bucketed(docs.select(number, F.col("doc_id").alias("key"), whole_row(docs)), "number")
     groups = near_texts.near_groups(rows.select("number", F.col("row").getField("text").alias("text")), "number")
     order = F.struct(F.col("key").isNull().alias("last"), "key", "number")
     first = groups.join(rows.select("number", "key"), "number").groupBy("component_id").agg(F.min(order).alias("first"))
