@@ -18,6 +18,7 @@ from parlance.storage import release, written
 # Members of a list of candidates that are compared with each other in one block; longer lists make several blocks.
 CHUNK = 512
 LINKS_PER_TASK = 500_000
+FEW_LINKS = 50_000
 
 
 def spread(prints: DataFrame, key: str) -> DataFrame:
@@ -164,9 +165,9 @@ def groups(links: DataFrame) -> DataFrame:
 
 
 def _in_tasks(edges: DataFrame, count: int) -> DataFrame:
-    """As many tasks as the number of links asks for: there are far fewer links than the shuffles are set up for."""
-    least = edges.sparkSession.sparkContext.defaultParallelism
-    return edges.coalesce(max(least, count // LINKS_PER_TASK))
+    """As many tasks, and files, as the number of links asks for: there are far fewer than the shuffles are set up for."""
+    cores = edges.sparkSession.sparkContext.defaultParallelism
+    return edges.coalesce(max(min(cores, 1 + count // FEW_LINKS), count // LINKS_PER_TASK))
 
 
 def _pairs(edges: DataFrame) -> DataFrame:
