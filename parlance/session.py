@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -34,4 +36,16 @@ def local_session(
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    importable(spark)
     return spark
+
+
+def importable(spark: SparkSession) -> None:
+    """Let the session's Python workers import this package from where the driver has it, whatever folder they run in.
+
+    Clusters whose machines do not share that folder ship the package with the application.
+    """
+    environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
+    paths = [path for path in environment.get("PYTHONPATH", "").split(os.pathsep) if path]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
