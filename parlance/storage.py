@@ -117,15 +117,15 @@ def bucketed(rows: DataFrame, key: str, buckets: int | None = None) -> DataFrame
 
 
 def bucket_count(rows: DataFrame) -> int:
-    """One bucket for each ``BUCKET_BYTES`` that the plan of ``rows`` expects, and two a core at least.
+    """One bucket for each ``BUCKET_BYTES`` that the plan of ``rows`` expects, and as many as shuffles have partitions at least.
 
-    A plan on rows of unknown size, which says a number beyond ``UNKNOWN_BYTES``, has as many as shuffles have partitions.
+    With fewer, a join would rather shuffle the table anew than run in so few tasks. A plan on rows of
+    unknown size says a number beyond ``UNKNOWN_BYTES``.
     """
     spark = rows.sparkSession
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= UNKNOWN_BYTES:
-        return int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(2 * spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return least if size >= UNKNOWN_BYTES else max(least, -(-size // BUCKET_BYTES))
 
 
 def release(*tables: DataFrame) -> None:
