@@ -45,3 +45,10 @@ def test_only_numbers_are_shuffled(many, stop_list):
 def test_longer_ones_do_not_fit(many, stop_list):
     with pytest.raises(ValueError, match="1 to 3"):
         packed_ngram_counts(many, stop_list, 4)
+
+
+@pytest.mark.parametrize("bound", [500_000, 20])
+def test_texts_are_split_once(many, stop_list, monkeypatch, bound):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", bound)
+    plan = packed_ngram_counts(many, stop_list, 3, sort=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and plan.count("Generate") == 1
