@@ -1,0 +1,68 @@
+"""How cells and sums of the topic fit are kept: in as few bytes as hold them, and in few rows where Python reads them."""
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from parlance.operators import topic_blocks
+from parlance.storage import release
+
+BIG = 1 << 31
+
+
+def cells_of(layout):
+    found = {}
+    rows = layout.collect()
+    words = {row["block"]: row["words"] for row in rows if row["places"] is None}
+    for row in rows:
+        if row["places"] is not None:
+            block = pa.table({name: pa.array([row[name]], kind) for name, kind in (("message", pa.int64()), ("places", pa.binary()), ("packed", pa.binary()))})
+            cells = topic_blocks._Cells(block)
+            found |= {(row["message"], words[row["block"]][at]): int(n) for at, n in zip(cells.places, cells.n, strict=True)}
+    return found
+
+
+@pytest.mark.parametrize(("most", "size"), [(255, 1), (256, 2), (70_000, 4), (1 << 33, 8)])
+def test_counts_of_any_size_are_kept_in_as_few_bytes_as_hold_them(spark, most, size):
+    table = [(at % 9, f"w{at % 23}", 1 + at % 5) for at in range(9 * 23)] + [(9, "w1", most), (None, "w2", 3)]
+    layout = topic_blocks.laid_out(spark.createDataFrame(table, "message long, word string, n long"), 1)
+    assert cells_of(layout) == {(message, word): n for message, word, n in table}
+    assert all(len(row["packed"]) * 4 == len(row["places"]) * size for row in layout.where("places IS NOT NULL").collect())
+    release(layout)
+
+
+def test_a_word_of_large_sums_leaves_the_others_in_32_bits():
+    sums = np.arange(40 * 13, dtype=np.int64).reshape(40, 13)
+    sums[7, 3], sums[21, 0], sums[21, 12] = BIG, 5 * (1 << 40) + 3, (1 << 32) - 1
+    out = topic_blocks._sums_out([sums])
+    assert len(out["sums"][0]) + len(out["small"][0]) < sums.nbytes * 0.6
+    part = pa.table({name: pa.array(values, pa.binary()) for name, values in out.items()})
+    assert topic_blocks._sums_in(part, [40])[0].tolist() == sums.tolist()
+
+
+@pytest.mark.parametrize("wide", range(0, 7))
+def test_any_number_of_large_sums_is_read_as_it_was(wide):
+    sums = np.random.default_rng(wide).integers(0, BIG, (6, 2))
+    sums[:wide] += BIG * 7
+    out = topic_blocks._sums_out([sums])
+    assert sum(len(one[0] or b"") for one in out.values()) <= sums.nbytes
+    part = pa.table({name: pa.array(values, pa.binary()) for name, values in out.items()})
+    assert topic_blocks._sums_in(part, [6])[0].tolist() == sums.tolist()
+
+
+def test_python_reads_a_row_a_message_when_cells_are_laid_out(spark, monkeypatch):
+    plans, table = [], topic_blocks.bucketed
+    monkeypatch.setattr(topic_blocks, "bucketed", lambda rows, *args, **named: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or table(rows, *args, **named))
+    cells = spark.createDataFrame([(at % 5, f"w{at}", 1) for at in range(50)], "message long, word string, n long")
+    release(topic_blocks.laid_out(cells, 2))
+    assert "MapInArrow" in plans[0] and "collect_list" in plans[0]
+
+
+def test_the_groups_of_messages_are_found_without_a_sort_of_all_cells(spark, monkeypatch):
+    from parlance.operators import fit_topics, release_topics, topics
+
+    plans, table = [], topics.written
+    monkeypatch.setattr(topics, "written", lambda rows, *args: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or table(rows, *args))
+    counts = spark.createDataFrame([("g", at % 5, f"w{at}", 1) for at in range(50)], "Group_Name string, Message_ID_int long, word string, n long")
+    release_topics(fit_topics(counts, k=2, max_iter=1))
+    assert any("HashAggregate(keys=[message" in plan and "partial_count(1)" in plan for plan in plans)
