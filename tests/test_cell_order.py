@@ -1,0 +1,45 @@
+"""Rounds of the topic fit read the cells of a block in the order of words, kept so when they are laid out."""
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from parlance.operators import topic_blocks
+from parlance.storage import release
+
+
+def tables(layout):
+    rows = layout.drop("words").collect()
+    schema = "block long, message long, number int, places binary, n array<long>, packed binary, by_word binary, uses binary, counts binary"
+    names = [one.split()[0] for one in schema.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), *[pa.binary()] * 4]
+    for block in {row["block"] for row in rows}:
+        # in any order, as a shuffle may bring them
+        own = [row for row in reversed(rows) if row["block"] == block]
+        yield pa.table({name: pa.array([row[name] for row in own], kind) for name, kind in zip(names, types, strict=True)})
+
+
+@pytest.mark.parametrize("most", [3, 70_000, 1 << 33])
+def test_cells_by_word_are_those_of_the_messages(spark, most):
+    table = [(at % 9, f"w{at % 23}", 1 + at % 5) for at in range(9 * 23)] + [(9, "w1", most), (None, "w2", 3)]
+    layout = topic_blocks.laid_out(spark.createDataFrame(table, "message long, word string, n long"), 2)
+    found = 0
+    for block in tables(layout):
+        cells = topic_blocks._Cells(block.drop_columns(["places", "n", "packed"]))
+        assert np.all(np.diff(cells.places) >= 0) and all(np.array_equal(a, b) for a, b in zip(cells.by_word(), (cells.places, cells.numbers, cells.n), strict=True))
+        messages = block.filter(block.column("places").is_valid())
+        plain = topic_blocks._Cells(messages.select(["message", "places", "packed"]))
+        both = [sorted((one.messages[int(m)].as_py() or -1, int(p), int(n)) for p, m, n in zip(*one.by_word(), strict=True)) for one in (cells, plain)]
+        assert both[0] == both[1]
+        found += len(both[0])
+    assert found == len(table)
+    release(layout)
+
+
+def test_cores_have_as_many_blocks_each(spark, monkeypatch):
+    made, laid_out = [], topic_blocks.laid_out
+    monkeypatch.setattr(topic_blocks, "laid_out", lambda cells, blocks: made.append(blocks) or laid_out(cells, blocks))
+    cells = spark.createDataFrame([(at % 40, f"w{at}", 1) for at in range(400)], "message long, word string, n long")
+    cores = spark.sparkContext.defaultParallelism
+    release(*topic_blocks.fit_by_blocks(cells, 2, 7, 1, topic_blocks.Priors(1.0, 0.1), None, block_cells=400 // cores - 1)[:2])
+    assert made == [2 * cores]
