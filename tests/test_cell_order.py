@@ -1,10 +1,10 @@
-"""Rounds of the topic fit read the cells of a block in the order of words, kept so when they are laid out."""
+"""Rounds of the topic fit read the cells of a block in the order of words, kept so when they are laid out; how cells and draws are made."""
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from parlance.operators import topic_blocks
+from parlance.operators import draws, topic_blocks
 from parlance.storage import release
 
 
@@ -43,3 +43,10 @@ def test_cores_have_as_many_blocks_each(spark, monkeypatch):
     cores = spark.sparkContext.defaultParallelism
     release(*topic_blocks.fit_by_blocks(cells, 2, 7, 1, topic_blocks.Priors(1.0, 0.1), None, block_cells=400 // cores - 1)[:2])
     assert made == [2 * cores]
+
+
+def test_texts_of_draws_are_turned_once_for_all_endings(monkeypatch):
+    seen, hashed = [], draws._hashed
+    monkeypatch.setattr(draws, "_hashed", lambda words, *rest: seen.append(words.__array_interface__["data"][0]) or hashed(words, *rest))
+    draws.draws(pa.array([f"text {at}" for at in range(100)]), [str(at) for at in range(13)])
+    assert len(seen) == 13 and len(set(seen)) == 1
